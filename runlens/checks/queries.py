@@ -84,7 +84,7 @@ def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _findings(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
-    exploded = _found(spark, sf).select("uid", F.explode("findings").alias("f"))
+    exploded = V.unnest(_found(spark, sf), F.col("findings"), "f", "uid")
     return exploded.select(F.col("uid").cast("bigint").alias("run_no"), "f.*").where(
         F.col("kind").isin(*kinds)
     )
@@ -476,7 +476,7 @@ def run_duration(spark, sf):
 SELECT run_no, CAST(i AS BIGINT) AS pos, json_extract_string(j, '$.job_id') AS job_id, json_extract_string(j, '$.job_name') AS job_name,
   try_cast(json_extract_string(j, '$.max_over_median_ratio') AS DOUBLE) AS ratio FROM jobs""")
 def job_metric_rows(spark, sf):
-    rows = _parsed(spark, sf).select("run_no", F.posexplode(M.job_rows(F.col("v"))).alias("pos", "j"))
+    rows = V.unnest(_parsed(spark, sf), M.job_rows(F.col("v")), "j", "run_no", pos="pos")
     j = F.col("j")
     return rows.select(
         "run_no",
@@ -511,8 +511,8 @@ SELECT run_no, CAST(i AS BIGINT) AS pos, try_cast(json_extract_string(j, '$.max_
   CASE WHEN json_type(j, '$.num_tasks') <> 'NULL' THEN try_cast(json_extract_string(j, '$.num_tasks') AS BIGINT) END AS as_int,
   try_cast(json_extract_string(j, '$.job_name') AS DOUBLE) AS name_as_float FROM jobs""")
 def safe_cast(spark, sf):
-    rows = _parsed(spark, sf).select(
-        "run_no", F.posexplode(V.objects(F.col("v"), "$.jobs")).alias("pos", "j")
+    rows = V.unnest(
+        _parsed(spark, sf), V.objects(F.col("v"), "$.jobs"), "j", "run_no", pos="pos"
     )
     j = F.col("j")
     return rows.select(
@@ -533,12 +533,19 @@ lines AS (SELECT run_no,
       ELSE format('{{:.2f}}', CAST(j->>'$.max_over_median_ratio' AS DOUBLE)) END END AS b FROM first_job)
 SELECT run_no, nullif(concat_ws(chr(10), a, b), '') AS snippet FROM lines""")
 def event_snippet(spark, sf):
-    return _parsed(spark, sf).select("run_no", M.event_snippet(F.col("v")).alias("snippet"))
+    rows = _parsed(spark, sf).select(
+        "run_no",
+        V.field(F.col("v"), "$.app").alias("app"),
+        M.first_job(V.objects(F.col("v"), "$.jobs")).alias("job"),
+    )
+    return rows.select("run_no", M.event_snippet(F.col("app"), F.col("job")).alias("snippet"))
 
 
 @query(f"{ALL} SELECT run_no, ratio0 AS max_over_median_ratio, p95_0 AS p95_task_duration_ms FROM prof")
 def job_sample(spark, sf):
-    rows = _parsed(spark, sf).select("run_no", M.job_sample(F.col("v")).alias("s"))
+    first = M.first_job(V.objects(F.col("v"), "$.jobs")).alias("job")
+    rows = _parsed(spark, sf).select("run_no", first)
+    rows = rows.select("run_no", M.job_sample(F.col("job")).alias("s"))
     return rows.select(
         "run_no",
         F.col("s.ratio").alias("max_over_median_ratio"),
@@ -549,7 +556,7 @@ def job_sample(spark, sf):
 @query(f"""{ALL}, {D.STAGES}
 SELECT run_no, stage_id, name, num_tasks, max_ms AS max_task_duration_ms, p95_ms AS p95_task_duration_ms FROM stages""")
 def stage_rows(spark, sf):
-    rows = _parsed(spark, sf).select("run_no", F.explode(M.stage_rows(F.col("v"))).alias("s"))
+    rows = V.unnest(_parsed(spark, sf), M.stage_rows(F.col("v")), "s", "run_no")
     return rows.select("run_no", "s.*")
 
 
@@ -572,12 +579,17 @@ _STATS = (
 )
 
 
+def _digits(name: str) -> int:
+    # Mean ratios often end in a tie at few digits; the other measures are whole numbers.
+    return 9 if name == "avg_max_over_median_ratio" else 4
+
+
 def _duck_stats(prefix: str = "") -> str:
-    return ", ".join(f"round({prefix}{d}, 4) AS {n}" for n, d in _STATS) + f", {prefix}run_count AS run_count"
+    return ", ".join(f"round({prefix}{d}, {_digits(n)}) AS {n}" for n, d in _STATS) + f", {prefix}run_count AS run_count"
 
 
 def _stats(prefix: str = "") -> list[Column]:
-    return [*(close(prefix + n, n) for n, _ in _STATS), F.col(f"{prefix}run_count").alias("run_count")]
+    return [*(close(prefix + n, n, _digits(n)) for n, _ in _STATS), F.col(f"{prefix}run_count").alias("run_count")]
 
 
 def _baselines(spark: SparkSession, sf: str) -> DataFrame:
@@ -615,14 +627,14 @@ def resolved_baseline(spark, sf):
     )
 
 
-@query("""SELECT o_custkey, quantile_cont(o_totalprice, 0.5) AS p50, quantile_cont(o_totalprice, 0.95) AS p95,
+@query("""SELECT o_custkey, round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.95), 4) AS p95,
   round(avg(o_totalprice), 2) AS mean FROM (SELECT o_custkey % 150 AS o_custkey, o_totalprice FROM orders) t GROUP BY o_custkey""")
 def exact_quantile(spark, sf):
     rows = spark.read.parquet(f"{sf}/orders.parquet").select(
         (F.col("o_custkey") % 150).alias("o_custkey"), "o_totalprice"
     )
     summary = exact_quantile_summary(rows, "o_custkey", "o_totalprice", {"p50": 0.5, "p95": 0.95})
-    return summary.select("o_custkey", "p50", "p95", close("mean", digits=2))
+    return summary.select("o_custkey", close("p50"), close("p95"), close("mean", digits=2))
 
 
 @query(f"""{ALL}, newest AS (SELECT job_id, cluster_name, row_number() OVER (PARTITION BY job_id
@@ -647,13 +659,17 @@ def running_baseline(spark, sf):
 # --- detectors ---------------------------------------------------------------------------
 
 
-@query(f"""{FULL} SELECT f.run_no, f.severity, f.message, f.action, r.job_id, r.dur AS duration_seconds, r.b_p50_duration AS baseline_p50_seconds,
-  r.b_p95_duration AS baseline_p95_seconds, r.b_run_count AS baseline_run_count
+@query(f"""{FULL} SELECT f.run_no, f.severity, f.message, f.action, r.job_id, r.dur AS duration_seconds, round(r.b_p50_duration, 4) AS baseline_p50_seconds,
+  round(r.b_p95_duration, 4) AS baseline_p95_seconds, r.b_run_count AS baseline_run_count
 FROM findings f JOIN resolved r ON r.run_no = f.run_no WHERE f.pos = 0""")
 def runtime_regression(spark, sf):
     rows = _findings(spark, sf, "job_runtime_regression")
-    names = ("job_id", "duration_seconds", "baseline_p50_seconds", "baseline_p95_seconds", "baseline_run_count")
-    return rows.select("run_no", "severity", "message", "action", *(f"evidence.{n}" for n in names))
+    return rows.select(
+        "run_no", "severity", "message", "action", "evidence.job_id", "evidence.duration_seconds",
+        close("evidence.baseline_p50_seconds", "baseline_p50_seconds"),
+        close("evidence.baseline_p95_seconds", "baseline_p95_seconds"),
+        "evidence.baseline_run_count",
+    )
 
 
 @query(f"""{FULL} SELECT f.run_no, f.severity, f.message, f.action, s.spark_job AS job_id, s.ratio, s.stage_id, s.stage_name,
@@ -671,8 +687,9 @@ def task_straggler(spark, sf):
 @query(f"""{ALL}, {D.JOBS}, {D.STAGES}, {D.WORST}
 SELECT run_no, stage_id, name, num_tasks, max_ms AS max_task_duration_ms, p95_ms AS p95_task_duration_ms FROM worst_stage""")
 def worst_stage(spark, sf):
-    rows = _parsed(spark, sf).select("run_no", M.worst_stage(M.stage_rows(F.col("v"))).alias("s"))
-    return rows.where(F.col("s").isNotNull()).select("run_no", "s.*")
+    rows = _parsed(spark, sf).select("run_no", M.stage_rows(F.col("v")).alias("stages"))
+    worst = F.array(M.worst_stage(F.col("stages")))
+    return V.unnest(rows, worst, "s", "run_no").select("run_no", "s.*")
 
 
 @query(f"""{FULL} SELECT f.run_no, f.severity, f.message, f.action, c.metric, c.cur AS current, round(c.base, 4) AS baseline_average,

@@ -29,12 +29,16 @@ def job_rows(v: Column) -> Column:
     )
 
 
-def job_sample(v: Column) -> Column:
-    """Skew ratio and task p95 of the first object in the job list."""
-    first = V.first_object(V.objects(v, "$.jobs"))
+def first_job(jobs: Column) -> Column:
+    """First object in the job list."""
+    return V.first_object(jobs)
+
+
+def job_sample(job: Column) -> Column:
+    """Skew ratio and task p95 of one job."""
     return F.struct(
-        V.number(first, "$.max_over_median_ratio").alias("ratio"),
-        V.number(first, "$.p95_task_duration_ms").alias("p95_task_duration_ms"),
+        V.number(job, "$.max_over_median_ratio").alias("ratio"),
+        V.number(job, "$.p95_task_duration_ms").alias("p95_task_duration_ms"),
     )
 
 
@@ -66,54 +70,77 @@ def stage_rows(v: Column) -> Column:
     A zero or empty first spelling falls through to the second one.
     """
 
-    def either(x: Column, first: str, second: str, read) -> Column:
-        chosen = V.truthy_text(x, first).isNotNull()
-        return F.when(chosen, read(x, first)).otherwise(read(x, second))
+    spec = (
+        "stage_id:string,stageId:string,name:string,stage_name:string,"
+        "num_tasks:bigint,numTasks:bigint,max_task_duration_ms:double,maxTaskDurationMs:double,"
+        "p95_task_duration_ms:double,p95TaskDurationMs:double"
+    )
+    opened = F.transform(
+        V.objects(v, "$.stages"),
+        lambda x: F.struct(x.alias("raw"), V.fields(x, spec).alias("typed")),
+    )
 
-    def shape(x: Column) -> Column:
+    def text(e: Column, first: str, second: str) -> Column:
+        value = e["typed"][first]
+        kept = V.certain(value) | V.truthy_text(e["raw"], f"$.{first}").isNotNull()
+        return F.when(kept, value).otherwise(e["typed"][second])
+
+    def numeric(e: Column, first: str, second: str) -> Column:
+        value = e["typed"][first]
+        kept = (value != 0) | V.truthy_text(e["raw"], f"$.{first}").isNotNull()
+        chosen = F.when(kept, value).otherwise(e["typed"][second])
+        return F.nanvl(chosen, F.lit(None)) if "duration" in first else chosen
+
+    def shape(e: Column) -> Column:
         return F.struct(
-            either(x, "$.stage_id", "$.stageId", V.text).alias("stage_id"),
-            either(x, "$.name", "$.stage_name", V.text).alias("name"),
-            either(x, "$.num_tasks", "$.numTasks", V.integer).alias("num_tasks"),
-            either(x, "$.max_task_duration_ms", "$.maxTaskDurationMs", V.number).alias(
-                "max_task_duration_ms"
-            ),
-            either(x, "$.p95_task_duration_ms", "$.p95TaskDurationMs", V.number).alias(
-                "p95_task_duration_ms"
-            ),
+            text(e, "stage_id", "stageId").alias("stage_id"),
+            text(e, "name", "stage_name").alias("name"),
+            numeric(e, "num_tasks", "numTasks").alias("num_tasks"),
+            numeric(e, "max_task_duration_ms", "maxTaskDurationMs").alias("max_task_duration_ms"),
+            numeric(e, "p95_task_duration_ms", "p95TaskDurationMs").alias("p95_task_duration_ms"),
         )
 
-    return F.filter(
-        F.transform(V.objects(v, "$.stages"), shape), lambda s: s["stage_id"].isNotNull()
-    )
+    return F.filter(F.transform(opened, shape), lambda s: s["stage_id"].isNotNull())
+
+
+def _first_of_greatest(items: Column, score) -> Column:
+    """The element with the greatest score, the first on ties, NULL without a score."""
+
+    def scored(x: Column, i: Column) -> Column:
+        value = score(x)
+        return F.struct(value.alias("score"), F.when(value.isNotNull(), -i).alias("neg"))
+
+    return F.get(items, -F.array_max(F.transform(items, scored))["neg"])
 
 
 def worst_stage(stages: Column) -> Column:
     """The stage with the greatest max x (max / p95 where above 1); first on ties."""
 
-    def scored(s: Column, i: Column) -> Column:
+    def score(s: Column) -> Column:
         longest = s["max_task_duration_ms"]
         spread = F.try_divide(longest, s["p95_task_duration_ms"])
-        score = longest * F.when(spread > 1, spread).otherwise(F.lit(1.0))
-        return F.struct(F.when(score > -1, score).alias("score"), (-i).alias("neg"))
+        weighted = longest * F.when(spread > 1, spread).otherwise(F.lit(1.0))
+        return F.when(weighted > -1, weighted)
 
-    best = F.array_max(F.transform(stages, scored))
-    return F.when(best["score"].isNotNull(), F.get(stages, -best["neg"]))
+    return _first_of_greatest(stages, score)
 
 
 def worst_job(jobs: Column, above: float) -> Column:
     """The job with the greatest skew ratio above a limit; first on ties."""
 
-    def scored(j: Column, i: Column) -> Column:
+    def score(j: Column) -> Column:
         ratio = V.number(j, "$.max_over_median_ratio")
-        return F.struct(F.when(ratio > above, ratio).alias("ratio"), (-i).alias("neg"))
+        return F.when(ratio > above, ratio)
+
+    return _first_of_greatest(jobs, score)
+
 
-    best = F.array_max(F.transform(jobs, scored))
-    j = F.get(jobs, -best["neg"])
+def job_details(j: Column) -> Column:
+    """What a finding tells of a job, NULL without a job."""
     return F.when(
-        best["ratio"].isNotNull(),
+        j.isNotNull(),
         F.struct(
-            best["ratio"].alias("ratio"),
+            V.number(j, "$.max_over_median_ratio").alias("ratio"),
             V.truthy_text(j, "$.job_id").alias("job_id"),
             F.coalesce(V.truthy_text(j, "$.job_name"), V.text(j, "$.name")).alias("job_name"),
             V.integer(j, "$.num_tasks").alias("num_tasks"),
@@ -133,11 +160,9 @@ def format_metric(v: Column, path: str) -> Column:
     )
 
 
-def event_snippet(v: Column) -> Column:
+def event_snippet(app: Column, job: Column) -> Column:
     """Up to four text lines about the app and its first job; NULL if there are none."""
-    app = V.field(v, "$.app")
     has_app = V.is_object(app) & (V.text(app, "$") != "{}")
-    job = V.first_object(V.objects(v, "$.jobs"))
     has_job = job.isNotNull() & (V.text(job, "$") != "{}")
 
     def either(first: str, second: str, default: str) -> Column:

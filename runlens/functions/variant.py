@@ -17,8 +17,7 @@ def field(v: Column, path: str, kind: str = "variant") -> Column:
 
 def number(v: Column, path: str) -> Column:
     """Number or numeric text as double; anything else, and NaN, as NULL."""
-    x = field(v, path, "double")
-    return F.when(~F.isnan(x), x)
+    return F.nanvl(field(v, path, "double"), F.lit(None).cast("double"))
 
 
 def integer(v: Column, path: str) -> Column:
@@ -30,6 +29,12 @@ def text(v: Column, path: str) -> Column:
     return field(v, path, "string")
 
 
+def fields(v: Column, spec: str) -> Column:
+    """Several fields of an object in one call; a field that does not fit its type is
+    NULL, and a value that is no object gives a NULL struct."""
+    return F.try_variant_get(v, "$", f"struct<{spec}>")
+
+
 def kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
@@ -42,22 +47,25 @@ def is_text(v: Column) -> Column:
     return kind(v) == "STRING"
 
 
+# Text forms that can stand for an empty value: the rest is certainly not empty.
+_MAYBE_EMPTY = ("", "0", "-0", "0.0", "-0.0", "false", "{}", "[]")
+
+
+def certain(value: Column) -> Column:
+    """Text that is not empty, whatever type it had."""
+    return ~value.isin(*_MAYBE_EMPTY)
+
+
 def truthy_text(v: Column, path: str) -> Column:
     """The field as text, or NULL where it is absent, null, empty, false or zero.
 
-    Text ``"0"`` is kept: only the number zero is empty.
+    Text ``"0"`` is kept: only the number zero is empty. The type of the field is looked
+    up only where its text leaves a doubt.
     """
-    raw, value = field(v, path), text(v, path)
-    empty = F.when(is_text(raw), value == "").otherwise(
-        value.rlike(r"^(-?0(\.0*)?([eE].*)?|false|\{\}|\[\])$")
+    value = text(v, path)
+    return F.when(certain(value), value).when(
+        (value != "") & is_text(field(v, path)), value
     )
-    return F.when(~empty, value)
-
-
-def truthy_number(v: Column, path: str) -> Column:
-    """Numeric reading of a field, NULL where the field is empty (number zero,
-    empty text) but not where it is the text ``"0"``."""
-    return F.when(truthy_text(v, path).isNotNull(), number(v, path))
 
 
 def objects(v: Column, path: str) -> Column:
@@ -81,3 +89,15 @@ def as_object(raw: Column, v: Column) -> Column:
         .when(F.ltrim(raw).startswith("{"), v)
         .otherwise(F.try_parse_json(F.concat(F.lit('{"value":'), raw, F.lit("}"))))
     )
+
+
+def unnest(df, items: Column, name: str, *keep: str, pos: str | None = None):
+    """One row per array element that is not NULL.
+
+    The outer form keeps the optimizer from adding a size filter below, into which it
+    would copy the whole expression that builds the array.
+    """
+    exploded = F.explode_outer(items).alias(name) if pos is None else F.posexplode_outer(
+        items
+    ).alias(pos, name)
+    return df.select(*keep, exploded).where(F.col(name).isNotNull())

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runlens.fixed import (
     COST_ACTION,
@@ -22,12 +23,11 @@ from runlens.params import Thresholds
 from runlens.schema import EVIDENCE, STAGE_EVIDENCE
 
 
-def _struct(schema, values: dict[str, Column]) -> Column:
-    return F.struct(
-        *(
-            values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema.fields
-        )
+def _struct(schema: T.StructType, values: dict[str, Column]) -> Column:
+    """The values as a struct of the given type, NULL for fields without one."""
+    nothing = F.lit(None)
+    return F.struct(*(values.get(f.name, nothing).alias(f.name) for f in schema.fields)).cast(
+        schema.simpleString()
     )
 
 
@@ -128,8 +128,9 @@ def task_straggler(limits: Thresholds = Thresholds()) -> Column:
     )
 
 
-def cost_regression(limits: Thresholds = Thresholds()) -> Column:
-    """The cost measure that rose most over its average; vcores on a tie."""
+def cost_rise(limits: Thresholds = Thresholds()) -> Column:
+    """The cost measure that rose most over its average; vcores on a tie. ``ratio`` is
+    NULL where neither rose above the limit."""
     b = F.col("baseline")
 
     def rise(order: int, name: str, current: Column, average: Column) -> Column:
@@ -142,7 +143,7 @@ def cost_regression(limits: Thresholds = Thresholds()) -> Column:
             average.alias("average"),
         )
 
-    top = F.array_max(
+    return F.array_max(
         F.array(
             rise(0, "vcore_seconds", F.col("app_vcore_seconds"), b["avg_app_vcore_seconds"]),
             rise(
@@ -150,6 +151,10 @@ def cost_regression(limits: Thresholds = Thresholds()) -> Column:
             ),
         )
     )
+
+
+def cost_regression(top: Column, limits: Thresholds = Thresholds()) -> Column:
+    """A cost measure well above its average. ``top`` is ``cost_rise`` as a column."""
     ratio, metric = top["ratio"], top["metric"]
     label = F.replace(metric, F.lit("_"), F.lit(" "))
     message = fill(
@@ -212,18 +217,18 @@ def cluster_rightsizing(limits: Thresholds = Thresholds()) -> Column:
 def add_findings(resolved: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
     """Adds ``findings``, in detector order, and ``has_issues``: any warning or critical
     one; an info finding alone is no issue."""
-    found = resolved.withColumn(
+    found = resolved.withColumn("cost_rise", cost_rise(limits)).withColumn(
         "findings",
         F.array_compact(
             F.array(
                 runtime_regression(limits),
                 task_straggler(limits),
-                cost_regression(limits),
+                cost_regression(F.col("cost_rise"), limits),
                 cluster_rightsizing(limits),
             )
         ),
     )
-    return found.withColumn(
+    return found.drop("cost_rise").withColumn(
         "has_issues",
         F.exists("findings", lambda f: f["severity"].isin("warning", "critical")),
     )

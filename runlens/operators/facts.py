@@ -60,7 +60,7 @@ def fact_rows(found: DataFrame, params: Params, as_of: datetime) -> DataFrame:
         ),
         "driver_log_excerpt": F.col("log_location"),
         "yarn_log_excerpt": F.lit(None),
-        "spark_event_snippet": M.event_snippet(F.col("metrics_doc")),
+        "spark_event_snippet": M.event_snippet(F.col("app_doc"), F.col("first_job_doc")),
         "anomaly_flags": F.to_json(anomaly_flags()),
     }
     return staged.select(
@@ -70,7 +70,7 @@ def fact_rows(found: DataFrame, params: Params, as_of: datetime) -> DataFrame:
 
 def outcomes(found: DataFrame) -> DataFrame:
     """What the report needs of each run, without the JSON documents."""
-    doc = F.col("metrics_doc")
+    doc = F.col("app_doc")
 
     def shown(path: str):
         """A cost value as the report shows it: numbers to one decimal, text as it is."""
@@ -99,8 +99,8 @@ def outcomes(found: DataFrame) -> DataFrame:
         ).alias("findings"),
         b["p50_duration"].alias("baseline_median"),
         b["run_count"].alias("baseline_runs"),
-        shown("$.app.app_vcore_seconds").alias("vcore_text"),
-        shown("$.app.app_memory_gb_seconds").alias("memory_text"),
+        shown("$.app_vcore_seconds").alias("vcore_text"),
+        shown("$.app_memory_gb_seconds").alias("memory_text"),
     )
 
 

@@ -29,10 +29,24 @@ def profile_runs(runs: DataFrame, *, uid: str, limits: Thresholds = Thresholds()
         F.col(uid).cast("string").alias("uid"),
     )
     v = F.col("metrics_doc")
-    return parsed.select(
+    # Each step names what later steps use more than once, so that it is computed once.
+    opened = parsed.select(
         "*",
-        identity.primary_job_id(*ids).alias("job_id"),
+        V.field(v, "$.app").alias("app_doc"),
+        V.objects(v, "$.jobs").alias("job_docs"),
+        M.stage_rows(v).alias("stages"),
+        identity.job_family(*ids).alias("family"),
         identity.run_identifier(*ids).alias("run_identifier"),
+    )
+    picked = opened.select(
+        "*",
+        M.first_job(F.col("job_docs")).alias("first_job_doc"),
+        M.worst_job(F.col("job_docs"), limits.straggler_warning).alias("worst_job_doc"),
+    )
+    app = F.col("app_doc")
+    return picked.select(
+        *(c for c in picked.columns if c not in ("job_docs", "stages", "family", "worst_job_doc")),
+        F.coalesce(identity.non_empty(F.col("family")), F.col("run_identifier")).alias("job_id"),
         F.coalesce(
             identity.non_empty(identity.cluster_name(F.col("dataproc_jobid"))), F.lit("unknown")
         ).alias("cluster_name"),
@@ -43,12 +57,12 @@ def profile_runs(runs: DataFrame, *, uid: str, limits: Thresholds = Thresholds()
         *clock.order_columns(
             F.col("job_start_time"), F.col("job_end_time"), F.col("run_date")
         ),
-        V.number(v, "$.app.app_vcore_seconds").alias("app_vcore_seconds"),
-        V.number(v, "$.app.app_memory_gb_seconds").alias("app_memory_gb_seconds"),
-        V.number(v, "$.app.executor_peak").alias("executor_peak"),
-        M.job_sample(v).alias("sample"),
-        M.worst_job(V.objects(v, "$.jobs"), limits.straggler_warning).alias("skewed_job"),
-        M.worst_stage(M.stage_rows(v)).alias("skewed_stage"),
+        V.number(app, "$.app_vcore_seconds").alias("app_vcore_seconds"),
+        V.number(app, "$.app_memory_gb_seconds").alias("app_memory_gb_seconds"),
+        V.number(app, "$.executor_peak").alias("executor_peak"),
+        M.job_sample(F.col("first_job_doc")).alias("sample"),
+        M.job_details(F.col("worst_job_doc")).alias("skewed_job"),
+        M.worst_stage(F.col("stages")).alias("skewed_stage"),
         M.cluster_profile(F.col("cluster_doc")).alias("cluster_profile"),
     )
 
