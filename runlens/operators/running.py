@@ -77,6 +77,18 @@ def running_baselines(samples: DataFrame, *, block_rows: int = 65_536) -> DataFr
     ``samples`` comes from ``profile.samples``; pin it first if it is costly, since range
     partitioning reads its input twice. Families named '' get no running baseline.
     """
+    swept = (
+        block_stream(samples, block_rows)
+        .repartition("job_id", "block")
+        .sortWithinPartitions("job_id", "block", "kind", "at")
+        .mapInArrow(_sweep, _SWEPT)
+    )
+    return swept.withColumn("job_type", F.lit("SPARK")).select("uid", *BASELINE_SCHEMA.names)
+
+
+def block_stream(samples: DataFrame, block_rows: int) -> DataFrame:
+    """The input of the sweep: the runs with their block, and for later blocks of large
+    families one summary row and the value rows in reach."""
     ranged = spread(samples.where(F.col("job_id") != ""), ["job_id"], list(ORDER))
     # At most rows / block_rows families are large, each with a segment for every
     # partition it touches, so this table is small by construction.
@@ -87,29 +99,19 @@ def running_baselines(samples: DataFrame, *, block_rows: int = 65_536) -> DataFr
     )
     rows = ranged.select("row_id", "uid", "job_id", "cluster_name", *MEASURES)
     if large.isEmpty():
-        stream = rows.select(*_as_run(F.lit(0)))
-    else:
-        position = F.col("row_id") - F.col("first_id") + F.col("before")
-        keyed = rows.withColumn("part", part()).join(
-            F.broadcast(large), ["job_id", "part"], "left"
-        )
-        block = F.coalesce(F.floor(position / block_rows), F.lit(0)).cast("int")
-        blocked = keyed.withColumn("block", block)
-        big = blocked.where(F.col("total").isNotNull())
-        stream = (
-            blocked.select(*_as_run(F.col("block")))
-            .unionByName(_block_starts(big))
-            .unionByName(_values_in_reach(big, block_rows))
-        )
-    swept = (
-        stream.repartition("job_id", "block")
-        .sortWithinPartitions("job_id", "block", "kind", "at")
-        .mapInArrow(_sweep, _SWEPT)
+        return rows.select(*_as_run(F.lit(0)))
+    position = F.col("row_id") - F.col("first_id") + F.col("before")
+    blocked = (
+        rows.withColumn("part", part())
+        .join(F.broadcast(large), ["job_id", "part"], "left")
+        .withColumn("block", F.coalesce(F.floor(position / block_rows), F.lit(0)).cast("int"))
+    )
+    big = blocked.where(F.col("total").isNotNull())
+    return (
+        blocked.select(*_as_run(F.col("block")))
+        .unionByName(_block_starts(big))
+        .unionByName(_values_in_reach(big, block_rows))
     )
-    return swept.select(
-        "uid", "job_id", F.lit("SPARK").alias("job_type"), "cluster_name",
-        *(name for name, _, _ in SLICES), *(name for name, _ in AVERAGES), "run_count",
-    ).select("uid", *BASELINE_SCHEMA.names)
 
 
 def _as_run(block: Column) -> list:
