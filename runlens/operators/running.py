@@ -20,41 +20,18 @@ Families with no more than ``block_rows`` runs, nearly all, stop after step 2.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
-from math import ceil, floor
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions.clock import ORDER
-from runlens.operators.baseline import BATCH_UPPER_RANK
 from runlens.operators.profile import MEASURES, has_measure
 from runlens.operators.ranking import part, segments, spread
+from runlens.operators.sweep import AVERAGES, BUCKET, RUN, SLICES, SUMMARY, sweep
 from runlens.schema import BASELINE_SCHEMA
 
-# Quantiles kept by the sweep: (output column, measure, rank).
-SLICES = (
-    ("p50_duration", "duration_seconds", 0.5),
-    ("p95_duration", "duration_seconds", BATCH_UPPER_RANK),
-    ("p50_app_vcore_seconds", "app_vcore_seconds", 0.5),
-    ("p95_app_vcore_seconds", "app_vcore_seconds", BATCH_UPPER_RANK),
-    ("p50_app_memory_gb_seconds", "app_memory_gb_seconds", 0.5),
-    ("p95_app_memory_gb_seconds", "app_memory_gb_seconds", BATCH_UPPER_RANK),
-    ("p95_task_duration_ms", "p95_task_duration_ms", BATCH_UPPER_RANK),
-)
-AVERAGES = (
-    ("avg_duration", "duration_seconds"),
-    ("avg_app_vcore_seconds", "app_vcore_seconds"),
-    ("avg_app_memory_gb_seconds", "app_memory_gb_seconds"),
-    ("avg_max_over_median_ratio", "max_over_median_ratio"),
-)
 # Bucket fetches answered by one task of the bucket join.
 _TARGETS_PER_TASK = 64
 
-_SUMMARY, _BUCKET, _RUN = 0, 1, 2
-
 
 def windowed_baselines(samples: DataFrame) -> DataFrame:
     """The plain window form: for small batches, and the model the sweep is tested on."""
@@ -81,7 +58,7 @@ def running_baselines(samples: DataFrame, *, block_rows: int = 65_536) -> DataFr
         block_stream(samples, block_rows)
         .repartition("job_id", "block")
         .sortWithinPartitions("job_id", "block", "kind", "at")
-        .mapInArrow(_sweep, _SWEPT)
+        .mapInArrow(sweep, _SWEPT)
     )
     return swept.withColumn("job_type", F.lit("SPARK")).select("uid", *BASELINE_SCHEMA.names)
 
@@ -118,7 +95,7 @@ def _as_run(block: Column) -> list:
     return [
         "job_id",
         block.cast("int").alias("block"),
-        F.lit(_RUN).alias("kind"),
+        F.lit(RUN).alias("kind"),
         F.col("row_id").alias("at"),
         F.col("uid").cast("string").alias("uid"),
         "cluster_name",
@@ -163,7 +140,7 @@ def _block_starts(big: DataFrame) -> DataFrame:
         numbers.alias("numbers"),
         F.last(F.col("newest")["cluster_name"], ignorenulls=True).over(w).alias("cluster"),
     ).where(F.col("block") > 0).select(
-        *_note(_SUMMARY, F.lit(0), F.col("cluster"), F.col("numbers"))
+        *_note(SUMMARY, F.lit(0), F.col("cluster"), F.col("numbers"))
     )
 
 
@@ -245,7 +222,7 @@ def _values_in_reach(big: DataFrame, block_rows: int) -> DataFrame:
         F.array(F.col("slice").cast("double"), F.col("below").cast("double")), earlier
     )
     return fetched.select(
-        *_note(_BUCKET, F.col("slice"), F.lit(None).cast("string"), numbers)
+        *_note(BUCKET, F.col("slice"), F.lit(None).cast("string"), numbers)
     )
 
 
@@ -255,130 +232,3 @@ _SWEPT = (
     + ", "
     + ", ".join(f"{name} double" for name, _ in AVERAGES)
 )
-
-
-class _Quantile:
-    """One running quantile: values up to its lower neighbour in a max-heap, the rest in
-    a min-heap. ``hidden`` counts smaller values that are not held."""
-
-    __slots__ = ("rank", "hidden", "count", "low", "high")
-
-    def __init__(self, rank: float):
-        self.rank = rank
-        self.hidden = 0
-        self.count = 0
-        self.low: list[float] = []
-        self.high: list[float] = []
-
-    def start(self, count: int, hidden: int, values: list[float]) -> None:
-        self.count, self.hidden = count, hidden
-        values.sort()
-        cut = max(floor((count - 1) * self.rank) + 1 - hidden, 0)
-        self.low = [-x for x in values[:cut]]
-        heapify(self.low)
-        self.high = values[cut:]
-
-    def add(self, x: float) -> None:
-        self.count += 1
-        low, high = self.low, self.high
-        if low and x < -low[0]:
-            heappush(low, -x)
-        else:
-            heappush(high, x)
-        want = floor((self.count - 1) * self.rank) + 1 - self.hidden
-        while len(low) > want:
-            heappush(high, -heappop(low))
-        while len(low) < want:
-            heappush(low, -heappop(high))
-
-    def read(self) -> float | None:
-        if not self.count:
-            return None
-        position = (self.count - 1) * self.rank
-        lower = -self.low[0]
-        if ceil(position) == floor(position):
-            return lower
-        return lower + (self.high[0] - lower) * (position - floor(position))
-
-
-class _Block:
-    """What a sweep knows at some row of a block."""
-
-    def __init__(self) -> None:
-        self.samples = 0
-        self.cluster: str | None = None
-        self.counts = [0] * len(MEASURES)
-        self.sums = [0.0] * len(MEASURES)
-        self.quantiles = [_Quantile(rank) for _, _, rank in SLICES]
-        self.reach: dict[int, tuple[float, list[float]]] = {}
-        self.by_measure = [
-            [q for q, (_, m, _) in zip(self.quantiles, SLICES) if m == name] for name in MEASURES
-        ]
-
-    def summary(self, numbers: list[float], cluster: str | None) -> None:
-        n = len(MEASURES)
-        self.samples, self.cluster = int(numbers[0]), cluster
-        self.counts = [int(x) for x in numbers[1 : n + 1]]
-        self.sums = list(numbers[n + 1 :])
-
-    def bucket(self, numbers: list[float]) -> None:
-        below, values = self.reach.get(int(numbers[0]), (float("inf"), []))
-        values.extend(numbers[2:])
-        self.reach[int(numbers[0])] = (min(below, numbers[1]), values)
-
-    def begin(self) -> None:
-        for i, (below, values) in self.reach.items():
-            count = self.counts[MEASURES.index(SLICES[i][1])]
-            self.quantiles[i].start(count, int(below), values)
-        self.reach = {}
-
-    def baseline(self) -> list:
-        means = [
-            self.sums[i] / self.counts[i] if self.counts[i] else None
-            for i in (MEASURES.index(m) for _, m in AVERAGES)
-        ]
-        return [self.samples, *(q.read() for q in self.quantiles), *means]
-
-    def add(self, row: list[float | None], cluster: str) -> None:
-        seen = False
-        for i, x in enumerate(row):
-            if x is None:
-                continue
-            seen = True
-            self.counts[i] += 1
-            self.sums[i] += x
-            for q in self.by_measure[i]:
-                q.add(x)
-        if seen:
-            self.samples += 1
-            self.cluster = cluster
-
-
-def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["uid", "job_id", "cluster_name", "run_count"]
-    names += [name for name, _, _ in SLICES] + [name for name, _ in AVERAGES]
-    types = [pa.string()] * 3 + [pa.int64()] + [pa.float64()] * (len(names) - 4)
-    current, state, begun = None, _Block(), False
-    for batch in batches:
-        col = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
-        measured = list(zip(*(col[m] for m in MEASURES)))
-        out: list[list] = []
-        for i, key in enumerate(zip(col["job_id"], col["block"])):
-            if key != current:
-                current, state, begun = key, _Block(), False
-            kind = col["kind"][i]
-            if kind == _SUMMARY:
-                state.summary(col["numbers"][i], col["cluster_name"][i])
-                continue
-            if kind == _BUCKET:
-                state.bucket(col["numbers"][i])
-                continue
-            if not begun:
-                state.begin()
-                begun = True
-            if state.samples:
-                out.append([col["uid"][i], key[0], state.cluster, *state.baseline()])
-            state.add(measured[i], col["cluster_name"][i])
-        if out:
-            arrays = [pa.array(list(c), type=t) for c, t in zip(zip(*out), types)]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)

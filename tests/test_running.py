@@ -99,7 +99,8 @@ def test_window_form_equals_sequential_model(spark):
 def test_hot_family_is_cut_into_blocks(spark):
     """No block holds more rows than asked, and what it is told of earlier blocks is
     bounded by the block size, not by the family size."""
-    from runlens.operators.running import SLICES, block_stream
+    from runlens.operators.running import block_stream
+    from runlens.operators.sweep import SLICES
 
     rows = make(1, {"hot": 3000, "a": 4})
     stream = block_stream(spark.createDataFrame(rows, SCHEMA), block_rows=100)
@@ -141,3 +142,17 @@ def test_pin_uses_the_session_folder(spark):
     assert spark.sparkContext.getCheckpointDir().startswith(
         "file:" + spark.conf.get("spark.checkpoint.dir").rstrip("/")
     ) or spark.conf.get("spark.checkpoint.dir").rstrip("/") in spark.sparkContext.getCheckpointDir()
+
+
+def test_tasks_need_no_copy_of_the_package():
+    """The sweep travels by value: it loads where this package cannot be imported."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from runlens.operators.sweep import sweep
+
+    code = "import sys, pickle; f = pickle.loads(sys.stdin.buffer.read()); assert list(f(iter([]))) == []"
+    sent = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(sweep), cwd="/", capture_output=True)
+    assert sent.returncode == 0, sent.stderr
