@@ -24,7 +24,7 @@ from runlens.operators.profile import profile_runs, samples
 from runlens.operators.ranking import line_numbers
 from runlens.operators.resolve import attach_history
 from runlens.operators.running import running_baselines
-from runlens.plans.monitor import found_runs, ingest
+from runlens.plans.monitor import Analysis, analyse, ingest
 from runlens.sources import event_logs, history, logs, series, snapshots
 from runlens.sources.run_state import ingest_summary, scan_runs
 from runlens.storage import pin, shared_folder
@@ -74,9 +74,17 @@ def _profiled(spark: SparkSession, sf: str) -> DataFrame:
     return profile_runs(_runs(spark, sf), uid=UID).withColumn("run_no", F.col(UID))
 
 
-def _found(spark: SparkSession, sf: str) -> DataFrame:
+def _analysis(spark: SparkSession, sf: str) -> Analysis:
     ingested = ingest(_runs(spark, sf), PARAMS, AS_OF, uid=UID)
-    return found_runs(ingested.runs, load(spark, sf, "daily_facts"), PARAMS, AS_OF, uid=UID)
+    return analyse(ingested.runs, load(spark, sf, "daily_facts"), PARAMS, AS_OF, uid=UID)
+
+
+def _found(spark: SparkSession, sf: str) -> DataFrame:
+    return _analysis(spark, sf).found
+
+
+def _facts(spark: SparkSession, sf: str) -> DataFrame:
+    return fact_rows(_analysis(spark, sf).wide, PARAMS, AS_OF)
 
 
 def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,7 +141,7 @@ def recent_facts(spark, sf):
 @query()
 def fact_roundtrip(spark, sf):
     """Facts of the window, appended to a new fact table and read back."""
-    facts = fact_rows(_found(spark, sf), PARAMS, AS_OF)
+    facts = _facts(spark, sf)
     folder = f"{shared_folder(spark).rstrip('/')}/facts-{datetime.now().timestamp():.6f}"
     history.append_facts(facts, folder, as_path=True)
     return history.read_facts(spark, folder)
@@ -646,7 +654,7 @@ grouped AS (SELECT job_id, quantile_cont(dur, 0.5) AS p50_duration, quantile_con
   FROM sampled WHERE has AND job_id <> '' GROUP BY job_id)
 SELECT g.job_id, n.cluster_name, {_duck_stats('g.')} FROM grouped g JOIN newest n ON n.job_id = g.job_id AND n.rn = 1""")
 def local_baseline_(spark, sf):
-    rows = local_baseline(samples(_profiled(spark, sf)))
+    rows = local_baseline(pin(samples(_profiled(spark, sf))))
     return rows.select("job_id", "cluster_name", *_stats())
 
 
@@ -715,7 +723,7 @@ def cluster_rightsizing(spark, sf):
   b_p50_duration AS baseline_median, b_run_count AS baseline_runs FROM flagged""")
 def anomaly_flags(spark, sf):
     """The nested payload, through its JSON form."""
-    facts = fact_rows(_found(spark, sf), PARAMS, AS_OF)
+    facts = _facts(spark, sf)
     flags = facts.select(
         F.regexp_extract("driver_log_excerpt", r"(\d+)$", 1).cast("bigint").alias("run_no"),
         V.parse(F.col("anomaly_flags")).alias("a"),
@@ -750,7 +758,7 @@ def anomaly_flags(spark, sf):
   log_location AS driver_log_excerpt, CAST(NULL AS VARCHAR) AS yarn_log_excerpt,
   run_identifier AS metadata_run, job_id AS metadata_family, json_extract_string(mj, '$.app.app_id') AS app_id, has_issues FROM flagged""")
 def fact_rows_(spark, sf):
-    facts = fact_rows(_found(spark, sf), PARAMS, AS_OF)
+    facts = _facts(spark, sf)
     rows = history.decode_facts(facts)
     c, m, a = F.col("cluster_metrics"), F.col("job_metrics"), F.col("anomaly_flags")
     plain = ("project_id", "region", "cluster_name", "job_id", "job_type", "job_state", "duration_seconds",

@@ -65,6 +65,9 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             # Clustered by date, so that a date predicate skips files and row groups. A real
             # fact table is partitioned by date, but days of this data are a few rows each.
             derived = derived.repartitionByRange("ingest_date").sortWithinPartitions("ingest_date")
+        elif name == "run_state":
+            # Several files, as a real table has: one for each core to read.
+            derived = derived.repartition(spark.sparkContext.defaultParallelism, "run_no")
         derived.write.mode("overwrite").parquet(path)
         _written[key] = path
     if name == "daily_facts":

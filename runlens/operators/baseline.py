@@ -91,6 +91,7 @@ def local_baseline(samples: DataFrame) -> DataFrame:
 
     The averages are one partial aggregate; the quantiles of all measures come from one
     ranking of the long form (family, measure, value), with no family held whole in a task.
+    Pin the samples first; they are read more than once.
     """
     counted = samples.where((F.col("job_id") != "") & has_measure())
     averages = counted.groupBy("job_id").agg(

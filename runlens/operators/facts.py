@@ -11,6 +11,7 @@ from runlens.functions import metrics as M
 from runlens.functions import variant as V
 from runlens.functions.clock import ORDER
 from runlens.functions.identity import non_empty
+from runlens.functions.wording import fixed
 from runlens.operators.detect import anomaly_flags
 from runlens.params import Params, naive_utc
 from runlens.schema import FACT_SCHEMA
@@ -25,12 +26,15 @@ def fact_rows(found: DataFrame, params: Params, as_of: datetime) -> DataFrame:
     """One fact per run, JSON columns as text, in the declared schema. ``found`` is a
     profiled run with baseline and findings."""
     stamp = naive_utc(as_of)
-    cost = M.cost_summary(F.col("metrics_doc"))
+    cost = F.col("cost_summary")
     names = ("app_vcore_seconds", "app_memory_gb_seconds", "executor_peak")
-    staged = found.select(
-        "*",
-        F.struct(*(_without_nulls(cost[n]).alias(n) for n in names)).alias("cost_summary"),
-        V.as_object(F.col("cluster_config_details"), F.col("cluster_doc")).alias("cluster_object"),
+    staged = found.withColumns(
+        {
+            "cost_summary": F.struct(*(_without_nulls(cost[n]).alias(n) for n in names)),
+            "cluster_object": V.as_object(
+                F.col("cluster_config_details"), F.col("cluster_doc")
+            ),
+        }
     )
     app_id = non_empty(F.col("application_id"))
     cluster_metrics = F.struct(
@@ -70,15 +74,14 @@ def fact_rows(found: DataFrame, params: Params, as_of: datetime) -> DataFrame:
 
 def outcomes(found: DataFrame) -> DataFrame:
     """What the report needs of each run, without the JSON documents."""
-    doc = F.col("app_doc")
 
-    def shown(path: str):
+    def shown(name: str):
         """A cost value as the report shows it: numbers to one decimal, text as it is."""
-        raw, text = V.field(doc, path), V.text(doc, path)
-        numeric = ~V.is_text(raw) & V.field(doc, path, "double").isNotNull()
-        return F.when(
-            numeric, F.call_function("format_number", V.field(doc, path, "double"), F.lit("0.0"))
-        ).otherwise(text)
+        raw = F.col("cost_summary")[name]
+        number = V.field(raw, "$", "double")
+        return F.when(~V.is_text(raw) & number.isNotNull(), fixed(number, 1)).otherwise(
+            V.text(raw, "$")
+        )
 
     b = F.col("baseline")
     return found.select(
@@ -99,8 +102,8 @@ def outcomes(found: DataFrame) -> DataFrame:
         ).alias("findings"),
         b["p50_duration"].alias("baseline_median"),
         b["run_count"].alias("baseline_runs"),
-        shown("$.app_vcore_seconds").alias("vcore_text"),
-        shown("$.app_memory_gb_seconds").alias("memory_text"),
+        shown("app_vcore_seconds").alias("vcore_text"),
+        shown("app_memory_gb_seconds").alias("memory_text"),
     )
 
 

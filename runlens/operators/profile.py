@@ -15,7 +15,7 @@ def profile_runs(runs: DataFrame, *, uid: str, limits: Thresholds = Thresholds()
     """Read each JSON column once and keep what the later steps need.
 
     ``uid`` names a unique run key; it breaks ties in the processing order.
-    ``metrics_doc`` and ``cluster_doc`` stay only where a later step selects them.
+    The parsed documents stay in the frame for the fact columns; ``narrow`` drops them.
     """
     ids = [F.col(c) for c in ("spark_jobid", "spark_taskid", "application_id")]
     start = clock.utc(runs, "application_start_time")
@@ -64,6 +64,18 @@ def profile_runs(runs: DataFrame, *, uid: str, limits: Thresholds = Thresholds()
         M.job_details(F.col("worst_job_doc")).alias("skewed_job"),
         M.worst_stage(F.col("stages")).alias("skewed_stage"),
         M.cluster_profile(F.col("cluster_doc")).alias("cluster_profile"),
+        M.cost_summary(v).alias("cost_summary"),
+    )
+
+
+def narrow(profiled: DataFrame) -> DataFrame:
+    """The profile without documents and raw columns: all that baselines, detectors and
+    report need. Small enough to pin, so that the documents are parsed once for them."""
+    return profiled.select(
+        *clock.ORDER,
+        "job_id", "cluster_name", "job_state", "duration_seconds", "app_vcore_seconds",
+        "app_memory_gb_seconds", "executor_peak", "sample", "skewed_job", "skewed_stage",
+        "cluster_profile", "cost_summary",
     )
 
 

@@ -33,22 +33,24 @@ def cold_samples(profiled: DataFrame, baselines: DataFrame, *, broadcast_rows: i
     return joined.where(F.col("known").isNull()).drop("known")
 
 
+def cold_baselines(
+    profiled: DataFrame, baselines: DataFrame, *, block_rows: int, broadcast_rows: int
+) -> DataFrame:
+    """Running baselines of the runs whose family has no history, pinned."""
+    cold = pin(cold_samples(profiled, baselines, broadcast_rows=broadcast_rows))
+    return pin(running_baselines(cold, block_rows=block_rows))
+
+
 def resolve_baselines(
-    profiled: DataFrame,
-    baselines: DataFrame,
-    *,
-    block_rows: int = 65_536,
-    broadcast_rows: int = 200_000,
+    profiled: DataFrame, baselines: DataFrame, running: DataFrame, *, broadcast_rows: int
 ) -> DataFrame:
     """Adds ``baseline`` and ``baseline_source``: the whole historical row if the family
     has one, else the whole running row, else NULL; never a mix of the two.
 
-    ``baselines`` must be pinned. The wide rows do not move for the historical side while
-    that fits a broadcast, nor for the running side while the cold runs are few; beyond
-    that they move once, by the unique run key, which cannot be skewed.
+    Both lookups are pinned. The rows of ``profiled`` do not move for the historical side
+    while that fits a broadcast, nor for the running side while the cold runs are few;
+    beyond that they move once, by the unique run key, which cannot be skewed.
     """
-    cold = pin(cold_samples(profiled, baselines, broadcast_rows=broadcast_rows))
-    running = pin(running_baselines(cold, block_rows=block_rows))
     with_history = attach_history(profiled, baselines, broadcast_rows=broadcast_rows)
     both = lookup_join(
         with_history, _packed(running, "uid", "running"), "uid", broadcast_rows=broadcast_rows

@@ -12,8 +12,8 @@ from runlens.operators import report as R
 from runlens.operators.baseline import historical_baseline
 from runlens.operators.detect import add_findings
 from runlens.operators.facts import fact_rows, memory_summary, outcomes
-from runlens.operators.profile import profile_runs
-from runlens.operators.resolve import resolve_baselines
+from runlens.operators.profile import narrow, profile_runs
+from runlens.operators.resolve import cold_baselines, resolve_baselines
 from runlens.params import Params
 from runlens.sources.history import append_facts, check_fact_table, scan_history
 from runlens.sources.run_state import ingest_summary, scan_runs
@@ -47,16 +47,28 @@ def ingest(run_state: DataFrame, params: Params, as_of: datetime, *, uid: str) -
     return Ingested(runs, ingest_summary(runs, start, end))
 
 
-def found_runs(
+@dataclass(frozen=True)
+class Analysis:
+    """Runs with baseline and findings. ``found`` is narrow and comes from a pinned
+    profile; ``wide`` also has the documents, read again from the source, for the facts."""
+
+    found: DataFrame
+    wide: DataFrame
+
+
+def analyse(
     runs: DataFrame, history: DataFrame, params: Params, as_of: datetime, *, uid: str
-) -> DataFrame:
-    """Profiled runs with baseline and findings: what facts and report are made of."""
+) -> Analysis:
+    limit = {"broadcast_rows": params.broadcast_rows}
     baselines = pin(historical_baseline(scan_history(history, *params.history_window(as_of))))
     profiled = profile_runs(runs, uid=uid, limits=params.thresholds)
-    resolved = resolve_baselines(
-        profiled, baselines, block_rows=params.block_rows, broadcast_rows=params.broadcast_rows
-    )
-    return add_findings(resolved, params.thresholds)
+    kept = pin(narrow(profiled))
+    running = cold_baselines(kept, baselines, block_rows=params.block_rows, **limit)
+
+    def finish(frame: DataFrame) -> DataFrame:
+        return add_findings(resolve_baselines(frame, baselines, running, **limit), params.thresholds)
+
+    return Analysis(finish(kept), finish(profiled))
 
 
 def build_memory(
@@ -81,9 +93,9 @@ def build_memory(
         return Memory(None, None, nothing, NO_RUNS)
     if target is not None and not as_path:
         check_fact_table(history.sparkSession, target)
-    found = found_runs(ingested.runs, history, params, as_of, uid=uid)
-    kept = pin(outcomes(found))
-    facts = fact_rows(found, params, as_of)
+    analysis = analyse(ingested.runs, history, params, as_of, uid=uid)
+    kept = pin(outcomes(analysis.found))
+    facts = fact_rows(analysis.wide, params, as_of)
     if target is not None:
         append_facts(facts, target, dry_run=params.dry_run, as_path=as_path)
     summary = memory_summary(kept, params.dry_run).first().asDict()
