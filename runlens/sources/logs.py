@@ -22,6 +22,9 @@ from runlens.fixed import (
 from runlens.functions.clock import literal_for
 from runlens.functions.identity import non_empty
 
+# Shares a cluster's entries are dealt into before their first lines are merged.
+_SHARES = 64
+
 
 def _select(logs: DataFrame, resource: str, logger: str, start: datetime, end: datetime):
     low, high = (literal_for(logs, "timestamp", m) for m in (start, end))
@@ -56,9 +59,9 @@ def log_lines(
     """The first ``limit`` entries in time order, as log lines.
 
     Text is the text payload, else the message field, else ''. With ``per`` the limit
-    holds for each value of that column in one pass; the rank filter is applied inside
-    every task before the shuffle, so a value with very many entries sends no more than
-    ``limit`` rows per task.
+    holds for each value of that column in one pass. A value may have a third of all
+    entries, so its entries are first dealt into shares, each share keeps its own first
+    ``limit``, and only those meet in one task.
     """
     text = F.coalesce(non_empty(F.col("text_payload")), F.col("message"), F.lit(""))
     optional = [c for c in ("log_name", "resource_labels", "labels") if c in entries.columns]
@@ -66,9 +69,16 @@ def log_lines(
     columns = ["timestamp", "severity", text.alias("text"), *optional]
     if per is None:
         return entries.orderBy(*order).limit(limit).select(entry_id, *columns)
-    w = Window.partitionBy(per).orderBy(*order)
+    share = F.pmod(F.xxhash64(entry_id), F.lit(_SHARES))
+    in_share = Window.partitionBy(per, "share").orderBy(*order)
+    firsts = (
+        entries.withColumn("share", share)
+        .withColumn("place", F.row_number().over(in_share))
+        .where(F.col("place") <= limit)
+    )
+    whole = Window.partitionBy(per).orderBy(*order)
     return (
-        entries.withColumn("line_no", F.row_number().over(w))
+        firsts.withColumn("line_no", F.row_number().over(whole))
         .where(F.col("line_no") <= limit)
         .select(per, "line_no", entry_id, *columns)
     )
