@@ -48,6 +48,33 @@ def segments(ranged: DataFrame, keys: list[str], weight: Column | None = None) -
     )
 
 
+def cut(df: DataFrame, keys: list[str], order: list[str], rows: int) -> tuple[DataFrame, bool]:
+    """Rows in order, each group cut into blocks of at most ``rows`` rows.
+
+    Adds ``row_id``, ``block`` and ``total``; groups of one block have block 0 and total
+    NULL. Also tells whether any group has more than one block.
+    """
+    ranged = spread(df, keys, order)
+    # At most count / rows groups are large, each with a segment for every partition it
+    # touches, so this table is small by construction and may be broadcast.
+    large = (
+        segments(ranged, keys)
+        .where(F.col("total") > rows)
+        .select(*(F.col(k).alias(f"large_{k}") for k in keys), F.col("part").alias("large_part"),
+                "first_id", "before", "total")
+    )
+    if large.isEmpty():
+        whole = ranged.withColumn("block", F.lit(0))
+        return whole.withColumn("total", F.lit(None).cast("bigint")), False
+    same = F.col("large_part") == part()
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"large_{k}"))
+    position = F.col("row_id") - F.col("first_id") + F.col("before")
+    block = F.coalesce(F.floor(position / rows), F.lit(0)).cast("int")
+    joined = ranged.join(F.broadcast(large), same, "left").withColumn("block", block)
+    return joined.select(*ranged.columns, "block", "total"), True
+
+
 def line_numbers(df: DataFrame, order: list[str]) -> DataFrame:
     """Adds ``line_no``, from 1 in the given order, without a one-task window over the
     rows: only one count per partition is summed up."""

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions.clock import ORDER
 from runlens.operators.profile import MEASURES, has_measure
-from runlens.operators.ranking import part, segments, spread
+from runlens.operators.ranking import cut, spread
 from runlens.operators.sweep import AVERAGES, BUCKET, RUN, SLICES, SUMMARY, sweep
 from runlens.schema import BASELINE_SCHEMA
 
@@ -66,29 +66,14 @@ def running_baselines(samples: DataFrame, *, block_rows: int = 65_536) -> DataFr
 def block_stream(samples: DataFrame, block_rows: int) -> DataFrame:
     """The input of the sweep: the runs with their block, and for later blocks of large
     families one summary row and the value rows in reach."""
-    ranged = spread(samples.where(F.col("job_id") != ""), ["job_id"], list(ORDER))
-    # At most rows / block_rows families are large, each with a segment for every
-    # partition it touches, so this table is small by construction.
-    large = (
-        segments(ranged, ["job_id"])
-        .where(F.col("total") > block_rows)
-        .select("job_id", "part", "first_id", "before", "total")
-    )
-    rows = ranged.select("row_id", "uid", "job_id", "cluster_name", *MEASURES)
-    if large.isEmpty():
-        return rows.select(*_as_run(F.lit(0)))
-    position = F.col("row_id") - F.col("first_id") + F.col("before")
-    blocked = (
-        rows.withColumn("part", part())
-        .join(F.broadcast(large), ["job_id", "part"], "left")
-        .withColumn("block", F.coalesce(F.floor(position / block_rows), F.lit(0)).cast("int"))
+    blocked, any_large = cut(
+        samples.where(F.col("job_id") != ""), ["job_id"], list(ORDER), block_rows
     )
+    runs = blocked.select(*_as_run(F.col("block")))
+    if not any_large:
+        return runs
     big = blocked.where(F.col("total").isNotNull())
-    return (
-        blocked.select(*_as_run(F.col("block")))
-        .unionByName(_block_starts(big))
-        .unionByName(_values_in_reach(big, block_rows))
-    )
+    return runs.unionByName(_block_starts(big)).unionByName(_values_in_reach(big, block_rows))
 
 
 def _as_run(block: Column) -> list:

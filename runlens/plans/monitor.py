@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -102,7 +103,7 @@ def build_memory(
     return Memory(facts, kept, summary)
 
 
-def status_report(memory: Memory | None):
+def status_report(memory: Memory | None) -> Iterator[str]:
     """Report lines in order; one guard line when there are no facts."""
     if memory is None or memory.outcomes is None:
         yield NO_FACTS
@@ -112,9 +113,9 @@ def status_report(memory: Memory | None):
 
 def run_once(
     spark: SparkSession, params: Params, as_of: datetime, *, uid: str
-) -> tuple[Memory, list[str]]:
-    """All three steps over catalog tables. The report list grows with the number of
-    regressed families; for very many, use ``report.write_report`` instead."""
+) -> tuple[Memory, Iterator[str]]:
+    """All three steps over catalog tables. The report lines come one partition at a time;
+    ``report.write_report`` writes them without passing through the driver."""
     ingested = ingest(spark.table(params.run_state_source), params, as_of, uid=uid)
     memory = build_memory(
         ingested,
@@ -124,4 +125,4 @@ def run_once(
         uid=uid,
         target=params.fact_table,
     )
-    return memory, list(status_report(memory))
+    return memory, status_report(memory)

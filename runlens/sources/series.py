@@ -19,6 +19,7 @@ from runlens.fixed import (
     JOB_RESOURCE,
 )
 from runlens.functions.clock import literal_for
+from runlens.operators.ranking import cut
 
 
 def _select(points, metric_types, resource, start, end) -> DataFrame:
@@ -74,14 +75,19 @@ def metric_points(points: DataFrame, *keys: str) -> DataFrame:
     return points.select(*keys, F.col("end_time").alias("timestamp"), point_value().alias("value"))
 
 
-def metric_series(points: DataFrame, *keys: str, bucket: str = "hour") -> DataFrame:
-    """One row per series and time bucket, its points in time order.
+def metric_series(
+    points: DataFrame, *keys: str, bucket: str = "hour", piece_rows: int = 10_000
+) -> DataFrame:
+    """One row per series, time bucket and piece, its points in time order.
 
-    A series may hold a third of all points, so it is cut at bucket bounds instead of
-    being collected whole; ``series_start`` orders the pieces.
+    A series may hold a third of all points, so it is never collected whole: it is cut at
+    bucket bounds, and a bucket with over ``piece_rows`` points into further pieces.
+    ``series_start`` and ``piece`` put the pieces in order.
     """
-    long = metric_points(points, *keys)
-    return (
-        long.groupBy(*keys, F.date_trunc(bucket, F.col("timestamp")).cast("timestamp_ntz").alias("series_start"))
-        .agg(F.sort_array(F.collect_list(F.struct("timestamp", "value"))).alias("points"))
+    start = F.date_trunc(bucket, F.col("timestamp")).cast("timestamp_ntz")
+    long = metric_points(points, *keys).withColumn("series_start", start)
+    group = [*keys, "series_start"]
+    pieces, _ = cut(long, group, ["timestamp", "value"], piece_rows)
+    return pieces.groupBy(*group, F.col("block").alias("piece")).agg(
+        F.sort_array(F.collect_list(F.struct("timestamp", "value"))).alias("points")
     )

@@ -144,6 +144,19 @@ def test_point_value_order(spark):
     assert [r[0] for r in df.select(series.point_value()).collect()] == [1.5, 2.0, 3.0, 0.0, 0.0, 0.0]
 
 
+def test_hot_series_is_cut_into_pieces(spark):
+    start = datetime(2024, 1, 1)
+    rows = [("hot" if i % 3 else None, start + timedelta(seconds=i % 50), float(i)) for i in range(600)]
+    df = spark.createDataFrame(rows, "s string, end_time timestamp_ntz, double_value double").withColumns(
+        {"int64_value": F.lit(None).cast("bigint"), "distribution_count": F.lit(None).cast("bigint")}
+    )
+    got = series.metric_series(df, "s", piece_rows=64).orderBy("s", "piece").collect()
+    assert max(len(r["points"]) for r in got) == 64
+    for name in ("hot", None):
+        points = [tuple(p) for r in got if r["s"] == name for p in r["points"]]
+        assert points == sorted((t, x) for s, t, x in rows if s == name)
+
+
 @pytest.mark.parametrize("broadcast_rows,hot_rows", [(100, 10), (2, 10), (0, 10)])
 def test_lookup_join_gives_the_same_rows_either_way(spark, broadcast_rows, hot_rows):
     """Broadcast, hot-key split and plain shuffle agree; one key has a third of all rows."""
