@@ -39,12 +39,16 @@ def scan_runs(
     )
 
 
-def ingest_summary(runs: DataFrame, start: datetime, end: datetime) -> DataFrame:
-    """Window bounds, run count and number of distinct named clusters."""
-    cluster = identity.cluster_name(F.col("dataproc_jobid"))
+def ingest_summary(
+    runs: DataFrame, start: datetime, end: datetime, *, approximate: bool = False
+) -> DataFrame:
+    """Window bounds, run count and number of distinct named clusters; the latter exact,
+    or by sketch where asked."""
+    cluster = identity.non_empty(identity.cluster_name(F.col("dataproc_jobid")))
+    distinct = F.approx_count_distinct if approximate else F.count_distinct
     return runs.agg(
         F.lit(start.isoformat(sep=" ")).cast("timestamp_ntz").alias("window_start"),
         F.lit(end.isoformat(sep=" ")).cast("timestamp_ntz").alias("window_end"),
         F.count("*").alias("run_count"),
-        F.count_distinct(identity.non_empty(cluster)).alias("distinct_clusters"),
+        distinct(cluster).alias("distinct_clusters"),
     )

@@ -184,3 +184,35 @@ def test_results_do_not_depend_on_join_or_block_choice(spark):
         return sorted(map(tuple, rows.collect()))
 
     assert result(FIXTURE_PARAMS) == result(replace(FIXTURE_PARAMS, broadcast_rows=1, block_rows=2))
+
+
+def test_run_once_over_catalog_tables(spark, tmp_path):
+    columns = ", ".join(
+        f"{f.name} {f.dataType.simpleString()}" for f in FACT_SCHEMA.fields if f.name != "ingest_date"
+    )
+    spark.sql("CREATE DATABASE IF NOT EXISTS mon")
+    spark.sql(
+        f"CREATE TABLE mon.facts ({columns}, ingest_date date) USING parquet"
+        f" PARTITIONED BY (ingest_date) LOCATION '{tmp_path}/facts'"
+    )
+    try:
+        runs(spark, *(run(i) for i in range(3))).write.option("path", f"{tmp_path}/runs").saveAsTable("mon.runs")
+        params = Params("p", "r1", bq_dataset="mon", bq_table="facts", run_state_table="runs")
+        memory, lines = monitor.run_once(spark, params, AS_OF, uid="run_no")
+        assert memory.summary["persisted_rows"] == 3 and spark.table("mon.facts").count() == 3
+        assert spark.table("mon.facts").where("ingest_date = '2024-01-02' and job_id = 'etl_daily'").count() == 3
+        assert list(lines)[-3].startswith("- etl_daily (SPARK) state=SUCCEEDED duration=3600.0s")
+        history.check_fact_table(spark, "mon.facts")
+    finally:
+        spark.sql("DROP DATABASE mon CASCADE")
+
+
+def test_write_report(spark, tmp_path):
+    from runlens.checks import queries as Q
+    from runlens.operators import report as R
+
+    out = Q._outcomes(spark, "/root/testdata/sf0.001")
+    R.write_report(out, str(tmp_path / "report"))
+    parts = sorted(p for p in (tmp_path / "report").iterdir() if p.name.startswith("part-"))
+    written = [line for p in parts for line in p.read_text().splitlines()]
+    assert written == list(R.iter_lines(out))
