@@ -138,15 +138,6 @@ def recent_facts(spark, sf):
     )
 
 
-@query()
-def fact_roundtrip(spark, sf):
-    """Facts of the window, appended to a new fact table and read back."""
-    facts = _facts(spark, sf)
-    folder = f"{shared_folder(spark).rstrip('/')}/facts-{datetime.now().timestamp():.6f}"
-    history.append_facts(facts, folder, as_path=True)
-    return history.read_facts(spark, folder)
-
-
 @query(f"""{RUNS}, doc AS (SELECT run_no, CASE WHEN json_valid(spark_event_metrics) THEN spark_event_metrics ELSE '{{}}' END AS m,
   CASE WHEN json_valid(cluster_config_details) THEN cluster_config_details ELSE '{{}}' END AS c FROM run_state)
 SELECT run_no, json_type(m) = 'OBJECT' AS metrics_object, json_type(c) = 'OBJECT' AS cluster_object,
@@ -751,14 +742,15 @@ def anomaly_flags(spark, sf):
 # --- facts -------------------------------------------------------------------------------
 
 
-@query(f"""{FULL} SELECT run_no, '2000-06-29' AS ingest_date, '2000-06-29 00:00:00' AS ingest_timestamp, 'demo-project' AS project_id, 'r1' AS region,
+_FACT_ROWS = f"""{FULL} SELECT run_no, '2000-06-29' AS ingest_date, '2000-06-29 00:00:00' AS ingest_timestamp, 'demo-project' AS project_id, 'r1' AS region,
   cluster_name, job_id, 'SPARK' AS job_type, job_state, CAST(application_start_time AS VARCHAR) AS job_start_time,
   CAST(application_end_time AS VARCHAR) AS job_end_time, dur AS duration_seconds, coalesce(nullif(application_id, ''), '') AS app_ids,
   dataproc_cluster_uuid AS cluster_uuid, workers AS total_workers, json_extract_string(cj, '$.config.autoscalingConfig.policyUri') AS policy,
   log_location AS driver_log_excerpt, CAST(NULL AS VARCHAR) AS yarn_log_excerpt,
-  run_identifier AS metadata_run, job_id AS metadata_family, json_extract_string(mj, '$.app.app_id') AS app_id, has_issues FROM flagged""")
-def fact_rows_(spark, sf):
-    facts = _facts(spark, sf)
+  run_identifier AS metadata_run, job_id AS metadata_family, json_extract_string(mj, '$.app.app_id') AS app_id, has_issues FROM flagged"""
+
+
+def _flat_facts(facts: DataFrame) -> DataFrame:
     rows = history.decode_facts(facts)
     c, m, a = F.col("cluster_metrics"), F.col("job_metrics"), F.col("anomaly_flags")
     plain = ("project_id", "region", "cluster_name", "job_id", "job_type", "job_state", "duration_seconds",
@@ -778,6 +770,19 @@ def fact_rows_(spark, sf):
     )
 
 
+@query(_FACT_ROWS)
+def fact_rows_(spark, sf):
+    return _flat_facts(_facts(spark, sf))
+
+
+@query(_FACT_ROWS)
+def fact_roundtrip(spark, sf):
+    """Facts of the window, appended to a new fact table and read back."""
+    folder = f"{shared_folder(spark).rstrip('/')}/facts-{datetime.now().timestamp():.6f}"
+    history.append_facts(_facts(spark, sf), folder, as_path=True)
+    return _flat_facts(history.read_facts(spark, folder))
+
+
 @query(f"{FULL} SELECT count(*) AS persisted_rows, TRUE AS dry_run, bool_or(has_issues) AS has_anomalies FROM flagged")
 def memory_summary_(spark, sf):
     return memory_summary(_outcomes(spark, sf), PARAMS.dry_run)

@@ -1,4 +1,5 @@
-"""Report operators over outcome rows (``facts.outcomes``).
+"""Report operators over outcome rows (``facts.outcomes``), which should be pinned: the
+report reads them several times.
 
 Every "first" is a minimum over the processing order, so each operator is a mergeable
 aggregate: a family with a third of all findings is reduced inside the scanning tasks.

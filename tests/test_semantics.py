@@ -19,6 +19,7 @@ from runlens.operators.profile import profile_runs
 from runlens.params import Params
 from runlens.schema import BASELINE_FIELDS, BASELINE_SCHEMA
 from runlens.sources.history import decode_facts, scan_history
+from runlens.storage import pin
 
 PARAMS = Params("p", "r1", dry_run=True)
 AS_OF = datetime(2024, 1, 2)
@@ -263,7 +264,7 @@ def test_report_order_and_guards(spark):
         run(1, spark_jobid="b", **mild), run(2, spark_jobid="a", **slow), run(3, spark_jobid="b", **slow),
         run(4, spark_jobid="b", **slow), run(5, spark_jobid="c"), run(6, spark_jobid="d", status=None),
     ]
-    out = outcomes(found(spark, rows))
+    out = pin(outcomes(found(spark, rows)))
     lines = list(R.iter_lines(out))
     assert lines[2] == "Jobs ingested: 6 (states: SUCCEEDED=5, UNKNOWN=1)"
     # Both are critical: b was seen first, and its first critical run is the one named.
