@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from runlens.params import naive_utc
 
 
-def _ntz_literal(moment: datetime) -> Column:
+def ntz_literal(moment: datetime) -> Column:
     return F.lit(naive_utc(moment).isoformat(sep=" ")).cast("timestamp_ntz")
 
 
@@ -21,7 +21,7 @@ def literal_for(df: DataFrame, column: str, moment: datetime) -> Column:
     the column and reaches the file scan."""
     if isinstance(df.schema[column].dataType, T.TimestampType):
         return F.lit(naive_utc(moment).isoformat(sep=" ") + "+00:00").cast("timestamp")
-    return _ntz_literal(moment)
+    return ntz_literal(moment)
 
 
 def date_literal(day: date) -> Column:

@@ -19,8 +19,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.functions.clock import _ntz_literal as ntz
-from runlens.functions.clock import iso_utc
+from runlens.functions.clock import iso_utc, ntz_literal
 from runlens.functions.identity import non_empty
 
 
@@ -116,4 +115,4 @@ def submission_time() -> Column:
 def jobs_in_window(jobs: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """Jobs submitted in the closed window; a job without a time is kept as well."""
     t = submission_time()
-    return jobs.where(t.isNull() | t.between(ntz(start), ntz(end)))
+    return jobs.where(t.isNull() | t.between(ntz_literal(start), ntz_literal(end)))
