@@ -64,7 +64,7 @@ f AS (
            + CASE WHEN 100 * n_symbols > 10 * n_words THEN 4 ELSE 0 END
            + CASE WHEN 100 * n_upper > 30 * n_letters THEN 8 ELSE 0 END
            + CASE WHEN 100 * n_letters < 60 * word_chars THEN 16 ELSE 0 END
-           + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 32 ELSE 0 END
+           + CASE WHEN 100 * n_dup_lines > 60 * n_lines THEN 32 ELSE 0 END
            + CASE WHEN word_chars < 2 * n_words OR word_chars > 12 * n_words THEN 64 ELSE 0 END)::BIGINT AS fail_bits
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

@@ -101,7 +101,7 @@ RULES = (
     Rule(2, "symbols", lambda m: 100 * m["n_symbols"] > 10 * m["n_words"]),
     Rule(3, "capitals", lambda m: 100 * m["n_upper"] > 30 * m["n_letters"]),
     Rule(4, "few_letters", lambda m: 100 * m["n_letters"] < 60 * m["word_chars"]),
-    Rule(5, "repeated_lines", lambda m: 100 * m["n_dup_lines"] > 30 * m["n_lines"]),
+    Rule(5, "repeated_lines", lambda m: 100 * m["n_dup_lines"] > 60 * m["n_lines"]),
     Rule(
         6,
         "word_length",
