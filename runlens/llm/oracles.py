@@ -1,5 +1,7 @@
 """DuckDB texts that give the same rows, where SQL can express them."""
 
+from runlens.llm import licenses
+
 URL_FILTER = r"""
 WITH rest AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r,
@@ -72,7 +74,47 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def license_scan() -> str:
+    """Each rule is one step that notes whether its sequence stands in the rest, and takes it."""
+    known = ", ".join(
+        f"({_quoted(i)}, {_quoted(licenses.normal_form(s))})" for i, s in licenses.SENTENCES.items()
+    )
+    steps = ["step0 AS (SELECT doc_id, n, ids, rest, []::VARCHAR[] AS found FROM sequences)"]
+    for k, (name, seq) in enumerate(licenses.RULES):
+        text = _quoted(licenses.sequence_text(seq))
+        steps.append(
+            f"step{k + 1} AS (SELECT doc_id, n, ids, replace(rest, {text}, '|') AS rest, CASE WHEN contains(rest, {text})"
+            f" AND NOT list_contains(found, {_quoted(name)}) THEN list_append(found, {_quoted(name)}) ELSE found END AS found"
+            f" FROM step{k})"
+        )
+    return rf"""
+WITH known(id, normal) AS (VALUES {known}),
+pieces AS (
+  SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.;:!?])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)) AS p
+  FROM documents),
+sentences AS (
+  SELECT doc_id, i, trim(regexp_replace(translate(p[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) AS normal
+  FROM pieces, unnest(range(1, len(p) + 1)) AS t(i)),
+hits AS (
+  SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY i) AS ids, string_agg('<' || id || '>', '' ORDER BY i) AS rest
+  FROM sentences JOIN known USING (normal) GROUP BY doc_id),
+sequences AS (
+  SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n, coalesce(ids, '') AS ids, coalesce(rest, '') AS rest
+  FROM documents d LEFT JOIN hits h ON h.doc_id = d.doc_id),
+{", ".join(steps)}
+SELECT doc_id, n AS n_sentences, ids AS sentences, array_to_string(found, ',') AS licences
+FROM step{len(licenses.RULES)}
+"""
+
+
 ORACLES = {
     "op1_url_filter": URL_FILTER,
+    "op4_licenses": license_scan(),
     "op5_quality": QUALITY_LEDGER,
 }

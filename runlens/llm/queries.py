@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import quality, shards, url_filter
+from runlens.llm import licenses, pii, quality, shards, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,15 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.size("sentences").cast("long").alias("n_sentences"),
+        F.array_join("sentences", ",").alias("sentences"),
+        F.array_join("licences", ",").alias("licences"),
+    )
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), quality.STANDARD)
     base = F.col("fail_bits").bitwiseAND(F.lit(quality.BASE.mask())) != 0
@@ -38,6 +47,17 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = pii.joined(*(pii.span_text(k, F.col(f"base.{k}")) for k in pii.KINDS))
+    return found.select(
+        "doc_id",
+        *(F.size(f"base.{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS),
+        F.sha2(base, 256).alias("base_sha256"),
+        pii.joined(base, pii.span_text("term", F.col("terms"))).alias("spans"),
+    )
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents"), n_shards=16).select(
         "doc_id",
@@ -52,6 +72,8 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op4_licenses": op4_licenses,
     "op5_quality": op5_quality,
+    "op7_pii": op7_pii,
     "op8_shards": op8_shards,
 }
