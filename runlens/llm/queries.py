@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import licenses, pii, quality, shards, url_filter
+from runlens.llm import decontaminate, licenses, packing, pii, quality, shards, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 URL_RULES = {
     "com/": "allow",
     "example.com/en/": "block",
@@ -29,6 +35,18 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontaminate.build(table(spark, sf_dir, "documents"))
+    return decontaminate.contamination(index, table(spark, sf_dir, "benchmark")).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -70,10 +88,16 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_decontamination": op2_decontamination,
     "op4_licenses": op4_licenses,
     "op5_quality": op5_quality,
     "op7_pii": op7_pii,
     "op8_shards": op8_shards,
+    "op9_packing": op9_packing,
 }
