@@ -113,8 +113,20 @@ FROM step{len(licenses.RULES)}
 """
 
 
+WARC = """
+WITH p AS (
+  SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages),
+f AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, url, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
 ORACLES = {
     "op1_url_filter": URL_FILTER,
+    "op3_warc": WARC,
     "op4_licenses": license_scan(),
     "op5_quality": QUALITY_LEDGER,
 }

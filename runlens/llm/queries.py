@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import decontaminate, licenses, packing, pii, quality, shards, url_filter
+from runlens.llm import decontaminate, licenses, packing, pii, quality, shards, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,16 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    archive = warc.write(pages)
+    asked = pages.select("page_id", warc.surt(F.col("url")).alias("key"))
+    captures = warc.lookup(archive, asked, id_col="page_id")
+    return warc.fetch(archive, captures).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"
+    )
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -95,6 +105,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_decontamination": op2_decontamination,
+    "op3_warc": op3_warc,
     "op4_licenses": op4_licenses,
     "op5_quality": op5_quality,
     "op7_pii": op7_pii,
