@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import decontaminate, licenses, packing, pii, quality, shards, url_filter, warc
+from runlens.llm import decontaminate, licenses, packing, pii, quality, shards, url_filter, warc, wrapper
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = wrapper.extract(table(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     base = pii.joined(*(pii.span_text(k, F.col(f"base.{k}")) for k in pii.KINDS))
@@ -108,6 +113,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_licenses": op4_licenses,
     "op5_quality": op5_quality,
+    "op6_main_text": op6_main_text,
     "op7_pii": op7_pii,
     "op8_shards": op8_shards,
     "op9_packing": op9_packing,
