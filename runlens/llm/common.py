@@ -54,5 +54,11 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hinted(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast if it has no more than ``rows`` rows; beyond that it is joined
+    by a shuffle. It is counted first and should be cheap to read."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def power_of_two(least: float, low: int, high: int) -> int:
     return min(high, max(low, 2 ** math.ceil(math.log2(max(1.0, least)))))

@@ -28,7 +28,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import ascii_lower, fresh, new_folder
+from runlens.llm.common import ascii_lower, fresh, hinted, new_folder, stash
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -223,8 +223,7 @@ def _wanted(index: DataFrame, queries: DataFrame, text_col: str, limit: int) ->
     # Splitting leaves an empty word, which is the list of documents, or it is added.
     terms = queries.select(words).distinct().union(queries.sparkSession.sql("SELECT '' AS w"))
     terms = terms.distinct().select(F.col("w").cast("binary").alias("term"))
-    few = terms.limit(limit + 1).count() <= limit
-    return index.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    return index.join(hinted(terms, limit), "term", "left_semi")
 
 
 def contamination(
@@ -332,6 +331,6 @@ def clean(
     """The documents without a word in any occurrence of a benchmark window, all columns kept."""
     found = contamination(build(docs, id_col=id_col, text_col=text_col), queries, **settings)
     i, k = fresh(docs, "hit_id"), fresh(docs, "hit_key")
-    hits = found.where("n_hit > 0").select(F.col("doc_id").alias(i), F.col("key").alias(k))
-    same = docs[id_col].cast("long").eqNullSafe(hits[i]) & (F.xxhash64(docs[text_col]) == hits[k])
-    return docs.join(hits, same, "left_anti")
+    hits = stash(found.where("n_hit > 0").select(F.col("doc_id").alias(i), F.col("key").alias(k)).distinct(), "hits")
+    same = docs[id_col].cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(docs[text_col]) == F.col(k))
+    return docs.join(hinted(hits, BROADCAST_TERMS), same, "left_anti")

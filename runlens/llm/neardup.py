@@ -38,7 +38,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import UPPER, fresh, stash
+from runlens.llm.common import UPPER, fresh, hinted, stash
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -219,9 +219,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataF
 
 def full_sets(docs: DataFrame, wanted: DataFrame, broadcast_nodes: int) -> DataFrame:
     """``node, values`` (binary) of the wanted ``node, doc_id, h``."""
-    few = wanted.limit(broadcast_nodes + 1).count() <= broadcast_nodes
-    keys = wanted.select("doc_id", "h")
-    keys = F.broadcast(keys) if few else keys
+    keys = hinted(wanted.select("doc_id", "h"), broadcast_nodes)
     same = docs["doc_id"].eqNullSafe(keys["doc_id"]) & (docs["h"] == keys["h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,14 +425,28 @@ def classes(
     )
 
 
-def keep(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+def keep(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    broadcast_rows: int = BROADCAST_NODES,
+    **settings,
+) -> DataFrame:
     """One document of each class, the one with its smallest id, with all columns. Rows
     without an id have nothing to be chosen by and stay."""
-    found = classes(docs, id_col=id_col, text_col=text_col, **settings)
+    found = stash(classes(docs, id_col=id_col, text_col=text_col, **settings).where("doc_id IS NOT NULL"), "found")
     i, h = fresh(docs, "class_id"), fresh(docs, "class_text")
-    chosen = (
-        found.where("doc_id = component_id").select(F.col("doc_id").alias(i), F.col("h").alias(h)).dropDuplicates([i, h])
+    best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "h")).alias("best"))
+    judged = (
+        found.join(best, "component_id")
+        .groupBy(F.col("doc_id").alias(i), F.col("h").alias(h))
+        .agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "h") == F.col("best")).alias("first"))
     )
-    row_id = docs[id_col].cast("long")
-    kept = docs.join(chosen, (row_id == chosen[i]) & (F.xxhash64(docs[text_col]) == chosen[h])).dropDuplicates([i, h])
-    return kept.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    # The rows that go, and those of which one stays, are few as a rule: only they are joined.
+    judged = stash(judged.where("NOT first OR n > 1"), "judged")
+    same = docs[id_col].cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(docs[text_col]) == F.col(h))
+    gone = hinted(judged.select(i, h), broadcast_rows)
+    again = hinted(judged.where("first").select(i, h), broadcast_rows)
+    once = docs.join(again, same, "inner").dropDuplicates([i, h]).select(docs.columns)
+    return docs.join(gone, same, "left_anti").unionByName(once)
