@@ -159,26 +159,36 @@ def disclosures(
     ``docs`` has ``doc_id, h, t`` for the whole corpus, ``near`` comes from ``contexts``.
     """
     event = F.struct("doc_id", "h")
+    total = docs.agg(F.count("*").alias("n"))  # one row
+    n, n_e, n_et = (F.col(c).cast("double") for c in ("n", "n_e", "n_et"))
+    # Natural logarithm over natural logarithm: the share of the entity's information.
+    share = lambda n_t: F.log(n * F.least(n_et, n_t) / (n_e * n_t)) / F.log(n / n_e)
     pairs = near.groupBy("entity", "term").agg(
         F.count_distinct("context").alias("n_contexts"), F.count_distinct(event).alias("n_et")
     )
-    known = stash(pairs.where(F.col("n_contexts") >= min_contexts), "pii-pairs")
     entities = near.select("entity", "doc_id", "h").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    # A term is in at least as many documents as have it near some entity. That bounds its
+    # share from above, and rules out common words before the corpus is counted.
+    around = near.groupBy("term").agg(F.count_distinct(event).alias("n_near"))
+    known = stash(
+        pairs.where(F.col("n_contexts") >= min_contexts)
+        .join(entities, "entity")
+        .join(around, "term")
+        .join(F.broadcast(total))
+        .where("n_e < n")
+        .where(share(F.col("n_near").cast("double")) >= generalise_at),
+        "pii-pairs",
+    )
     wanted = stash(known.select("term").distinct(), "pii-terms")
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("t"), NOT_LETTERS))).alias("term"))
     if wanted.limit(broadcast_terms + 1).count() <= broadcast_terms:
+        # Rows of few terms are left of the corpus; beyond that, counts are joined, not rows.
         counts = words.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     else:
         counts = words.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term", "left_semi")
-    total = docs.agg(F.count("*").alias("n"))  # one row
-    n, n_e, n_t, n_et = (F.col(c).cast("double") for c in ("n", "n_e", "n_t", "n_et"))
-    ic = F.log(n / n_e)
     return (
-        known.join(entities, "entity")
-        .join(counts, "term")
-        .join(F.broadcast(total))
-        .where("n_e < n")
-        .withColumn("share", F.log(n * F.least(n_et, n_t) / (n_e * n_t)) / ic)
+        known.join(counts, "term")
+        .withColumn("share", share(F.col("n_t").cast("double")))
         .where(F.col("share") >= generalise_at)
         .select("entity", "term", "share")
     )
