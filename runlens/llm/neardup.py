@@ -391,7 +391,8 @@ def classes(
         seen.where("node IS NOT NULL")
         .groupBy("node")
         .agg(
-            F.min(F.struct("doc_id", "h")).alias("own"),
+            # A row without an id stands for the set only where no other does.
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("own"),
             F.first("sketch").alias("sketch"),
             F.first("n_shingles").alias("n_shingles"),
         ),

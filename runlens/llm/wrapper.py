@@ -272,7 +272,7 @@ def _hash(text: str) -> int:
 
 SURVEY = (
     "host string, skeleton string, slots array<struct<path:string,chars:long,links:long,boiler:boolean,root:boolean>>,"
-    " blocks array<struct<path:string,hash:long>>"
+    " blocks array<struct<path:string,hash:long,chars:long>>"
 )
 
 
@@ -281,7 +281,7 @@ def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     slot = pa.struct(
         [("path", pa.string()), ("chars", pa.int64()), ("links", pa.int64()), ("boiler", pa.bool_()), ("root", pa.bool_())]
     )
-    block = pa.struct([("path", pa.string()), ("hash", pa.int64())])
+    block = pa.struct([("path", pa.string()), ("hash", pa.int64()), ("chars", pa.int64())])
     for batch in batches:
         skeletons, slots, blocks = [], [], []
         for html in batch.column("html").to_pylist():
@@ -298,7 +298,10 @@ def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ]
             )
             blocks.append(
-                [{"path": p, "hash": h} for p, h in {(b[0], _hash(b[1])) for b in page.blocks if not b[3]}]
+                [
+                    {"path": p, "hash": h, "chars": n}
+                    for p, h, n in {(b[0], _hash(b[1]), len(b[1])) for b in page.blocks if not b[3]}
+                ]
             )
         yield pa.RecordBatch.from_arrays(
             [
@@ -357,11 +360,11 @@ def induce(
     constants = (
         seen.select("host", F.inline("blocks"))
         .groupBy("host", "path", "hash")
-        .agg(F.count("*").alias("times"))
+        .agg(F.count("*").alias("times"), F.max("chars").alias("chars"))
         .join(sizes, "host")
         .where((F.col("n") >= min_pages) & (F.col("times") >= constant_share * F.col("n")))
         .groupBy("host")
-        .agg(F.collect_list(F.struct("path", "hash")).alias("constants"))
+        .agg(F.collect_list(F.struct("path", "hash", "times", "chars")).alias("constants"))
     )
     trees = wrappers(seen, fan_in=fan_in)
 
@@ -393,9 +396,6 @@ def decide(wrapper: list, slots: list[dict], constants: list[dict], n: int, min_
     """Content roots and constant blocks of one host."""
     if n < min_pages:
         return {"roots": [], "constants": []}
-    fixed: dict[str, int] = {}
-    for c in constants:
-        fixed[c["path"]] = fixed.get(c["path"], 0) + 1
     content = [s for s in slots if not s["boiler"] and 2 * s["links"] <= s["chars"]]
     total = sum(s["chars"] for s in content)
     marked = [s["path"] for s in slots if s["root"]]
@@ -414,15 +414,11 @@ def decide(wrapper: list, slots: list[dict], constants: list[dict], n: int, min_
                 break
             node, path = child, f"{path}/{child[0]}"
         best = [path] if path else []
-    roots = set(best)
-    kept = []
-    for c in constants:
-        slot = next((s for s in slots if s["path"] == c["path"]), None)
-        inside = any(below(c["path"], r) for r in roots)
-        # All of a root's slot the same on most pages: copies of one article.
-        copied = inside and slot is not None and fixed[c["path"]] * n * 2 > slot["n"] and fixed[c["path"]] > 2
-        if not copied:
-            kept.append([c["path"], c["hash"]])
+    inside = lambda x: any(below(x["path"], r) for r in best)
+    held = sum(s["chars"] for s in slots if inside(s))
+    # Where most of the roots' text is the same on the pages, they are copies of one article.
+    copied = 2 * sum(c["chars"] * c["times"] for c in constants if inside(c)) > held
+    kept = [[c["path"], c["hash"]] for c in constants if not (copied and inside(c))]
     return {"roots": best, "constants": kept}
 
 
