@@ -9,8 +9,8 @@ ones finds the sum closest to the window, backtracking gives the count of each l
 pattern is repeated as often as the counts allow. Every piece then finds its window from its
 rank among the pieces of its length, which comes from prefix sums over the partitions.
 
-Words repeat, so each distinct word between white space is tokenised once per task and kept
-while the task's cache lasts; the tokenizer drops white space and never joins across it.
+Words repeat, so each distinct word is tokenised once and kept while the task's cache lasts.
+Texts are cut for this only where the tokenizer itself never joins (``split_chunks``).
 
 Defined cases: null and empty texts are one end id; documents may be repeated, each row is
 packed; ids may be null; an empty table gives no rows; only the id and the text are read.
@@ -18,6 +18,7 @@ packed; ids may be null; an empty table gives no rows; only the id and the text
 
 from __future__ import annotations
 
+import os
 import sys
 import zlib
 from collections.abc import Iterator
@@ -36,49 +37,89 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CAPACITY = 2048
 END_ID = 1
 BATCH_CHARS = 4 << 20
-CACHED_WORDS = 400_000
-#: ASCII white space, at which texts are cut for the word cache.
-SPACES = bytes(32 if b in b"\t\n\v\f\r " else b for b in range(256))
+CACHED_WORDS = 300_000
+#: Words given to the tokenizer at once; its results are far larger than the ids kept.
+ENCODED_AT_ONCE = 8_000
+#: ASCII bytes by what they are to the tokenizer: white space, letters and digits, other signs.
+#: The apostrophe may begin a word of its own, and bytes beyond ASCII may be anything.
+SPACE, ALNUM, SIGN, OTHER = range(4)
+CLASSES = bytes(
+    SPACE if chr(b) in "\t\n\v\f\r " else OTHER if b >= 128 or chr(b) == "'" else ALNUM if chr(b).isalnum() else SIGN
+    for b in range(256)
+)
 
 
 def split_chunks(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
-    """The chunks between white space of all texts, and the number of each text's first one."""
+    """Pieces of all texts that the tokenizer treats each by itself, and the number of each
+    text's first piece, with the total.
+
+    It drops white space and keeps words and runs of signs apart. A run of ASCII signs is
+    cut out where ASCII letters, digits or white space stand on both sides; next to other
+    characters it stays where it is, as it may belong to them. ASCII capitals are lowered as
+    the tokenizer would, but before other characters, which may combine with the capital
+    only. Texts that may spell a special token are cut at white space alone.
+    """
     encoded = [(t or "").encode() for t in texts]
-    raw = np.frombuffer(b" ".join(encoded).translate(SPACES), np.uint8)
+    joined = b" ".join(encoded) + b" "
+    special = b"<|" in joined
     begins = np.concatenate(([0], np.cumsum(np.fromiter((len(e) + 1 for e in encoded), np.int64, len(encoded)))))
-    inside = raw != 32
-    edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
-    starts, ends = edges[0::2], edges[1::2]
+    raw = np.frombuffer(joined, np.uint8)
+    kind = np.frombuffer(joined.translate(CLASSES), np.uint8)
+    inside = kind != SPACE
+    breaks = np.diff(inside.astype(np.int8), prepend=0, append=0) != 0
+    if not special:
+        signs = np.flatnonzero(np.diff((kind == SIGN).astype(np.int8), prepend=0, append=0))
+        first, last = signs[0::2], signs[1::2]  # last is behind the run, where at least a blank stands
+        alone = (kind[last] <= ALNUM) & ((first == 0) | (kind[first - 1] <= ALNUM))
+        breaks[first[alone]] = True
+        breaks[last[alone]] = True
+        capital = (raw >= 65) & (raw <= 90)
+        capital[:-1] &= raw[1:] < 128
+        raw = raw + (capital.astype(np.uint8) << 5)
+    edges = np.flatnonzero(breaks)
+    starts, ends = edges[:-1], edges[1:]
+    words = inside[starts]
+    starts, ends = starts[words], ends[words]
     offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int32)
-    chunks = pa.Array.from_buffers(
-        pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside].tobytes())]
-    )
+    data = pa.py_buffer(raw[inside].tobytes())
+    chunks = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), data])
     return chunks, np.searchsorted(starts, begins)
 
 
 class Encoder:
-    """Token ids of texts, through a cache of chunks."""
+    """Token ids of texts, through a cache of pieces in two generations of bounded size."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _known(self, distinct: list[bytes]) -> list[bytes]:
+        if len(self.young) > CACHED_WORDS:
+            self.young, self.old = {}, self.young
+        young, parts = self.young, list(map(self.young.get, distinct))
+        missing = [i for i, p in enumerate(parts) if p is None]
+        for i in missing:
+            parts[i] = self.old.get(distinct[i])
+        new = [i for i in missing if parts[i] is None]
+        for k in range(0, len(new), ENCODED_AT_ONCE):
+            some = new[k : k + ENCODED_AT_ONCE]
+            found = self.tokenizer.encode_batch_fast([distinct[i].decode() for i in some], add_special_tokens=False)
+            for i, e in zip(some, found, strict=True):
+                parts[i] = np.array(e.ids, "<u4").tobytes()
+        young.update((distinct[i], parts[i]) for i in missing)
+        return parts
 
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's ids begin, with the total."""
         chunks, firsts = split_chunks(texts)
         coded = chunks.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        new = [w for w in distinct if w not in self.known]
-        coded_new = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        for w, e in zip(new, coded_new, strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        parts = [self.known[w] for w in distinct]
+        parts = self._known(coded.dictionary.to_pylist())
         flat = np.frombuffer(b"".join(parts), "<u4")
-        sizes = np.fromiter((len(p) // 4 for p in parts), np.int64, len(parts))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         begins = np.cumsum(sizes) - sizes
         codes = coded.indices.to_numpy(zero_copy_only=False)
         counts = sizes[codes]
