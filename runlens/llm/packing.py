@@ -6,8 +6,10 @@ their length matters, and there are fewer lengths than a window has places. So t
 length are gathered (a bounded table, whatever the data's size), and the plan is made on them:
 beginning with the longest remaining length, a bitset subset-sum over the multiset of shorter
 ones finds the sum closest to the window, backtracking gives the count of each length, and the
-pattern is repeated as often as the counts allow. Every piece then finds its window from its
-rank among the pieces of its length, which comes from prefix sums over the partitions.
+pattern is repeated as often as the counts allow. Pieces of a length that leaves more than
+``SLACK`` tokens open whatever is put beside it are cut into powers of two, which the same
+method packs without a gap. Every piece finds its window from its rank among the pieces of
+its length, which comes from prefix sums over the partitions.
 
 Words repeat, so each distinct word is tokenised once and kept while the task's cache lasts.
 Texts are cut for this only where the tokenizer itself never joins (``split_chunks``).
@@ -36,6 +38,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CAPACITY = 2048
 END_ID = 1
+#: A window of whole pieces may lack so many tokens; pieces that fit none such are cut.
+SLACK = 8
 BATCH_CHARS = 4 << 20
 CACHED_WORDS = 300_000
 #: Words given to the tokenizer at once; its results are far larger than the ids kept.
@@ -129,10 +133,16 @@ class Encoder:
 
 
 PIECES = (
-    "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, nth long, ids array<int>"
+    "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, nth long, cuts array<long>,"
+    " ids array<int>"
 )
 
 
+def ladder(length: int) -> list[int]:
+    """Powers of two, the largest first, that make up the length."""
+    return [1 << k for k in range(length.bit_length() - 1, -1, -1) if length >> k & 1]
+
+
 def piece_batches(
     batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, with_ids: bool
 ) -> Iterator[pa.RecordBatch]:
@@ -150,9 +160,14 @@ def piece_batches(
                 piece = whole[s : s + capacity]
                 n = len(piece)
                 own = piece.astype(np.int32) if with_ids else None
-                rows.append((doc_id, s, n, zlib.crc32(piece.tobytes()), len(whole), part, int(seen[n]), own))
+                cuts, at = [], 0
+                for step in ladder(n) if n < capacity else ():
+                    cuts.append(zlib.crc32(piece[at : at + step].tobytes()))
+                    at += step
+                rows.append((doc_id, s, n, zlib.crc32(piece.tobytes()), len(whole), part, int(seen[n]), cuts, own))
                 seen[n] += 1
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        kinds += (pa.list_(pa.int64()), pa.list_(pa.int32()))
         names = [c.split()[0] for c in PIECES.split(", ")]
         return pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names
@@ -195,8 +210,8 @@ def best_subset(counts: dict[int, int], room: int) -> dict[int, int]:
 
 
 @dataclass
-class Plan:
-    """Patterns as arrays, one entry for each length of each pattern, sorted by ``key``."""
+class Patterns:
+    """One entry for each length of each pattern, sorted by ``key``."""
 
     key: np.ndarray  # length << 44 | first rank that the entry takes
     each: np.ndarray  # pieces of that length in one window
@@ -204,6 +219,7 @@ class Plan:
     offset: np.ndarray  # place of the first such piece in the window
     n_windows: int
     padding: int
+    left: dict[int, int]  # per length, the first rank that no window has taken
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.key, (length << 44) | rank, "right") - 1
@@ -212,17 +228,22 @@ class Plan:
         return self.window[at] + number, self.offset[at] + slot * length
 
 
-def make_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """Which lengths share a window. ``histogram`` has the number of pieces per length."""
+def patterns(histogram: dict[int, int], capacity: int, slack: int) -> Patterns:
+    """Which lengths share a window. A length that cannot be filled up to ``slack`` is left."""
     left = {x: n for x, n in histogram.items() if n}
     used = dict.fromkeys(left, 0)
-    entries, windows, padding = [], 0, 0
+    entries, over, windows, padding = [], {}, 0, 0
     while left:
         longest = max(left)
         rest = dict(left)
         rest[longest] -= 1
         pattern = best_subset({x: n for x, n in rest.items() if n}, capacity - longest)
         pattern[longest] = pattern.get(longest, 0) + 1
+        total = sum(x * n for x, n in pattern.items())
+        if capacity - total > slack:
+            over[longest] = used[longest]
+            del left[longest]
+            continue
         times = min(left[x] // n for x, n in pattern.items())
         offset = 0
         for x in sorted(pattern, reverse=True):
@@ -237,7 +258,67 @@ def make_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
         padding += times * (0 if offset & (offset - 1) == 0 else capacity - offset)
     entries.sort()
     columns = np.array(entries, np.int64).reshape(-1, 4).T
-    return Plan(*columns, windows, padding)
+    return Patterns(*columns, windows, padding, over)
+
+
+@dataclass
+class Plan:
+    """Windows of whole pieces, and windows of the pieces that fitted none and are cut."""
+
+    whole: Patterns
+    cut: Patterns
+    #: For a cut length, the number of the first part of each size of its ladder.
+    first: dict[int, dict[int, int]]
+
+    @property
+    def n_windows(self) -> int:
+        return self.whole.n_windows + self.cut.n_windows
+
+    @property
+    def padding(self) -> int:
+        return self.whole.padding + self.cut.padding
+
+
+def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, slack: int = SLACK) -> Plan:
+    """``histogram`` has the number of pieces per length. What finds no window with little
+    slack is cut into powers of two, of which all windows but the last are filled."""
+    whole = patterns(histogram, capacity, slack)
+    sizes: dict[int, int] = {}
+    first: dict[int, dict[int, int]] = {}
+    for length, rank in sorted(whole.left.items()):
+        first[length] = {}
+        for step in ladder(length):
+            first[length][step] = sizes.get(step, 0)
+            sizes[step] = sizes.get(step, 0) + histogram[length] - rank
+    return Plan(whole, patterns(sizes, capacity, capacity), first)
+
+
+def place_pieces(plan: Plan, rows: dict[str, list]) -> dict[str, list]:
+    """The pieces, cut where the plan says so, with ``sequence_id`` and ``offset``."""
+    out: dict[str, list] = {c: [] for c in ("doc_id", "start", "ids_crc32", "doc_tokens", "ids", "length", "rank")}
+    cut = {c: [] for c in out}
+    for r in zip(*(rows[c] for c in (*out, "cuts")), strict=True):
+        length, rank = r[5], r[6]
+        if rank < plan.whole.left.get(length, rank + 1):
+            for c, v in zip(out, r, strict=False):
+                out[c].append(v)
+            continue
+        at = 0
+        for step, crc in zip(ladder(length), r[7], strict=True):
+            ids = r[4][at : at + step] if r[4] is not None else None
+            number = plan.first[length][step] + rank - plan.whole.left[length]
+            for c, v in zip(cut, (r[0], r[1] + at, crc, r[3], ids, step, number), strict=True):
+                cut[c].append(v)
+            at += step
+    windows: list[int] = []
+    offsets: list[int] = []
+    for part, found, begun in ((out, plan.whole, 0), (cut, plan.cut, plan.whole.n_windows)):
+        if part["length"]:
+            w, o = found.place(np.array(part["length"], np.int64), np.array(part["rank"], np.int64))
+            windows += (w + begun).tolist()
+            offsets += o.tolist()
+    both = {c: out[c] + cut[c] for c in out}
+    return {**both, "sequence_id": windows, "offset": offsets}
 
 
 def pack(
@@ -263,24 +344,22 @@ def pack(
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = docs.sparkSession.sparkContext.broadcast(make_plan(histogram, capacity))
 
+    kinds = {
+        "doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(),
+        "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(),
+    }
+    if with_ids:
+        kinds["ids"] = pa.list_(pa.int32())
+
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length = batch.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
-            rank = batch.column("rank").to_numpy(zero_copy_only=False)
-            window, offset = plan.value.place(length, rank) if len(length) else (rank, rank)
-            kept = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(length), pa.array(window), pa.array(offset)],
-                names=[*names, "length", "sequence_id", "offset"],
-            )
-
-    names = ["doc_id", "start", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
-    ids = ", ids array<int>" if with_ids else ""
+            found = place_pieces(plan.value, batch.to_pydict())
+            yield pa.RecordBatch.from_arrays([pa.array(found[c], t) for c, t in kinds.items()], names=list(kinds))
+
+    out = ", ".join(f"{c} {'array<int>' if c == 'ids' else 'long'}" for c in kinds)
     return (
         pieces.join(ranks, ["length", "part"])
-        .select(*names, "length", (F.col("ahead") + F.col("nth")).alias("rank"))
-        .mapInArrow(
-            placed,
-            f"doc_id long, start long, ids_crc32 long, doc_tokens long{ids}, length long, sequence_id long, offset long",
-        )
+        .withColumn("rank", F.col("ahead") + F.col("nth"))
+        .select("doc_id", "start", "ids_crc32", "doc_tokens", "ids", "length", "rank", "cuts")
+        .mapInArrow(placed, out)
     )
