@@ -159,8 +159,8 @@ def disclosures(
     ``docs`` has ``doc_id, h, t`` for the whole corpus, ``near`` comes from ``contexts``.
     """
     event = F.struct("doc_id", "h")
-    total = docs.agg(F.count("*").alias("n"))  # one row
-    n, n_e, n_et = (F.col(c).cast("double") for c in ("n", "n_e", "n_et"))
+    n = F.lit(docs.count()).cast("double")
+    n_e, n_et = (F.col(c).cast("double") for c in ("n_e", "n_et"))
     # Natural logarithm over natural logarithm: the share of the entity's information.
     share = lambda n_t: F.log(n * F.least(n_et, n_t) / (n_e * n_t)) / F.log(n / n_e)
     pairs = near.groupBy("entity", "term").agg(
@@ -174,8 +174,7 @@ def disclosures(
         pairs.where(F.col("n_contexts") >= min_contexts)
         .join(entities, "entity")
         .join(around, "term")
-        .join(F.broadcast(total))
-        .where("n_e < n")
+        .where(n_e < n)
         .where(share(F.col("n_near").cast("double")) >= generalise_at),
         "pii-pairs",
     )

@@ -42,8 +42,8 @@ def shard(
         "part",
         F.coalesce(F.sum("b").over(before), F.lit(0)).alias("bytes_before"),
         F.coalesce(F.sum("r").over(before), F.lit(0)).alias("rows_before"),
+        F.sum("b").over(Window.partitionBy()).alias("all_bytes"),
     )
-    whole = totals.agg(F.sum("b").alias("all_bytes"))
     inside = Window.partitionBy("part").orderBy(*order)
     # One row for each of the n partitions of the order: n is a setting and does not follow the data.
     placed = (
@@ -51,7 +51,6 @@ def shard(
         .withColumn("run", F.sum("size").over(inside))
         .withColumn("nth", F.row_number().over(inside))
         .join(F.broadcast(offsets), "part")
-        .join(F.broadcast(whole))
         .select(
             "doc_id",
             "size",
