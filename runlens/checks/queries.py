@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runlens.checks import duck as D
+from runlens import fixed as X
 from runlens.fixtures import AS_OF, PARAMS, duck_with, load
 from runlens.functions import clock, identity
 from runlens.functions import metrics as M
@@ -21,10 +23,10 @@ from runlens.operators.baseline import (
 )
 from runlens.operators.facts import fact_rows, memory_summary, outcomes
 from runlens.operators.profile import profile_runs, samples
-from runlens.operators.ranking import line_numbers
+from runlens.operators.ranking import exact_quantiles, line_numbers
 from runlens.operators.resolve import attach_history
 from runlens.operators.running import running_baselines
-from runlens.plans.monitor import Analysis, analyse, ingest
+from runlens.plans.monitor import Analysis, analyse, ingest, stored_outcomes
 from runlens.sources import event_logs, history, logs, series, snapshots
 from runlens.sources.run_state import ingest_summary, scan_runs
 from runlens.storage import pin, shared_folder
@@ -273,7 +275,7 @@ SELECT job_no, CAST(submitted AS VARCHAR) AS submitted FROM t
 WHERE submitted IS NULL OR submitted BETWEEN TIMESTAMP '2000-01-01' AND TIMESTAMP '2000-06-29'""")
 def jobs_in_window(spark, sf):
     rows = snapshots.jobs_in_window(_nested_jobs(spark, sf), START, END)
-    return rows.select("job_no", snapshots.submission_time().cast("string").alias("submitted"))
+    return rows.select("job_no", snapshots.submission_time(rows).cast("string").alias("submitted"))
 
 
 _LOGS = duck_with("log_entries")
@@ -304,10 +306,10 @@ def container_logs(spark, sf):
 SELECT * FROM (SELECT cluster_name, row_number() OVER (PARTITION BY cluster_name ORDER BY timestamp, event_id) AS line_no,
     event_id, severity, coalesce(nullif(text_payload, ''), message, '') AS text
   FROM log_entries WHERE resource_type = 'cloud_dataproc_cluster' AND logger = 'Driver' AND {_LOG_WINDOW}) t
-WHERE line_no <= 2000""")
+WHERE line_no <= 20""")
 def log_lines(spark, sf):
     entries = logs.driver_logs(load(spark, sf, "log_entries"), EVENTS_FROM, EVENTS_TO)
-    rows = logs.log_lines(entries, entry_id="event_id", per="cluster_name")
+    rows = logs.log_lines(entries, entry_id="event_id", per="cluster_name", limit=20)
     return rows.select(
         "cluster_name", F.col("line_no").cast("bigint").alias("line_no"), "event_id", "severity", "text"
     )
@@ -316,13 +318,7 @@ def log_lines(spark, sf):
 _POINTS = duck_with("metric_values")
 _POINT_WINDOW = "end_time BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-20'"
 _VALUE = "coalesce(double_value, CAST(int64_value AS DOUBLE), CAST(nullif(distribution_count, 0) AS DOUBLE), 0)"
-_CLUSTER_TYPES = ", ".join(
-    f"'dataproc.googleapis.com/{n}'"
-    for n in (
-        "cluster/yarn/memory_utilization", "cluster/hdfs/percent_used", "cluster/cpu/utilization",
-        "agent/worker/idle_cores",
-    )
-)
+_CLUSTER_TYPES, _JOB_TYPES = (", ".join(f"'{n}'" for n in t) for t in (X.CLUSTER_METRIC_TYPES, X.JOB_METRIC_TYPES))
 
 
 @query(f"""{_POINTS}
@@ -338,7 +334,7 @@ def cluster_metrics(spark, sf):
 
 @query(f"""{_POINTS}
 SELECT event_id, metric_type, job_id FROM metric_values
-WHERE metric_type IN ('dataproc.googleapis.com/job/runtime', 'dataproc.googleapis.com/job/stage_elapsed_time')
+WHERE metric_type IN ({_JOB_TYPES})
   AND resource_type = 'cloud_dataproc_job' AND job_id = 'job-5' AND {_POINT_WINDOW}""")
 def job_metrics_series(spark, sf):
     rows = series.job_metrics(
@@ -355,28 +351,33 @@ def metric_points(spark, sf):
 
 
 @query(f"""{_POINTS}
-SELECT metric_type, cluster_name, region, CAST(date_trunc('hour', end_time) AS VARCHAR) AS series_start, count(*) AS n,
-  string_agg(CAST(end_time AS VARCHAR) || '=' || CAST({_VALUE} AS VARCHAR), ';' ORDER BY end_time, {_VALUE}) AS points
-FROM metric_values GROUP BY metric_type, cluster_name, region, date_trunc('hour', end_time)""")
+SELECT metric_type, cluster_name, region, CAST(end_time AS VARCHAR) AS timestamp, {_VALUE} AS value,
+  row_number() OVER (PARTITION BY metric_type, cluster_name, region ORDER BY end_time, {_VALUE}) AS place FROM metric_values""")
 def metric_series(spark, sf):
-    keys = ("metric_type", "cluster_name", "region")
-    rows = series.metric_series(load(spark, sf, "metric_values"), *keys)
-    joined = F.array_join(
-        F.transform(
-            "points",
-            lambda p: F.concat(p["timestamp"].cast("string"), F.lit("="), p["value"].cast("string")),
-        ),
-        ";",
-    )
-    return rows.select(
-        *keys, text("series_start"), F.size("points").cast("bigint").alias("n"), joined.alias("points")
+    rows = series.metric_series(load(spark, sf, "metric_values"), "metric_type", "cluster_name", "region")
+    return rows.select("metric_type", "cluster_name", "region", text("timestamp"), "value", "place")
+
+
+@query("""SELECT event_type, CAST(ts AS VARCHAR) AS timestamp, coalesce(value, 0) AS value,
+  row_number() OVER (PARTITION BY event_type ORDER BY ts, coalesce(value, 0)) AS place FROM events""")
+def metric_series_long(spark, sf):
+    """A series for each event type: at the scale of the checks well over 10,000 points in one table."""
+    points = spark.read.parquet(f"{sf}/events.parquet").select(
+        "event_type",
+        F.col("ts").alias("end_time"),
+        F.col("value").alias("double_value"),
+        F.lit(None).cast("bigint").alias("int64_value"),
+        F.lit(None).cast("bigint").alias("distribution_count"),
     )
+    rows = series.metric_series(points, "event_type")
+    return rows.select("event_type", text("timestamp"), "value", "place")
 
 
 @query(f"""{duck_with("run_state", "event_log_files")},
 app_ids AS (SELECT application_id FROM run_state WHERE application_id IS NOT NULL
   UNION SELECT 'job_' || CAST(run_no % 10 AS VARCHAR) FROM run_state)
-SELECT application_id, name AS blob_name, CAST(strlen(text) AS BIGINT) AS size_bytes, md5(text) AS content_md5
+SELECT application_id, name AS blob_name, CAST(strlen(text) AS BIGINT) AS size_bytes, strlen(text) > 2000 AS truncated,
+  md5(CASE WHEN strlen(text) > 2000 THEN 'cut' ELSE text END) AS content_md5, least(strlen(text), 2000) BETWEEN 1997 AND 2006 AS near_cap
 FROM event_log_files JOIN app_ids ON starts_with(name, 'logs/' || application_id)
 WHERE name LIKE '%application!_%' ESCAPE '!' OR name LIKE '%job!_%' ESCAPE '!'""")
 def event_log_scan(spark, sf):
@@ -389,10 +390,12 @@ def event_log_scan(spark, sf):
         runs.select(F.concat(F.lit("job_"), (F.col("run_no") % 10).cast("string")))
     )
     rows = event_logs.select_event_logs(
-        files, ids, prefix="logs/", max_bytes=PARAMS.max_eventlog_bytes
+        files, ids, prefix="logs/", max_bytes=2000
     )
     return rows.select(
-        "application_id", "blob_name", "size_bytes", F.md5("content_snippet").alias("content_md5")
+        "application_id", "blob_name", "size_bytes", "truncated",
+        F.md5(F.when(F.col("truncated"), F.lit("cut")).otherwise(F.col("content_snippet"))).alias("content_md5"),
+        F.octet_length("content_snippet").cast("bigint").between(1997, 2006).alias("near_cap"),
     )
 
 
@@ -618,7 +621,11 @@ def baseline_join(spark, sf):
 
 @query(f"""{FULL} SELECT run_no, job_id, source, b_cluster AS baseline_cluster, {_duck_stats('b_')} FROM resolved""")
 def resolved_baseline(spark, sf):
-    return _found(spark, sf).select(
+    return _resolved(_found(spark, sf))
+
+
+def _resolved(found: DataFrame) -> DataFrame:
+    return found.select(
         F.col("uid").cast("bigint").alias("run_no"), "job_id",
         F.col("baseline_source").alias("source"),
         F.col("baseline.cluster_name").alias("baseline_cluster"),
@@ -655,6 +662,55 @@ def running_baseline(spark, sf):
     return rows.select(F.col("uid").cast("bigint").alias("run_no"), "job_id", "cluster_name", *_stats())
 
 
+@query(ORACLES["running_baseline"])
+def running_baseline_blocks(spark, sf):
+    """Families cut into many blocks, as large ones are."""
+    rows = running_baselines(pin(samples(_profiled(spark, sf))), block_rows=16)
+    return rows.select(F.col("uid").cast("bigint").alias("run_no"), "job_id", "cluster_name", *_stats())
+
+
+_TIGHT = replace(PARAMS, broadcast_rows=1, block_rows=16)
+
+
+@query(ORACLES["resolved_baseline"])
+def resolved_baseline_shuffled(spark, sf):
+    """Both lookups too large to be broadcast."""
+    ingested = ingest(_runs(spark, sf), _TIGHT, AS_OF, uid=UID)
+    found = analyse(ingested.runs, load(spark, sf, "daily_facts"), _TIGHT, AS_OF, uid=UID).found
+    return _resolved(found)
+
+
+@query(f"""{duck_with('run_state', 'daily_facts')}, {D.profile('run_state')}, {D.HISTORY}
+SELECT run_no, h.job_id IS NOT NULL AS has_history, h.p50_duration
+FROM (SELECT run_no, CASE WHEN run_no % 3 = 0 THEN (SELECT min(job_id) FROM hist) ELSE job_id END AS job_id FROM prof) p
+LEFT JOIN hist h ON h.job_id = p.job_id""")
+def baseline_join_hot(spark, sf):
+    """A third of all runs in one family, against a lookup that is shuffled."""
+    baselines = pin(_baselines(spark, sf))
+    hot = baselines.agg(F.min("job_id")).first()[0]
+    runs = _profiled(spark, sf).select(
+        "run_no", F.when(F.col("run_no") % 3 == 0, F.lit(hot)).otherwise(F.col("job_id")).alias("job_id")
+    )
+    joined = attach_history(runs, baselines, broadcast_rows=1)
+    return joined.select(
+        "run_no", F.col("historical").isNotNull().alias("has_history"),
+        F.col("historical.p50_duration").alias("p50_duration"),
+    )
+
+
+@query("""SELECT grp, round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.95), 4) AS p95
+FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 150 END AS grp, round(o_totalprice / 1000) AS o_totalprice FROM orders) t
+GROUP BY grp""")
+def exact_quantile_hot(spark, sf):
+    """A third of all rows in one group, with many repeated values."""
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select(
+        F.when(F.col("o_orderkey") % 3 == 0, F.lit(0)).otherwise(F.col("o_custkey") % 150).alias("grp"),
+        F.round(F.col("o_totalprice") / 1000).alias("o_totalprice"),
+    )
+    found = exact_quantiles(rows, ["grp"], "o_totalprice", {"p50": 0.5, "p95": 0.95})
+    return found.select(F.col("grp").cast("bigint").alias("grp"), close("p50"), close("p95"))
+
+
 # --- detectors ---------------------------------------------------------------------------
 
 
@@ -783,7 +839,8 @@ def fact_roundtrip(spark, sf):
     return _flat_facts(history.read_facts(spark, folder))
 
 
-@query(f"{FULL} SELECT count(*) AS persisted_rows, TRUE AS dry_run, bool_or(has_issues) AS has_anomalies FROM flagged")
+@query(f"""{FULL} SELECT count(*) AS persisted_rows, TRUE AS dry_run, bool_or(has_issues) AS has_anomalies,
+  count_if(NOT json_valid(coalesce(spark_event_metrics, '0')) OR NOT json_valid(coalesce(cluster_config_details, '0'))) AS unreadable_runs FROM flagged""")
 def memory_summary_(spark, sf):
     return memory_summary(_outcomes(spark, sf), PARAMS.dry_run)
 
@@ -872,6 +929,23 @@ def report_text(spark, sf):
     return R.numbered_lines(_outcomes(spark, sf))
 
 
+# Facts do not hold the run date: runs without times are placed by their ingest date.
+_STORED = ORACLES["report_text"]
+
+
+@query(_STORED)
+def stored_report(spark, sf):
+    """The report over facts that were written to a table and read back, without any run."""
+    folder = f"{shared_folder(spark).rstrip('/')}/facts-{datetime.now().timestamp():.6f}"
+    history.append_facts(_facts(spark, sf), folder, as_path=True)
+    stored = history.read_facts(spark, folder)
+    number = F.regexp_extract("driver_log_excerpt", r"(\d+)$", 1)
+    dates = _runs(spark, sf).select(F.concat(F.lit("logs/"), text("run_no")).alias("log"), "run_date")
+    dated = stored.join(dates, F.col("driver_log_excerpt") == F.col("log"), "left")
+    kept = stored_outcomes(dated, AS_OF, AS_OF, uid=number, run_date=F.col("run_date"))
+    return R.numbered_lines(kept)
+
+
 # Functions named with a trailing underscore only avoid an import of the same name.
 QUERIES = {name.rstrip("_"): fn for name, fn in QUERIES.items()}
 ORACLES = {name.rstrip("_"): sql for name, sql in ORACLES.items()}

@@ -44,7 +44,8 @@ SELECT o_orderkey AS run_no,
          || ',"machineTypeUri":"n2-standard-4"},"secondaryWorkerConfig":{"numInstances":"' || CAST(o_custkey % 3 AS STRING)
          || '"}' || CASE WHEN o_custkey % 2 = 0 THEN ',"autoscalingConfig":{"policyUri":"p"}' ELSE '' END || '}}' END AS cluster_config_details,
   CASE WHEN o_orderkey % 53 = 0 THEN '[1]' WHEN o_orderkey % 59 = 0 THEN NULL
-       ELSE '{"app":{"app_id":"a' || CAST(o_orderkey AS STRING)
+       WHEN o_orderkey % 61 = 0 THEN 'null' WHEN o_orderkey % 67 = 0 THEN '{bad'
+       ELSE CASE WHEN o_orderkey % 71 = 0 THEN chr(10) WHEN o_orderkey % 73 = 0 THEN chr(9) ELSE '' END || '{"app":{"app_id":"a' || CAST(o_orderkey AS STRING)
          || '","app_vcore_seconds":' || CAST(dur_ds * CASE WHEN o_orderkey % 19 = 0 THEN 8 ELSE 4 END AS STRING)
          || ',"app_memory_gb_seconds":"' || CAST(dur_ds * 16 AS STRING)
          || '","executor_peak":' || CAST(o_orderkey % 11 AS STRING)

@@ -19,7 +19,7 @@ def ntz_literal(moment: datetime) -> Column:
 def literal_for(df: DataFrame, column: str, moment: datetime) -> Column:
     """A literal of the column's own type, so that the comparison needs no cast on
     the column and reaches the file scan."""
-    if isinstance(df.schema[column].dataType, T.TimestampType):
+    if isinstance(kind_of(df, column), T.TimestampType):
         return F.lit(naive_utc(moment).isoformat(sep=" ") + "+00:00").cast("timestamp")
     return ntz_literal(moment)
 
@@ -28,23 +28,39 @@ def date_literal(day: date) -> Column:
     return F.lit(day.isoformat()).cast("date")
 
 
-def utc(df: DataFrame, column: str) -> Column:
-    """The column as UTC TIMESTAMP_NTZ; zone-less values count as UTC."""
-    kind = df.schema[column].dataType
-    c = F.col(column)
+def instant_utc(instant: Column) -> Column:
+    """A TIMESTAMP as UTC TIMESTAMP_NTZ. Counting from the epoch never passes through local
+    time, which a repeated hour would not tell apart."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), epoch)
+
+
+def as_utc(c: Column, kind: T.DataType) -> Column:
+    """A value of this type as UTC TIMESTAMP_NTZ; zone-less values count as UTC."""
     if isinstance(kind, T.TimestampNTZType):
         return c
     if isinstance(kind, T.StringType):
         zoned = c.rlike(r"(?i)(z|[+-]\d\d:?\d\d)$") & c.contains(":")
-        instant = F.convert_timezone(
-            None, F.lit("UTC"), F.try_to_timestamp(c).cast("timestamp_ntz")
-        )
-        return F.when(zoned, instant).otherwise(c.try_cast("timestamp_ntz"))
+        return F.when(zoned, instant_utc(F.try_to_timestamp(c))).otherwise(c.try_cast("timestamp_ntz"))
     if isinstance(kind, T.TimestampType):
-        return F.convert_timezone(None, F.lit("UTC"), c.cast("timestamp_ntz"))
+        return instant_utc(c)
     return c.cast("timestamp_ntz")
 
 
+def kind_of(df: DataFrame, path: str) -> T.DataType:
+    """Type of a nested field; arrays are looked into."""
+    kind: T.DataType = df.schema
+    for name in path.split("."):
+        kind = kind.elementType if isinstance(kind, T.ArrayType) else kind
+        kind = kind[name].dataType
+    return kind
+
+
+def utc(df: DataFrame, path: str) -> Column:
+    """The column or struct field as UTC TIMESTAMP_NTZ."""
+    return as_utc(F.col(path), kind_of(df, path))
+
+
 def iso_utc(ts: Column) -> Column:
     """ISO-8601 text with offset; the fraction appears only when it is not zero."""
     micros = F.date_format(ts, "SSSSSS")

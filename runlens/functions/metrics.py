@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import zip_longest
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from runlens.fixed import SNIPPET_CHARS
+from runlens import fixed as X
 from runlens.functions import variant as V
 from runlens.functions.wording import fixed
 
@@ -160,8 +162,9 @@ def format_metric(v: Column, path: str) -> Column:
     )
 
 
-def event_snippet(app: Column, job: Column) -> Column:
-    """Up to four text lines about the app and its first job; NULL if there are none."""
+def event_snippet(app: Column, job: Column, max_chars: int | None = None) -> Column:
+    """Up to four text lines about the app and its first job, cut only where the caller
+    gives ``max_chars``; NULL if there are none."""
     has_app = V.is_object(app) & (V.text(app, "$") != "{}")
     has_job = job.isNotNull() & (V.text(job, "$") != "{}")
 
@@ -176,30 +179,30 @@ def event_snippet(app: Column, job: Column) -> Column:
     duration = F.coalesce(
         V.truthy_text(app, "$.app_duration_ms"), V.text(app, "$.duration_ms"), F.lit("n/a")
     )
-    app_line = F.concat(
-        F.lit("Application "), either("$.app_name", "$.name", "unknown"),
-        F.lit(" ("), either("$.app_id", "$.application_id", "n/a"),
-        F.lit(") duration="), duration,
-        F.lit("ms executors="), F.coalesce(V.text(app, "$.executor_peak"), F.lit("n/a")),
+    def line(words: tuple[str, ...], *values: Column) -> Column:
+        """The fixed words with the values between them."""
+        parts = [p for w, v in zip_longest(words, values) for p in ((F.lit(w), v) if v is not None else (F.lit(w),))]
+        return F.concat(*parts)
+
+    app_line = line(
+        X.SNIPPET_APP,
+        either("$.app_name", "$.name", "unknown"),
+        either("$.app_id", "$.application_id", "n/a"),
+        duration,
+        F.coalesce(V.text(app, "$.executor_peak"), F.lit("n/a")),
     )
-    usage_line = F.concat(
-        F.lit("  Resource usage: vcore_seconds="), format_metric(app, "$.app_vcore_seconds"),
-        F.lit(" memory_gb_seconds="), format_metric(app, "$.app_memory_gb_seconds"),
+    usage_line = line(
+        X.SNIPPET_USAGE, format_metric(app, "$.app_vcore_seconds"), format_metric(app, "$.app_memory_gb_seconds")
     )
     has_usage = (
         V.text(app, "$.app_vcore_seconds").isNotNull()
         | V.text(app, "$.app_memory_gb_seconds").isNotNull()
     )
-    job_line = F.concat(
-        F.lit("  Job "), or_default(job, "$.job_id", "n/a"),
-        F.lit(" tasks="), or_default(job, "$.num_tasks", "n/a"),
-        F.lit(" duration="), or_default(job, "$.job_duration_ms", "n/a"),
-        F.lit("ms p95="), or_default(job, "$.p95_task_duration_ms", "n/a"),
-        F.lit("ms"),
-    )
-    ratio_line = F.concat(
-        F.lit("    Straggler ratio: "), format_metric(job, "$.max_over_median_ratio")
+    job_line = line(
+        X.SNIPPET_JOB,
+        *(or_default(job, f"$.{n}", "n/a") for n in ("job_id", "num_tasks", "job_duration_ms", "p95_task_duration_ms")),
     )
+    ratio_line = F.concat(F.lit(X.SNIPPET_RATIO), format_metric(job, "$.max_over_median_ratio"))
     lines = F.concat_ws(
         "\n",
         F.when(has_app, app_line),
@@ -207,7 +210,8 @@ def event_snippet(app: Column, job: Column) -> Column:
         F.when(has_job, job_line),
         F.when(has_job & V.text(job, "$.max_over_median_ratio").isNotNull(), ratio_line),
     )
-    return F.nullif(F.substring(lines, 1, SNIPPET_CHARS), F.lit(""))
+    whole = lines if max_chars is None else F.substring(lines, 1, max_chars)
+    return F.nullif(whole, F.lit(""))
 
 
 def enriched_metrics(raw: Column, v: Column, run_id: Column, family: Column) -> Column:
@@ -215,8 +219,9 @@ def enriched_metrics(raw: Column, v: Column, run_id: Column, family: Column) ->
     added where absent. Documents without metadata, the common case, get it spliced
     into their text; only documents that have the section are rebuilt."""
     body = F.regexp_replace(
-        F.when(v.isNull() | F.is_variant_null(v), F.lit("{}"))
-        .when(F.ltrim(raw).startswith("{"), raw)
+        F.when(V.unreadable(raw, v), F.to_json(F.struct(raw.alias("unparsed"))))
+        .when(v.isNull() | F.is_variant_null(v), F.lit("{}"))
+        .when(V.is_object(v), raw)
         .otherwise(F.concat(F.lit('{"value":'), raw, F.lit("}"))),
         r"\}\s*$",
         "",

@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
+# Number words that JSON does not know but writers of such documents use.
+_NO_NUMBER = r"(?<=[:,\[\s])-?(?:NaN|Infinity)(?=\s*[,}\]])"
+
+
+def accept_repeated_keys(spark: SparkSession) -> None:
+    """Documents with a key twice are read, the last value counts. It is a session setting
+    of Spark's parser, so the scans of documents set it."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def parse(text: Column) -> Column:
-    """JSON text to VARIANT; NULL, blank and malformed text give NULL."""
-    return F.try_parse_json(text)
+    """JSON text to VARIANT; NULL, blank and malformed text give NULL. ``NaN`` and
+    ``Infinity`` are read as null, which counts as missing like them."""
+    plain = F.try_parse_json(text)
+    mended = F.when(
+        text.rlike("NaN|Infinity"), F.try_parse_json(F.regexp_replace(text, _NO_NUMBER, "null"))
+    )
+    return F.coalesce(plain, mended)
+
+
+def unreadable(text: Column, v: Column) -> Column:
+    """There is text, but no document could be read from it: malformed, or over the
+    parser's limit of 128 MiB."""
+    return F.coalesce(v.isNull() & text.rlike(r"\S"), F.lit(False))
 
 
 def field(v: Column, path: str, kind: str = "variant") -> Column:
@@ -81,14 +102,16 @@ def first_object(items: Column) -> Column:
     )
 
 
-def as_object(raw: Column, v: Column) -> Column:
-    """The coerced document: objects stay, JSON null / NULL / malformed become
-    ``{}``, other values are wrapped as ``{"value": x}``."""
-    return (
-        F.when(v.isNull() | F.is_variant_null(v), F.parse_json(F.lit("{}")))
-        .when(F.ltrim(raw).startswith("{"), v)
-        .otherwise(F.try_parse_json(F.concat(F.lit('{"value":'), raw, F.lit("}"))))
-    )
+def as_object(raw: Column, v: Column, *, keep_text: bool = False) -> Column:
+    """The coerced document: objects stay, JSON null, NULL and unreadable text become
+    ``{}``, other values are wrapped as ``{"value": x}``. With ``keep_text`` unreadable
+    text is kept as ``{"unparsed": text}``."""
+    whole = F.when(is_object(v), v).when(
+        v.isNull() | F.is_variant_null(v), F.parse_json(F.lit("{}"))
+    ).otherwise(F.to_variant_object(F.struct(v.alias("value"))))
+    if not keep_text:
+        return whole
+    return F.when(unreadable(raw, v), F.to_variant_object(F.struct(raw.alias("unparsed")))).otherwise(whole)
 
 
 def unnest(df, items: Column, name: str, *keep: str, pos: str | None = None):

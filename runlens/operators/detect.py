@@ -17,6 +17,13 @@ from runlens.fixed import (
     STRAGGLER_ACTION,
     STRAGGLER_STAGE_ACTION,
     UNDERUSED_ACTION,
+    COST_MESSAGE,
+    RUNTIME_MESSAGE,
+    SATURATED_MESSAGE,
+    STRAGGLER_MESSAGE,
+    STRAGGLER_STAGE,
+    UNDERUSED_MESSAGE,
+    WORKERS_MESSAGE,
 )
 from runlens.functions.wording import fill, fixed, shortest
 from runlens.params import Thresholds
@@ -52,7 +59,7 @@ def runtime_regression(limits: Thresholds = Thresholds()) -> Column:
     median = b["p50_duration"]
     ratio = F.try_divide(duration, median)
     message = fill(
-        "Runtime {now}s vs baseline median {median}s (+{delta}s, {ratio}x slower).",
+        RUNTIME_MESSAGE,
         now=fixed(duration, 1),
         median=fixed(median, 1),
         delta=fixed(duration - median, 1),
@@ -80,7 +87,7 @@ def task_straggler(limits: Thresholds = Thresholds()) -> Column:
     job_id = F.coalesce(job["job_id"], F.col("job_id"))
     label = F.coalesce(F.nullif(job["job_name"], F.lit("")), job_id)
     hint = fill(
-        " Most affected stage {stage} ({name}) has max task {longest}ms vs median {p95}ms.",
+        STRAGGLER_STAGE,
         stage=stage["stage_id"],
         name=stage["name"],
         longest=shortest(stage["max_task_duration_ms"]),
@@ -88,7 +95,7 @@ def task_straggler(limits: Thresholds = Thresholds()) -> Column:
     )
     message = F.concat(
         fill(
-            "Spark job {label} shows task skew (max/median ratio {ratio}).",
+            STRAGGLER_MESSAGE,
             label=label,
             ratio=fixed(job["ratio"], 2),
         ),
@@ -158,7 +165,7 @@ def cost_regression(top: Column, limits: Thresholds = Thresholds()) -> Column:
     ratio, metric = top["ratio"], top["metric"]
     label = F.replace(metric, F.lit("_"), F.lit(" "))
     message = fill(
-        "{label} {now} vs avg {average} (+{delta}, {ratio}x).",
+        COST_MESSAGE,
         label=label,
         now=fixed(top["current"], 1),
         average=fixed(top["average"], 1),
@@ -187,7 +194,7 @@ def cluster_rightsizing(limits: Thresholds = Thresholds()) -> Column:
     used = F.when(workers > 0, F.try_divide(peak, workers))
     low = used < limits.utilization_low
     usage = fill(
-        " provisioned workers (peak executors {peak} vs {workers}).",
+        WORKERS_MESSAGE,
         peak=fixed(peak, 1),
         workers=workers,
     )
@@ -195,9 +202,9 @@ def cluster_rightsizing(limits: Thresholds = Thresholds()) -> Column:
     message = F.when(
         low,
         F.concat(
-            fill("Cluster {c} used only {p}% of", c=cluster, p=fixed(used * 100, 0)), usage
+            fill(UNDERUSED_MESSAGE, c=cluster, p=fixed(used * 100, 0)), usage
         ),
-    ).otherwise(F.concat(fill("Cluster {c} saturated", c=cluster), usage))
+    ).otherwise(F.concat(fill(SATURATED_MESSAGE, c=cluster), usage))
     return F.when(
         low | (used >= limits.utilization_high),
         _finding(
@@ -234,31 +241,59 @@ def add_findings(resolved: DataFrame, limits: Thresholds = Thresholds()) -> Data
     )
 
 
+# What each detector tells as evidence. Absent values of a detector's own are stored as null.
+_OWN = {
+    "job_runtime_regression": (
+        "job_id", "duration_seconds", "baseline_p50_seconds", "baseline_p95_seconds", "baseline_run_count",
+    ),
+    "task_straggler_detected": (
+        "job_id", "ratio", "num_tasks", "p95_task_duration_ms", "max_task_duration_ms", "stage",
+    ),
+    "cost_regression": ("metric", "current", "baseline_average", "ratio"),
+    "cluster_underutilized": ("executor_peak", "total_workers", "autoscaling_enabled"),
+    "cluster_capacity_near_limit": ("executor_peak", "total_workers", "autoscaling_enabled"),
+}
+
+_SNAPSHOT = (
+    "p50_duration",
+    "p95_duration",
+    "avg_duration",
+    "avg_app_vcore_seconds",
+    "avg_app_memory_gb_seconds",
+    "avg_max_over_median_ratio",
+    "p95_task_duration_ms",
+    "run_count",
+)
+
+
+def _stored_evidence(finding: Column) -> Column:
+    e = finding["evidence"]
+    return F.coalesce(
+        *(
+            F.when(finding["kind"] == kind, F.to_variant_object(F.struct(*(e[n].alias(n) for n in names))))
+            for kind, names in _OWN.items()
+        )
+    )
+
+
 def anomaly_flags() -> Column:
-    """The nested payload of a run: findings, cost, baseline, identity, advice."""
+    """The nested payload of a run: findings, cost, baseline, identity, advice. Objects are
+    VARIANT, so that their JSON form keeps absent values as null; no baseline is ``{}``."""
     b = F.col("baseline")
-    snapshot = F.when(
-        b.isNotNull(),
-        F.struct(
-            *(
-                b[name].alias(name)
-                for name in (
-                    "p50_duration",
-                    "p95_duration",
-                    "avg_duration",
-                    "avg_app_vcore_seconds",
-                    "avg_app_memory_gb_seconds",
-                    "avg_max_over_median_ratio",
-                    "p95_task_duration_ms",
-                    "run_count",
-                )
-            )
-        ),
-    )
+    snapshot = F.when(b.isNotNull(), F.to_variant_object(F.struct(*(b[n].alias(n) for n in _SNAPSHOT))))
     return F.struct(
-        F.col("findings").alias("findings"),
+        F.transform(
+            "findings",
+            lambda f: F.struct(
+                f["kind"].alias("kind"),
+                f["severity"].alias("severity"),
+                f["message"].alias("message"),
+                _stored_evidence(f).alias("evidence"),
+                f["action"].alias("action"),
+            ),
+        ).alias("findings"),
         F.col("cost_summary").alias("cost_summary"),
-        snapshot.alias("baseline_reference"),
+        F.coalesce(snapshot, F.parse_json(F.lit("{}"))).alias("baseline_reference"),
         F.col("job_id").alias("job_family"),
         F.col("run_identifier").alias("run_identifier"),
         F.transform("findings", lambda f: f["action"]).alias("recommendations"),

@@ -65,6 +65,10 @@ def profile_runs(runs: DataFrame, *, uid: str, limits: Thresholds = Thresholds()
         M.worst_stage(F.col("stages")).alias("skewed_stage"),
         M.cluster_profile(F.col("cluster_doc")).alias("cluster_profile"),
         M.cost_summary(v).alias("cost_summary"),
+        (
+            V.unreadable(F.col("spark_event_metrics"), v)
+            | V.unreadable(F.col("cluster_config_details"), F.col("cluster_doc"))
+        ).alias("unreadable"),
     )
 
 
@@ -75,7 +79,7 @@ def narrow(profiled: DataFrame) -> DataFrame:
         *clock.ORDER,
         "job_id", "cluster_name", "job_state", "duration_seconds", "app_vcore_seconds",
         "app_memory_gb_seconds", "executor_peak", "sample", "skewed_job", "skewed_stage",
-        "cluster_profile", "cost_summary",
+        "cluster_profile", "cost_summary", "unreadable",
     )
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.storage import pin
+from runlens.storage import bounded, pin
 
 
 def spread(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -48,33 +48,49 @@ def segments(ranged: DataFrame, keys: list[str], weight: Column | None = None) -
     )
 
 
-def cut(df: DataFrame, keys: list[str], order: list[str], rows: int) -> tuple[DataFrame, bool]:
+def _placed(ranged: DataFrame, pieces: DataFrame, keys: list[str], broadcast_rows: int) -> DataFrame:
+    """``ranged`` with its segment's columns. Segments are counted first: there is one for
+    each partition a group touches, so their number can follow the data."""
+    named = pieces.select(
+        *(F.col(k).alias(f"piece_{k}") for k in keys), F.col("part").alias("piece_part"),
+        "first_id", "before", "total",
+    )
+    same = F.col("piece_part") == part()
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"piece_{k}"))
+    joined = ranged.join(bounded(named, broadcast_rows), same, "left")
+    return joined.select(*ranged.columns, "first_id", "before", "total")
+
+
+def cut(
+    df: DataFrame, keys: list[str], order: list[str], rows: int, *, broadcast_rows: int = 200_000
+) -> tuple[DataFrame, bool]:
     """Rows in order, each group cut into blocks of at most ``rows`` rows.
 
     Adds ``row_id``, ``block`` and ``total``; groups of one block have block 0 and total
     NULL. Also tells whether any group has more than one block.
     """
     ranged = spread(df, keys, order)
-    # At most count / rows groups are large, each with a segment for every partition it
-    # touches, so this table is small by construction and may be broadcast.
-    large = (
-        segments(ranged, keys)
-        .where(F.col("total") > rows)
-        .select(*(F.col(k).alias(f"large_{k}") for k in keys), F.col("part").alias("large_part"),
-                "first_id", "before", "total")
-    )
+    large = pin(segments(ranged, keys).where(F.col("total") > rows))
     if large.isEmpty():
         whole = ranged.withColumn("block", F.lit(0))
         return whole.withColumn("total", F.lit(None).cast("bigint")), False
-    same = F.col("large_part") == part()
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"large_{k}"))
     position = F.col("row_id") - F.col("first_id") + F.col("before")
     block = F.coalesce(F.floor(position / rows), F.lit(0)).cast("int")
-    joined = ranged.join(F.broadcast(large), same, "left").withColumn("block", block)
+    joined = _placed(ranged, large, keys, broadcast_rows).withColumn("block", block)
     return joined.select(*ranged.columns, "block", "total"), True
 
 
+def group_numbers(
+    df: DataFrame, keys: list[str], order: list[str], name: str, *, broadcast_rows: int = 200_000
+) -> DataFrame:
+    """Adds ``name``, from 1 in each group in the given order, for groups of any size."""
+    ranged = spread(df, keys, order)
+    placed = _placed(ranged, pin(segments(ranged, keys)), keys, broadcast_rows)
+    number = F.col("row_id") - F.col("first_id") + F.col("before") + 1
+    return placed.withColumn(name, number).drop("row_id", "first_id", "before", "total")
+
+
 def line_numbers(df: DataFrame, order: list[str]) -> DataFrame:
     """Adds ``line_no``, from 1 in the given order, without a one-task window over the
     rows: only one count per partition is summed up."""

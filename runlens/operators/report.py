@@ -8,6 +8,7 @@ aggregate: a family with a third of all findings is reduced inside the scanning
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,10 +92,14 @@ def suggested_actions(outcomes: DataFrame) -> DataFrame:
             empty_pos.alias("pos"),
         ).alias("place"),
     )
-    following = _issue_findings(outcomes).select(
-        "job_id",
-        F.col("finding.action").alias("action"),
-        F.struct(F.lit(1).alias("list"), F.lit(0).alias("rank"), "seen", "pos").alias("place"),
+    following = (
+        outcomes.where("has_issues")
+        .select("job_id", _order().alias("seen"), F.posexplode("recommendations").alias("pos", "action"))
+        .select(
+            "job_id",
+            "action",
+            F.struct(F.lit(1).alias("list"), F.lit(0).alias("rank"), "seen", "pos").alias("place"),
+        )
     )
     return (
         leading.unionByName(following)
@@ -118,9 +123,9 @@ def _header(outcomes: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("first_seen", "job_state", "run_count"))).alias("s"),
     )
     listed = F.array_join(
-        F.transform("s", lambda s: fill("{a}={b}", a=s["job_state"], b=s["run_count"])), ", "
+        F.transform("s", lambda s: fill(X.REPORT_STATE, a=s["job_state"], b=s["run_count"])), ", "
     )
-    counts = fill("Jobs ingested: {n} (states: {list})", n=F.col("runs"), list=listed)
+    counts = fill(X.REPORT_COUNTS, n=F.col("runs"), list=listed)
     lines = F.array(F.lit(X.REPORT_TITLE), F.lit(X.REPORT_RULE), counts)
     return states.where(F.col("runs").isNotNull()).select(F.posexplode(lines).alias("pos", "line"))
 
@@ -148,10 +153,17 @@ def report_lines(outcomes: DataFrame) -> DataFrame:
 
     regressions = worst_findings(outcomes)
     # The bodies below depend on one row of totals.
-    totals = regressions.agg(F.count("*").alias("n"))
     any_run = outcomes.agg(F.count("*").alias("runs"))
+    counted = [
+        regressions.select(F.lit(1).alias("n"), F.lit(0).alias("a"), F.lit(False).alias("issue")),
+        suggested_actions(outcomes).select(F.lit(0).alias("n"), F.lit(1).alias("a"), F.lit(False).alias("issue")),
+        outcomes.select(F.lit(0).alias("n"), F.lit(0).alias("a"), F.col("has_issues").alias("issue")),
+    ]
+    totals = reduce(DataFrame.unionByName, counted).agg(
+        F.sum("n").alias("n"), F.sum("a").alias("actions"), F.bool_or("issue").alias("issues")
+    )
     intro_lines = F.when(
-        F.col("n") > 0,
+        F.col("issues"),
         F.array(F.lit(""), fill(X.REPORT_REGRESSIONS, count=F.col("n"))),
     ).otherwise(F.array(F.lit(""), F.lit(X.REPORT_CLEAN)))
     intro = _section(
@@ -161,7 +173,7 @@ def report_lines(outcomes: DataFrame) -> DataFrame:
     median, runs = F.col("baseline_median"), F.col("baseline_runs")
     basis = F.when(
         (median != 0) & (runs != 0),
-        fill(" (baseline median {m}s over {n} runs)", m=fixed(median, 1), n=runs),
+        fill(X.REPORT_BASIS, m=fixed(median, 1), n=runs),
     ).otherwise(F.lit(""))
     body = _section(
         regressions,
@@ -173,7 +185,7 @@ def report_lines(outcomes: DataFrame) -> DataFrame:
         F.lit(0),
         F.concat(
             fill(
-                "- {family} (latest run {run}) on cluster {cluster}: {message}",
+                X.REPORT_REGRESSION,
                 family=F.col("job_id"),
                 run=F.coalesce(F.nullif(F.col("run_identifier"), F.lit("")), F.col("job_id")),
                 cluster=F.col("cluster_name"),
@@ -183,7 +195,7 @@ def report_lines(outcomes: DataFrame) -> DataFrame:
         ),
     )
     actions_intro = _section(
-        totals.where(F.col("n") > 0).select(
+        totals.where("issues").select(
             F.posexplode(F.array(F.lit(""), F.lit(X.REPORT_ACTIONS))).alias("pos", "line")
         ),
         3, nowhere, F.col("pos"), F.col("line"),
@@ -193,8 +205,12 @@ def report_lines(outcomes: DataFrame) -> DataFrame:
         4,
         F.col("place").cast(_PLACE),
         F.lit(0),
-        fill("- {family}: {action}", family=F.col("job_id"), action=F.col("action")),
+        fill(X.REPORT_ACTION, family=F.col("job_id"), action=F.col("action")),
     )
+    no_action = _section(
+        totals.where("issues AND actions = 0").select(F.lit(X.REPORT_NO_ACTION).alias("line")),
+        4, nowhere, F.lit(0), F.col("line"),
+    )
     tail_intro = _section(
         any_run.select(
             F.posexplode(F.array(F.lit(""), F.lit(X.REPORT_HIGHLIGHTS))).alias("pos", "line")
@@ -204,7 +220,7 @@ def report_lines(outcomes: DataFrame) -> DataFrame:
     duration = F.col("duration_seconds")
     shown = F.when(duration != 0, F.concat(fixed(duration, 1), F.lit("s"))).otherwise(F.lit("n/a"))
     first_line = fill(
-        "- {run} ({kind}) state={state} duration={duration}",
+        X.REPORT_RUN,
         run=F.coalesce(F.nullif(F.col("run_identifier"), F.lit("")), F.col("job_id")),
         kind=F.lit("SPARK"),
         state=F.col("job_state"),
@@ -213,7 +229,7 @@ def report_lines(outcomes: DataFrame) -> DataFrame:
     usage = F.when(
         F.coalesce("vcore_text", "memory_text").isNotNull(),
         fill(
-            "  resource usage: vcore_seconds={v} memory_gb_seconds={m}",
+            X.REPORT_USAGE,
             v=F.col("vcore_text"),
             m=F.col("memory_text"),
         ),
@@ -232,7 +248,7 @@ def report_lines(outcomes: DataFrame) -> DataFrame:
         F.col("line"),
     )
     lines = header
-    for section in (intro, body, actions_intro, actions, tail_intro, tail):
+    for section in (intro, body, actions_intro, actions, no_action, tail_intro, tail):
         lines = lines.unionByName(section)
     return lines
 

@@ -47,9 +47,8 @@ def resolve_baselines(
     """Adds ``baseline`` and ``baseline_source``: the whole historical row if the family
     has one, else the whole running row, else NULL; never a mix of the two.
 
-    Both lookups are pinned. The rows of ``profiled`` do not move for the historical side
-    while that fits a broadcast, nor for the running side while the cold runs are few;
-    beyond that they move once, by the unique run key, which cannot be skewed.
+    Both lookups are pinned. The rows of ``profiled`` are read once; they do not move while
+    a lookup fits a broadcast, and move once for each lookup that does not.
     """
     with_history = attach_history(profiled, baselines, broadcast_rows=broadcast_rows)
     both = lookup_join(

@@ -9,7 +9,7 @@ from typing import Any
 
 _TRUE_WORDS = {"1", "true", "yes"}
 _INT_FIELDS = {"lookback_hours", "baseline_days", "max_eventlog_bytes", "block_rows", "broadcast_rows"}
-_OPTIONAL_FIELDS = {"run_state_dataset", "bq_location", "eventlog_bucket"}
+_OPTIONAL_FIELDS = {"run_state_dataset", "eventlog_bucket"}
 
 
 @dataclass(frozen=True)
@@ -36,10 +36,9 @@ class Params:
     bq_table: str = "daily_facts"
     run_state_dataset: str | None = None
     run_state_table: str = "cag_run_state"
-    bq_location: str | None = None
     eventlog_bucket: str | None = None
     eventlog_prefix: str = ""
-    max_eventlog_bytes: int = 50_000_000
+    max_eventlog_bytes: int | None = None
     dry_run: bool = False
     thresholds: Thresholds = Thresholds()
     # Physical limits, not semantics: rows per sweep block and the largest
@@ -68,14 +67,18 @@ class Params:
         return f"{self.run_state_dataset_name}.{self.run_state_table}"
 
     def window(self, as_of: datetime) -> tuple[datetime, datetime]:
-        """Closed look-back window ending at ``as_of``, as naive UTC."""
-        end = naive_utc(as_of)
-        return end - self.lookback, end
+        """The look-back window of a run."""
+        return _closed(self.lookback, as_of)
 
     def history_window(self, as_of: datetime) -> tuple[datetime, datetime]:
-        """Closed baseline window ending at ``as_of``, as naive UTC."""
-        end = naive_utc(as_of)
-        return end - self.baseline_window, end
+        """The window that historical baselines are made of."""
+        return _closed(self.baseline_window, as_of)
+
+
+def _closed(span: timedelta, as_of: datetime) -> tuple[datetime, datetime]:
+    """Closed window of that length ending at ``as_of``, as naive UTC."""
+    end = naive_utc(as_of)
+    return end - span, end
 
 
 def naive_utc(moment: datetime) -> datetime:
@@ -98,10 +101,18 @@ def _convert(name: str, value: Any) -> Any:
 
 
 def load_params(
-    overrides: Mapping[str, Any] | None = None, base: Mapping[str, Any] | None = None
+    overrides: Mapping[str, Any] | None = None,
+    base: Mapping[str, Any] | None = None,
+    *,
+    prefix: str | None = None,
 ) -> Params:
-    """Overrides win over ``base`` settings. ``base`` counts only when it names
-    both project and region; then the overrides must name both themselves."""
+    """Overrides win over ``base`` settings. ``base`` counts only when it names both project
+    and region; else the overrides must name both themselves. With ``prefix``, ``base`` is a
+    process environment: ``<prefix>REGION`` is the setting ``region``, whatever the case."""
+    if prefix is not None:
+        named = {k.upper(): v for k, v in (base or {}).items()}
+        start = prefix.upper()
+        base = {k.removeprefix(start).lower(): v for k, v in named.items() if k.startswith(start)}
     known = {f.name for f in fields(Params)}
     given = {k: v for k, v in (overrides or {}).items() if k in known and v is not None}
     defaults = {k: v for k, v in (base or {}).items() if k in known}

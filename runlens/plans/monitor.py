@@ -5,22 +5,34 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime
+from enum import Enum
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from runlens.fixed import NO_FACTS, NO_RUNS, NOT_INGESTED
+from runlens.functions.clock import date_literal, literal_for
 from runlens.operators import report as R
 from runlens.operators.baseline import historical_baseline
 from runlens.operators.detect import add_findings
-from runlens.operators.facts import fact_rows, memory_summary, outcomes
+from runlens.operators.facts import fact_rows, memory_summary, outcomes, outcomes_of_facts
 from runlens.operators.profile import narrow, profile_runs
 from runlens.operators.resolve import cold_baselines, resolve_baselines
 from runlens.params import Params
+from runlens.sources.event_logs import read_event_logs
 from runlens.sources.history import append_facts, check_fact_table, scan_history
 from runlens.sources.run_state import ingest_summary, scan_runs
 from runlens.storage import pin
 
 
+class Status(Enum):
+    """How far a step came."""
+
+    DONE = "done"
+    NOT_INGESTED = "not_ingested"
+    NO_RUNS = "no_runs"
+    NO_FACTS = "no_facts"
+
+
 @dataclass(frozen=True)
 class Ingested:
     runs: DataFrame
@@ -30,12 +42,12 @@ class Ingested:
 @dataclass(frozen=True)
 class Memory:
     """Result of the second step. ``facts`` and ``outcomes`` are None when there was
-    nothing to build from; ``message`` then says why."""
+    nothing to build from; ``status`` then says why."""
 
     facts: DataFrame | None
     outcomes: DataFrame | None
     summary: dict
-    message: str | None = None
+    status: Status = Status.DONE
 
 
 def ingest(run_state: DataFrame, params: Params, as_of: datetime, *, uid: str) -> Ingested:
@@ -87,11 +99,16 @@ def build_memory(
     The narrow outcome rows are pinned once and feed summary and report; the wide fact
     rows go straight from scan to sink. A table target is checked first, dry run or not.
     """
-    nothing = {"persisted_rows": 0, "dry_run": params.dry_run, "has_anomalies": False}
+    nothing = {
+        "persisted_rows": 0,
+        "dry_run": params.dry_run,
+        "has_anomalies": False,
+        "unreadable_runs": 0,
+    }
     if ingested is None:
-        return Memory(None, None, nothing, NOT_INGESTED)
+        return Memory(None, None, nothing, Status.NOT_INGESTED)
     if ingested.runs.isEmpty():
-        return Memory(None, None, nothing, NO_RUNS)
+        return Memory(None, None, nothing, Status.NO_RUNS)
     if target is not None and not as_path:
         check_fact_table(history.sparkSession, target)
     analysis = analyse(ingested.runs, history, params, as_of, uid=uid)
@@ -103,19 +120,38 @@ def build_memory(
     return Memory(facts, kept, summary)
 
 
+def event_logs(spark: SparkSession, ingested: Ingested, params: Params) -> DataFrame:
+    """Event logs of the ingested runs' applications, where the settings name a location."""
+    ids = ingested.runs.select("application_id").where("application_id IS NOT NULL")
+    return read_event_logs(
+        spark,
+        params.eventlog_bucket,
+        ids,
+        prefix=params.eventlog_prefix,
+        max_bytes=params.max_eventlog_bytes,
+    )
+
+
 def status_report(memory: Memory | None) -> Iterator[str]:
-    """Report lines in order; one guard line when there are no facts."""
+    """Report lines in order; only the status where there are no facts."""
     if memory is None or memory.outcomes is None:
-        yield NO_FACTS
+        yield Status.NO_FACTS.value
         return
     yield from R.iter_lines(memory.outcomes)
 
 
+def stored_outcomes(facts: DataFrame, start: datetime, end: datetime, **order) -> DataFrame:
+    """Outcome rows of facts ingested in the closed window, pinned, for any report operator."""
+    low, high = (literal_for(facts, "ingest_timestamp", m) for m in (start, end))
+    days = F.col("ingest_date").between(date_literal(start.date()), date_literal(end.date()))
+    return pin(outcomes_of_facts(facts.where(days & F.col("ingest_timestamp").between(low, high)), **order))
+
+
 def run_once(
-    spark: SparkSession, params: Params, as_of: datetime, *, uid: str
+    spark: SparkSession, params: Params, as_of: datetime, *, uid: str, report_to: str | None = None
 ) -> tuple[Memory, Iterator[str]]:
-    """All three steps over catalog tables. The report lines come one partition at a time;
-    ``report.write_report`` writes them without passing through the driver."""
+    """All three steps over catalog tables. With ``report_to`` the report is written there by
+    tasks; the returned lines come one partition at a time."""
     ingested = ingest(spark.table(params.run_state_source), params, as_of, uid=uid)
     memory = build_memory(
         ingested,
@@ -125,4 +161,6 @@ def run_once(
         uid=uid,
         target=params.fact_table,
     )
+    if report_to is not None and memory.outcomes is not None:
+        R.write_report(memory.outcomes, report_to)
     return memory, status_report(memory)

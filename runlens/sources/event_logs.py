@@ -3,88 +3,143 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+import sys
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.fixed import EVENT_LOG_HINTS, MIN_EVENT_LOG_BYTES
+from runlens.storage import bounded, pin
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Files are read in parts of at most so many bytes, one row each.
+PART_BYTES = 128 << 20
+#: Matched names up to this number are broadcast.
+BROADCAST_NAMES = 200_000
 
 
 def _prefix(prefix: str) -> str:
     return prefix.rstrip("/") + "/" if prefix.rstrip("/") else ""
 
 
-def select_event_logs(
-    files: DataFrame, application_ids: DataFrame, *, prefix: str = "", max_bytes: int
-) -> DataFrame:
-    """Files whose name starts with ``prefix/application id`` and has a known hint.
+def _cap(max_bytes: int | None) -> int | None:
+    return None if max_bytes is None else max(max_bytes, MIN_EVENT_LOG_BYTES)
+
 
-    ``files`` has name, length and content; ``application_ids`` one id column. A file is
-    given once for each id it matches. The prefix match is an equi-join on the possible
-    prefixes of the names, made without the contents; matched names then fetch the contents.
+def match_names(names: DataFrame, application_ids: DataFrame, *, prefix: str = "") -> DataFrame:
+    """``names`` with each ``application_id`` that the name has after ``prefix``, for names
+    with a known hint.
+
+    A prefix can only match at the length of some id. Ids have few lengths, so a name gives
+    few join keys, and an id's own length keeps short beginnings that all names share out.
     """
     base = _prefix(prefix)
-    cap = max(max_bytes, MIN_EVENT_LOG_BYTES)
-    hinted = files.where(
-        F.col("name").startswith(base)
-        & reduce(or_, [F.col("name").contains(h) for h in EVENT_LOG_HINTS])
+    hinted = names.where(
+        F.col("name").startswith(base) & reduce(or_, [F.col("name").contains(h) for h in EVENT_LOG_HINTS])
+    )
+    ids = application_ids.toDF("application_id").where(F.length("application_id") > 0).distinct()
+    # As many rows as ids have different lengths.
+    lengths = sorted(r[0] for r in ids.select(F.length("application_id")).distinct().collect())
+    tail = F.substr("name", F.lit(len(base) + 1))
+    starts = F.transform(
+        F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length(tail)),
+        lambda n: F.substr(tail, F.lit(1), n),
     )
-    tail = F.substring("name", len(base) + 1, 1_000_000)
-    candidates = hinted.select(
-        "name",
-        F.explode(
-            F.transform(F.sequence(F.lit(1), F.length(tail)), lambda n: tail.substr(F.lit(1), n))
-        ).alias("application_id"),
-    ).where(F.length("application_id") > 0)
-    ids = application_ids.toDF("application_id").distinct()
-    matches = candidates.join(ids, "application_id")
-    head = F.substring("content", 1, cap)
-    return hinted.join(matches, "name").select(
+    return hinted.withColumn("application_id", F.explode(starts)).join(ids, "application_id", "left_semi")
+
+
+def _head(content: Column, size: Column, cap: int | None) -> list[Column]:
+    cut = content if cap is None else F.substring(content, 1, cap)
+    truncated = F.lit(False) if cap is None else size > cap
+    return [F.make_valid_utf8(cut.cast("string")).alias("content_snippet"), truncated.alias("truncated")]
+
+
+def select_event_logs(
+    files: DataFrame, application_ids: DataFrame, *, prefix: str = "", max_bytes: int | None = None
+) -> DataFrame:
+    """Event logs of a table with ``name``, ``length`` and ``content``.
+
+    A file is given once for each id it matches, whole, or with ``max_bytes`` cut to its
+    first bytes (``truncated`` tells). Names are matched alone; contents stay where they are
+    scanned while the matched names fit a broadcast.
+    """
+    matches = pin(match_names(files.select("name"), application_ids, prefix=prefix))
+    return files.join(bounded(matches, BROADCAST_NAMES), "name").select(
         "application_id",
         F.col("name").alias("blob_name"),
         F.col("length").alias("size_bytes"),
-        F.make_valid_utf8(head.cast("string")).alias("content_snippet"),
+        *_head(F.col("content"), F.col("length"), _cap(max_bytes)),
     )
 
 
+def _read(batches: Iterator[pa.RecordBatch], cap: int | None, part_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Parts of the files, opened here and read by ranges."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            # Listed local paths are not escaped, so they are given as paths and not as URIs.
+            store, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", r["path"]))
+            end = r["length"] if cap is None else min(cap, r["length"])
+            with store.open_input_file(path) as file:
+                for k in range(max(1, -(-end // part_bytes))):
+                    data = file.read_at(max(0, min(part_bytes, end - k * part_bytes)), k * part_bytes)
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "application_id": pa.array([r["application_id"]], pa.string()),
+                            "blob_name": pa.array([r["name"]], pa.string()),
+                            "size_bytes": pa.array([r["length"]], pa.int64()),
+                            "file_part": pa.array([k], pa.int32()),
+                            "data": pa.array([data], pa.binary()),
+                        }
+                    )
+
+
 def read_event_logs(
     spark: SparkSession,
     location: str | None,
-    application_ids: Iterable[str],
+    application_ids: DataFrame,
     *,
     prefix: str = "",
-    max_bytes: int = 50_000_000,
+    max_bytes: int | None = None,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
-    """Event logs below a folder. The id prefixes go into the file listing, so other
-    applications' files are not even listed; contents are read by Spark tasks. No
-    location gives no rows."""
-    ids = sorted({i for i in application_ids if i})
-    schema = "name string, length bigint, content binary"
-    id_rows = spark.createDataFrame([(i,) for i in ids], "application_id string")
-    if not location or not ids:
-        files = spark.createDataFrame([], schema)
-        return select_event_logs(files, id_rows, prefix=prefix, max_bytes=max_bytes)
-    root = location.rstrip("/") + "/"
-    special = str.maketrans({c: "\\" + c for c in "*?[]{},\\"})
-    wanted = ",".join(i.translate(special) + "*" for i in ids)
-    try:
-        files = (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", "true")
-            .load(f"{root}{_prefix(prefix)}{{{wanted}}}")
-        )
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        files = spark.createDataFrame([], "path string, length bigint, content binary")
-    # The name of a file is its path below the location.
-    below = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", root)
-    name = F.substring(
-        F.col("path"), F.locate(below, F.col("path")) + len(below), F.length("path")
+    """Event logs below a folder. Names are listed and matched without contents; a task then
+    opens the matched files and reads them by ranges, in parts of ``part_bytes`` numbered by
+    ``file_part``, so a file may have any size. No location gives no rows."""
+    found = "path string, length bigint"
+    files = spark.createDataFrame([], found)
+    if location:
+        root = location.rstrip("/") + "/"
+        try:
+            files = (
+                spark.read.format("binaryFile")
+                .option("recursiveFileLookup", "true")
+                .load(f"{root}{_prefix(prefix)}")
+                .select("path", "length")
+            )
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+        # The name of a file is its path below the location.
+        below = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", root)
+        at = F.locate(below, F.col("path")) + len(below)
+        files = files.withColumn("name", F.substr("path", at))
+    else:
+        files = files.withColumn("name", F.lit(""))
+    cap = _cap(max_bytes)
+    matched = match_names(files, application_ids, prefix=prefix).select("application_id", "name", "path", "length")
+    parts = matched.repartition("path").mapInArrow(
+        lambda b: _read(b, cap, part_bytes),
+        "application_id string, blob_name string, size_bytes long, file_part int, data binary",
     )
-    named = files.select(name.alias("name"), "length", "content")
-    return select_event_logs(named, id_rows, prefix=prefix, max_bytes=max_bytes)
+    return parts.select(
+        "application_id", "blob_name", "size_bytes", "file_part", *_head(F.col("data"), F.col("size_bytes"), None)[:1],
+        (F.lit(False) if cap is None else F.col("size_bytes") > cap).alias("truncated"),
+    )

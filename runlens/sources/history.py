@@ -24,6 +24,7 @@ def scan_history(facts: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """Facts ingested in the closed window that have a duration, with four readings
     from the metric JSON. The extra date predicate follows from the timestamp one and
     prunes the ``ingest_date`` partitions."""
+    V.accept_repeated_keys(facts.sparkSession)
     low, high = (clock.literal_for(facts, "ingest_timestamp", m) for m in (start, end))
     days = F.col("ingest_date").between(
         clock.date_literal(start.date()), clock.date_literal(end.date())
@@ -56,6 +57,7 @@ def recent_facts(
 
 def decode_facts(facts: DataFrame) -> DataFrame:
     """The three JSON columns as VARIANT; NULL and malformed text read as ``{}``."""
+    V.accept_repeated_keys(facts.sparkSession)
     empty = F.parse_json(F.lit("{}"))
     return facts.withColumns(
         {
@@ -68,10 +70,8 @@ def decode_facts(facts: DataFrame) -> DataFrame:
 def check_fact_table(spark: SparkSession, table: str) -> None:
     """The fact table must exist with the declared columns; it is never created."""
     if not spark.catalog.tableExists(table):
-        raise RuntimeError(
-            f"Fact table '{table}' is missing. Create it with the documented schema before "
-            "running the monitoring steps."
-        )
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in FACT_SCHEMA.fields)
+        raise RuntimeError(f"no fact table {table}; a table with these columns is needed: {columns}")
     check_fact_schema(spark.table(table), table)
 
 

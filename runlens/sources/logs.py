@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.fixed import (
@@ -17,13 +17,14 @@ from runlens.fixed import (
     CONTAINER_RESOURCE,
     DRIVER_LOGGER,
     DRIVER_RESOURCE,
-    LOG_LINES,
 )
 from runlens.functions.clock import literal_for
 from runlens.functions.identity import non_empty
+from runlens.operators.ranking import group_numbers
+from runlens.storage import bounded, pin
 
-# Shares a cluster's entries are dealt into before their first lines are merged.
-_SHARES = 64
+# Chosen lines (time and id) up to this number are broadcast.
+BROADCAST_LINES = 200_000
 
 
 def _select(logs: DataFrame, resource: str, logger: str, start: datetime, end: datetime):
@@ -54,31 +55,24 @@ def container_logs(
 
 
 def log_lines(
-    entries: DataFrame, *, entry_id: str, limit: int = LOG_LINES, per: str | None = None
+    entries: DataFrame, *, entry_id: str, limit: int | None = None, per: str | None = None
 ) -> DataFrame:
-    """The first ``limit`` entries in time order, as log lines.
+    """Entries in time order as log lines, numbered by ``line_no``; with ``limit`` the first ones.
 
-    Text is the text payload, else the message field, else ''. With ``per`` the limit
-    holds for each value of that column in one pass. A value may have a third of all
-    entries, so its entries are first dealt into shares, each share keeps its own first
-    ``limit``, and only those meet in one task.
+    Text is the text payload, else the message field, else ''. With ``per`` number and
+    limit hold for each value of that column. A value may have a third of all entries, so
+    lines are numbered on narrow rows of time and id, in many tasks, and only the entries
+    within the limit are then looked up with their texts.
     """
     text = F.coalesce(non_empty(F.col("text_payload")), F.col("message"), F.lit(""))
     optional = [c for c in ("log_name", "resource_labels", "labels") if c in entries.columns]
-    order = [F.col("timestamp"), F.col(entry_id)]
-    columns = ["timestamp", "severity", text.alias("text"), *optional]
-    if per is None:
-        return entries.orderBy(*order).limit(limit).select(entry_id, *columns)
-    share = F.pmod(F.xxhash64(entry_id), F.lit(_SHARES))
-    in_share = Window.partitionBy(per, "share").orderBy(*order)
-    firsts = (
-        entries.withColumn("share", share)
-        .withColumn("place", F.row_number().over(in_share))
-        .where(F.col("place") <= limit)
-    )
-    whole = Window.partitionBy(per).orderBy(*order)
-    return (
-        firsts.withColumn("line_no", F.row_number().over(whole))
-        .where(F.col("line_no") <= limit)
-        .select(per, "line_no", entry_id, *columns)
+    keys = [] if per is None else [per]
+    narrow = entries.select(*keys, "timestamp", F.col(entry_id).alias("line_of"))
+    numbered = group_numbers(narrow, keys, ["timestamp", "line_of"], "line_no")
+    if limit is not None:
+        numbered = numbered.where(F.col("line_no") <= limit)
+    numbered = numbered.select("line_of", "line_no")
+    chosen = numbered if limit is None else bounded(pin(numbered), BROADCAST_LINES)
+    return entries.join(chosen, F.col(entry_id) == F.col("line_of")).select(
+        *keys, "line_no", entry_id, "timestamp", "severity", text.alias("text"), *optional
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import clock, identity
+from runlens.functions import variant as V
 from runlens.schema import RUN_STATE_COLUMNS
 
 
@@ -27,6 +28,7 @@ def scan_runs(
     unique run key.
     """
     t, d = F.col("application_start_time"), F.col("run_date")
+    V.accept_repeated_keys(table.sparkSession)
     low, high = (clock.literal_for(table, "application_start_time", m) for m in (start, end))
     first, last = clock.date_literal(start.date()), clock.date_literal(end.date())
     runs = table.select(*RUN_STATE_COLUMNS, *keep).where(

@@ -18,8 +18,8 @@ from runlens.fixed import (
     JOB_METRIC_TYPES,
     JOB_RESOURCE,
 )
-from runlens.functions.clock import literal_for
-from runlens.operators.ranking import cut
+from runlens.functions.clock import literal_for, utc
+from runlens.operators.ranking import group_numbers
 
 
 def _select(points, metric_types, resource, start, end) -> DataFrame:
@@ -71,23 +71,14 @@ def point_value() -> Column:
 
 
 def metric_points(points: DataFrame, *keys: str) -> DataFrame:
-    """Long form: one row per point. At scale prefer this to ``metric_series``."""
-    return points.select(*keys, F.col("end_time").alias("timestamp"), point_value().alias("value"))
+    """Long form: one row per point, its time as UTC."""
+    return points.select(*keys, utc(points, "end_time").alias("timestamp"), point_value().alias("value"))
 
 
-def metric_series(
-    points: DataFrame, *keys: str, bucket: str = "hour", piece_rows: int = 10_000
-) -> DataFrame:
-    """One row per series, time bucket and piece, its points in time order.
+def metric_series(points: DataFrame, *keys: str) -> DataFrame:
+    """The points of each series with ``place``, their number in the series in time order.
 
-    A series may hold a third of all points, so it is never collected whole: it is cut at
-    bucket bounds, and a bucket with over ``piece_rows`` points into further pieces.
-    ``series_start`` and ``piece`` put the pieces in order.
+    One meaning at every size: a series may hold a third of all points, so it is neither
+    collected into an array nor numbered in one task (``ranking.group_numbers``).
     """
-    start = F.date_trunc(bucket, F.col("timestamp")).cast("timestamp_ntz")
-    long = metric_points(points, *keys).withColumn("series_start", start)
-    group = [*keys, "series_start"]
-    pieces, _ = cut(long, group, ["timestamp", "value"], piece_rows)
-    return pieces.groupBy(*group, F.col("block").alias("piece")).agg(
-        F.sort_array(F.collect_list(F.struct("timestamp", "value"))).alias("points")
-    )
+    return group_numbers(metric_points(points, *keys), list(keys), ["timestamp", "value"], "place")

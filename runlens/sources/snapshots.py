@@ -19,13 +19,16 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.functions.clock import iso_utc, ntz_literal
+from runlens.functions.clock import as_utc, iso_utc, kind_of, ntz_literal, utc
 from runlens.functions.identity import non_empty
 
 
 def cluster_snapshots(clusters: DataFrame, project_id: str, region: str) -> DataFrame:
     """One flat-topped row per cluster; creation is the first history entry's start."""
-    created = F.get(F.col("status.history"), F.lit(0))["state_start_time"]
+    created = as_utc(
+        F.get(F.col("status.history"), F.lit(0))["state_start_time"],
+        kind_of(clusters, "status.history.state_start_time"),
+    )
     software = F.col("config.software_config")
     return clusters.select(
         F.lit(project_id).alias("project_id"),
@@ -48,7 +51,7 @@ def cluster_snapshots(clusters: DataFrame, project_id: str, region: str) -> Data
         F.coalesce(F.col("labels"), F.create_map().cast("map<string,string>")).alias("labels"),
         non_empty(F.col("cluster_uuid")).alias("cluster_uuid"),
         iso_utc(created).alias("create_time"),
-        iso_utc(F.col("status.state_start_time")).alias("update_time"),
+        iso_utc(utc(clusters, "status.state_start_time")).alias("update_time"),
     )
 
 
@@ -65,11 +68,12 @@ def _yarn_ids(apps: Column) -> Column:
 def job_snapshots(jobs: DataFrame, project_id: str, region: str) -> DataFrame:
     """One row per job, with YARN ids, status history and reference."""
     ref_id = non_empty(F.col("reference.job_id"))
+    entered = kind_of(jobs, "status_history.state_start_time")
     history = F.transform(
         "status_history",
         lambda s: F.struct(
             s["state"].alias("state"),
-            iso_utc(s["state_start_time"]).alias("state_start_time"),
+            iso_utc(as_utc(s["state_start_time"], entered)).alias("state_start_time"),
             s["details"].alias("details"),
         ),
     )
@@ -93,9 +97,9 @@ def job_snapshots(jobs: DataFrame, project_id: str, region: str) -> DataFrame:
         status["substate"].alias("substate"),
         F.col("driver_output_resource_uri").alias("driver_output_uri"),
         F.col("driver_control_files_uri").alias("driver_control_files_uri"),
-        iso_utc(status["start_time"]).alias("start_time"),
-        iso_utc(status["end_time"]).alias("end_time"),
-        iso_utc(status["state_start_time"]).alias("state_timestamp"),
+        iso_utc(utc(jobs, "status.start_time")).alias("start_time"),
+        iso_utc(utc(jobs, "status.end_time")).alias("end_time"),
+        iso_utc(utc(jobs, "status.state_start_time")).alias("state_timestamp"),
         _yarn_ids(F.col("yarn_applications")).alias("yarn_application_ids"),
         F.coalesce(history, F.array().cast(
             "array<struct<state:string,state_start_time:string,details:string>>"
@@ -104,15 +108,18 @@ def job_snapshots(jobs: DataFrame, project_id: str, region: str) -> DataFrame:
     )
 
 
-def submission_time() -> Column:
-    """Start of the present state, else start of the first history entry."""
+def submission_time(jobs: DataFrame) -> Column:
+    """Start of the present state, else start of the first history entry, as UTC."""
     return F.coalesce(
-        F.col("status.state_start_time"),
-        F.get(F.col("status_history"), F.lit(0))["state_start_time"],
+        utc(jobs, "status.state_start_time"),
+        as_utc(
+            F.get(F.col("status_history"), F.lit(0))["state_start_time"],
+            kind_of(jobs, "status_history.state_start_time"),
+        ),
     )
 
 
 def jobs_in_window(jobs: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """Jobs submitted in the closed window; a job without a time is kept as well."""
-    t = submission_time()
+    t = submission_time(jobs)
     return jobs.where(t.isNull() | t.between(ntz_literal(start), ntz_literal(end)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="runlens-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -30,24 +33,17 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def lookup_join(
-    left: DataFrame, right: DataFrame, key: str, *, broadcast_rows: int, hot_rows: int = 1_000_000
-) -> DataFrame:
+def bounded(df: DataFrame, broadcast_rows: int) -> DataFrame:
+    """``df``, to be broadcast if it has no more than ``broadcast_rows`` rows. It is counted
+    first and should be pinned; beyond the bound it is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(broadcast_rows + 1).count() <= broadcast_rows else df
+
+
+def lookup_join(left: DataFrame, right: DataFrame, key: str, *, broadcast_rows: int) -> DataFrame:
     """``left`` left-joined with a pinned ``right`` that is unique on ``key``.
 
-    The right side is counted first. Up to ``broadcast_rows`` it is broadcast and the
-    left side does not move. Beyond that, both sides are shuffled, except for hot keys:
-    keys with over ``hot_rows`` left rows number at most rows / ``hot_rows``, so their
-    right rows are again few, are broadcast, and their left rows stay where they are.
+    ``left`` is planned once either way. While ``right`` is small it does not move; beyond
+    that both sides are shuffled, and partitions of hot keys are split at run time (adaptive
+    skew joins), since the rows of the left side of a left join may be parted freely.
     """
-    if right.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return left.join(F.broadcast(right), key, "left")
-    hot = pin(left.groupBy(key).count().where(F.col("count") > hot_rows).select(key))
-    if hot.limit(broadcast_rows + 1).count() > broadcast_rows:
-        return left.join(right, key, "left")
-    hot_right = pin(right.join(F.broadcast(hot), key, "left_semi"))
-    cold = left.join(F.broadcast(hot), key, "left_anti").join(right, key, "left")
-    warm = left.join(F.broadcast(hot), key, "left_semi").join(
-        F.broadcast(hot_right), key, "left"
-    )
-    return cold.unionByName(warm)
+    return left.join(bounded(right, broadcast_rows), key, "left")

@@ -18,7 +18,7 @@ def test_overrides_without_base():
 def test_defaults():
     p = Params("p", "r")
     assert p.lookback == timedelta(hours=24) and p.baseline_window == timedelta(days=7)
-    assert p.max_eventlog_bytes == 50_000_000 and p.eventlog_prefix == "" and not p.dry_run
+    assert p.max_eventlog_bytes is None and p.eventlog_prefix == "" and not p.dry_run
 
 
 def test_overrides_win_over_base():
@@ -27,6 +27,14 @@ def test_overrides_win_over_base():
     assert (p.project_id, p.region, p.lookback_hours, p.baseline_days, p.dry_run) == ("a", "c", 12, 7, True)
 
 
+def test_environment_with_prefix():
+    env = {"MON_PROJECT_ID": "a", "MON_REGION": "b", "MON_MAX_EVENTLOG_BYTES": "2048", "PATH": "/bin", "REGION": "no"}
+    p = load_params(base=env, prefix="mon_")
+    assert (p.project_id, p.region, p.max_eventlog_bytes) == ("a", "b", 2048)
+    with pytest.raises(ValueError):
+        load_params(base=env, prefix="other_")
+
+
 def test_incomplete_base_needs_full_overrides():
     with pytest.raises(ValueError):
         load_params({"region": "c"}, {"project_id": "a"})

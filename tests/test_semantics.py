@@ -221,7 +221,7 @@ def test_messy_documents_still_give_facts(spark):
     assert [r["family"] for r in out] == ["etl_daily"] * 10 + ["own"]
     assert [r["value"] for r in out] == [None] * 4 + ["[1,2]", "5", None, "s", None, None, None]
     assert (out[8]["a"], out[10]["b"]) == ("1", "2")
-    assert [r["cluster"] for r in out][:8] == ["{}"] * 4 + ['{"value":[1,2]}', '{"value":5}', "{}", '{"value":"s"}']
+    assert [r["cluster"] for r in out][:8] == ["{}"] * 3 + ['{"unparsed":"{bad"}', '{"value":[1,2]}', '{"value":5}', "{}", '{"value":"s"}']
     assert all(r["profile"] == '{"autoscaling_enabled":false,"total_workers":0}' for r in out)
 
 
@@ -247,7 +247,9 @@ def test_snippet(spark):
     ]
     df = runs(spark, *(run(i, spark_event_metrics=d) for i, d in enumerate(docs)))
     profiled = profile_runs(df, uid="run_no")
-    got = [r[0] for r in profiled.orderBy("uid").select(M.event_snippet(F.col("app_doc"), F.col("first_job_doc"))).collect()]
+    got = [r[0] for r in profiled.orderBy("uid").select(M.event_snippet(F.col("app_doc"), F.col("first_job_doc"), 6000)).collect()]
+    whole = profiled.select(F.max(F.length(M.event_snippet(F.col("app_doc"), F.col("first_job_doc"))))).first()[0]
+    assert whole > 7000
     assert got[0] == (
         "Application etl (a1) duration=0ms executors=n/a\n"
         "  Resource usage: vcore_seconds=1.00 memory_gb_seconds=None\n"

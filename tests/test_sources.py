@@ -60,7 +60,9 @@ def test_steps_write_append_and_report(spark, tmp_path):
     assert ingested.summary.first()["run_count"] == 6
     args = dict(uid="run_no", target=target, as_path=True)
     memory = monitor.build_memory(ingested, empty_facts(spark), params, AS_OF, **args)
-    assert memory.summary == {"persisted_rows": 6, "dry_run": False, "has_anomalies": False}
+    assert memory.summary == {
+        "persisted_rows": 6, "dry_run": False, "has_anomalies": False, "unreadable_runs": 0
+    }
     stored = history.read_facts(spark, target)
     assert stored.count() == 6 and stored.schema.names == FACT_SCHEMA.names
     lines = list(monitor.status_report(memory))
@@ -76,15 +78,15 @@ def test_steps_write_append_and_report(spark, tmp_path):
 def test_guards(spark):
     params = Params("p", "r1")
     nothing = monitor.build_memory(None, empty_facts(spark), params, AS_OF, uid="run_no")
-    assert nothing.message == X.NOT_INGESTED and nothing.summary["persisted_rows"] == 0
+    assert nothing.status is monitor.Status.NOT_INGESTED and nothing.summary["persisted_rows"] == 0
     ingested = monitor.ingest(runs(spark, run(1)), params, datetime(2030, 1, 1), uid="run_no")
     empty = monitor.build_memory(ingested, empty_facts(spark), params, AS_OF, uid="run_no")
-    assert empty.message == X.NO_RUNS
-    assert list(monitor.status_report(empty)) == [X.NO_FACTS] == list(monitor.status_report(None))
+    assert empty.status is monitor.Status.NO_RUNS
+    assert list(monitor.status_report(empty)) == ["no_facts"] == list(monitor.status_report(None))
 
 
 def test_fact_table_is_checked_and_never_made(spark):
-    with pytest.raises(RuntimeError, match="missing"):
+    with pytest.raises(RuntimeError, match="no fact table no_such_facts"):
         history.check_fact_table(spark, "no_such_facts")
     with pytest.raises(RuntimeError, match="duration_seconds"):
         history.check_fact_schema(empty_facts(spark).drop("duration_seconds"))
@@ -107,7 +109,8 @@ def test_event_log_files(spark, tmp_path):
     (root / "prod" / "job_2").write_bytes(b"job")
     (root / "prod" / "stderr_3").write_bytes(b"no hint")
     ids = ["application_1_0001", "application_1", "job_2", "stderr_3", "absent"]
-    got = event_logs.read_event_logs(spark, str(root), ids, prefix="prod/", max_bytes=10).collect()
+    asked = spark.createDataFrame([(i,) for i in [*ids, None, ""]], "id string")
+    got = event_logs.read_event_logs(spark, str(root), asked, prefix="prod/", max_bytes=10).collect()
     assert sorted((r["application_id"], r["blob_name"]) for r in got) == [
         ("application_1", "prod/application_12_0001"),
         ("application_1", "prod/application_1_0001.inprogress"),
@@ -120,8 +123,32 @@ def test_event_log_files(spark, tmp_path):
     big = next(r for r in got if r["blob_name"].endswith("inprogress"))
     assert big["size_bytes"] == 3004
     assert big["content_snippet"] == (b"\xff\xfe" + "é".encode() + b"x" * 1020).decode("utf-8", errors="replace")
-    assert event_logs.read_event_logs(spark, str(root), ["absent"], max_bytes=10).count() == 0
-    assert event_logs.read_event_logs(spark, None, ids).count() == 0
+    assert big["truncated"] and not any(r["truncated"] for r in got if r is not big and r["size_bytes"] < 1024)
+    absent = asked.where("id = 'absent'")
+    assert event_logs.read_event_logs(spark, str(root), absent, max_bytes=10).count() == 0
+    assert event_logs.read_event_logs(spark, str(root), asked, prefix="nowhere").count() == 0
+    assert event_logs.read_event_logs(spark, None, asked).count() == 0
+    # Without a cap a file is read whole, in parts.
+    parts = event_logs.read_event_logs(spark, str(root), asked, prefix="prod/", part_bytes=1000)
+    texts = [r["content_snippet"] for r in parts.where("application_id = 'application_1_0001' and size_bytes = 3004").orderBy("file_part").collect()]
+    assert len(texts) == 4 and sum(len(t.encode("utf-8", "replace")) for t in texts) >= 3004 and texts[3] == "x" * 4
+
+
+def test_event_logs_of_ingested_runs(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "application_7").write_bytes(b"seven")
+    (tmp_path / "logs" / "application_8").write_bytes(b"eight")
+    params = Params("p", "r1", eventlog_bucket=str(tmp_path), eventlog_prefix="logs")
+    ingested = monitor.ingest(runs(spark, run(1, application_id="application_7"), run(2)), params, AS_OF, uid="run_no")
+    got = monitor.event_logs(spark, ingested, params).collect()
+    assert [(r["application_id"], r["content_snippet"], r["truncated"]) for r in got] == [("application_7", "seven", False)]
+
+
+def test_contents_are_not_shuffled(spark):
+    files = spark.createDataFrame([("application_1/x", 3, b"abc")], "name string, length long, content binary")
+    ids = spark.createDataFrame([("application_1",)], "id string")
+    text = event_logs.select_event_logs(files, ids)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in text.splitlines() if "Exchange" in x and "Broadcast" not in x]
 
 
 def test_log_line_cap(spark):
@@ -130,10 +157,14 @@ def test_log_line_cap(spark):
     entries = spark.createDataFrame(
         rows, "event_id long, timestamp timestamp_ntz, severity string, cluster_name string, text_payload string, message string"
     )
-    whole = logs.log_lines(entries, entry_id="event_id", limit=4).collect()
+    whole = logs.log_lines(entries, entry_id="event_id", limit=4).orderBy("line_no").collect()
     assert [r["text"] for r in whole] == ["t", "m", "", "t"]
     per = logs.log_lines(entries, entry_id="event_id", limit=4, per="cluster_name")
     assert per.groupBy("cluster_name").count().collect()[0]["count"] == 4 and per.count() == 8
+    every = logs.log_lines(entries, entry_id="event_id", per="cluster_name").collect()
+    assert sorted((r["cluster_name"], r["line_no"], r["event_id"]) for r in every) == [
+        ("c%d" % k, n + 1, 2 * n + k) for k in range(2) for n in range(10)
+    ]
 
 
 def test_point_value_order(spark):
@@ -144,27 +175,31 @@ def test_point_value_order(spark):
     assert [r[0] for r in df.select(series.point_value()).collect()] == [1.5, 2.0, 3.0, 0.0, 0.0, 0.0]
 
 
-def test_hot_series_is_cut_into_pieces(spark):
+@pytest.mark.parametrize("n", [600, 33_000])
+def test_hot_series_is_numbered_whole(spark, n):
     start = datetime(2024, 1, 1)
-    rows = [("hot" if i % 3 else None, start + timedelta(seconds=i % 50), float(i)) for i in range(600)]
-    df = spark.createDataFrame(rows, "s string, end_time timestamp_ntz, double_value double").withColumns(
-        {"int64_value": F.lit(None).cast("bigint"), "distribution_count": F.lit(None).cast("bigint")}
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 3 != 0, F.lit("hot")).alias("s"),
+        F.timestamp_add("SECOND", (F.col("id") % 50).cast("int"), F.lit(start).cast("timestamp_ntz")).alias("end_time"),
+        F.col("id").cast("double").alias("double_value"),
+        F.lit(None).cast("bigint").alias("int64_value"),
+        F.lit(None).cast("bigint").alias("distribution_count"),
     )
-    got = series.metric_series(df, "s", piece_rows=64).orderBy("s", "piece").collect()
-    assert max(len(r["points"]) for r in got) == 64
+    got = series.metric_series(rows, "s").collect()
     for name in ("hot", None):
-        points = [tuple(p) for r in got if r["s"] == name for p in r["points"]]
-        assert points == sorted((t, x) for s, t, x in rows if s == name)
+        mine = sorted((r["place"], r["timestamp"], r["value"]) for r in got if r["s"] == name)
+        want = sorted((start + timedelta(seconds=i % 50), float(i)) for i in range(n) if (i % 3 != 0) == (name == "hot"))
+        assert mine == [(k + 1, *x) for k, x in enumerate(want)]
 
 
-@pytest.mark.parametrize("broadcast_rows,hot_rows", [(100, 10), (2, 10), (0, 10)])
-def test_lookup_join_gives_the_same_rows_either_way(spark, broadcast_rows, hot_rows):
-    """Broadcast, hot-key split and plain shuffle agree; one key has a third of all rows."""
+@pytest.mark.parametrize("broadcast_rows", [100, 0])
+def test_lookup_join_gives_the_same_rows_either_way(spark, broadcast_rows):
+    """Broadcast and shuffle agree; one key has a third of all rows."""
     left = spark.range(300).select(
         "id", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k")
     ).unionByName(spark.createDataFrame([(1000, None)], "id long, k string"))
     right = pin(spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3), ("zz", 4)], "k string, v int"))
-    got = lookup_join(left, right, "k", broadcast_rows=broadcast_rows, hot_rows=hot_rows)
+    got = lookup_join(left, right, "k", broadcast_rows=broadcast_rows)
     assert got.count() == 301
     assert got.where("k = 'hot' and v = 1").count() == 100
     assert got.where("v is null").count() == 301 - 100 - left.where("k in ('k1', 'k2')").count()
@@ -198,10 +233,12 @@ def test_run_once_over_catalog_tables(spark, tmp_path):
     try:
         runs(spark, *(run(i) for i in range(3))).write.option("path", f"{tmp_path}/runs").saveAsTable("mon.runs")
         params = Params("p", "r1", bq_dataset="mon", bq_table="facts", run_state_table="runs")
-        memory, lines = monitor.run_once(spark, params, AS_OF, uid="run_no")
+        memory, lines = monitor.run_once(spark, params, AS_OF, uid="run_no", report_to=f"{tmp_path}/report")
         assert memory.summary["persisted_rows"] == 3 and spark.table("mon.facts").count() == 3
         assert spark.table("mon.facts").where("ingest_date = '2024-01-02' and job_id = 'etl_daily'").count() == 3
-        assert list(lines)[-3].startswith("- etl_daily (SPARK) state=SUCCEEDED duration=3600.0s")
+        lines = list(lines)
+        assert [r[0] for r in spark.read.text(f"{tmp_path}/report").collect()] == lines
+        assert lines[-3].startswith("- etl_daily (SPARK) state=SUCCEEDED duration=3600.0s")
         history.check_fact_table(spark, "mon.facts")
     finally:
         spark.sql("DROP DATABASE mon CASCADE")
@@ -216,3 +253,87 @@ def test_write_report(spark, tmp_path):
     parts = sorted(p for p in (tmp_path / "report").iterdir() if p.name.startswith("part-"))
     written = [line for p in parts for line in p.read_text().splitlines()]
     assert written == list(R.iter_lines(out))
+
+
+def test_snapshots_in_another_session_zone(spark):
+    """TIMESTAMP input, with the hour that New York has twice."""
+    from runlens.functions import clock
+    from runlens.sources import snapshots
+
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        moments = ["2024-11-03 05:30:00Z", "2024-11-03 06:30:00Z", "2024-07-01 23:00:00Z"]
+        df = spark.createDataFrame([(m,) for m in moments], "m string").select(
+            "m", F.to_timestamp("m").alias("t"),
+            F.struct(F.to_timestamp("m").alias("state_start_time")).alias("status"),
+            F.array(F.struct(F.to_timestamp("m").alias("state_start_time"))).alias("status_history"),
+        )
+        iso = df.select(clock.iso_utc(clock.utc(df, "t")), clock.iso_utc(clock.utc(df, "m")))
+        want = [m.replace(" ", "T").replace("Z", "+00:00") for m in moments]
+        assert [tuple(r) for r in iso.collect()] == [(w, w) for w in want]
+        inside = snapshots.jobs_in_window(df, datetime(2024, 7, 1, 22), datetime(2024, 7, 1, 23, 30))
+        assert [r["m"] for r in inside.collect()] == [moments[2]]
+        assert snapshots.jobs_in_window(df, datetime(2024, 7, 2), datetime(2024, 7, 3)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_documents_are_not_lost(spark):
+    """Leading white space, a key twice, NaN, JSON null, and text that is no JSON."""
+    import json
+
+    texts = {
+        1: '\n\t{"app": {"app_vcore_seconds": 5}, "jobs": []}',
+        2: '{"app": {"app_vcore_seconds": 1}, "app": {"app_vcore_seconds": 5}}',
+        3: '{"app": {"app_vcore_seconds": 5, "x": NaN, "y": [-Infinity]}}',
+        4: "null",
+        5: "{bad",
+        6: "  ",
+    }
+    table = runs(spark, *(run(i, spark_event_metrics=t, cluster_config_details=t) for i, t in texts.items()))
+    params = Params("p", "r1")
+    memory = monitor.build_memory(
+        monitor.ingest(table, params, AS_OF, uid="run_no"), empty_facts(spark), params, AS_OF, uid="run_no"
+    )
+    assert memory.summary["unreadable_runs"] == 1
+    stored = {r["job_start_time"].minute: r for r in memory.facts.collect()}
+    read = {i: json.loads(stored[i]["job_metrics"]) for i in texts}
+    for i in (1, 2, 3):
+        assert read[i]["app"]["app_vcore_seconds"] == 5 and "value" not in read[i]
+        cluster = json.loads(stored[i]["cluster_metrics"])["cluster_config_details"]
+        assert cluster["app"]["app_vcore_seconds"] == 5
+    assert read[5]["unparsed"] == "{bad" and set(read[4]) == set(read[6]) == {"metadata"}
+    assert json.loads(stored[5]["cluster_metrics"])["cluster_config_details"] == {"unparsed": "{bad"}
+    flags = json.loads(stored[1]["anomaly_flags"])
+    assert flags["baseline_reference"] == {} and flags["cost_summary"] == {"app_vcore_seconds": 5}
+
+
+def test_report_of_stored_facts_with_gaps(spark):
+    import json
+
+    def fact(no, flags):
+        row = dict.fromkeys(FACT_SCHEMA.names)
+        moment = datetime(2024, 1, 1, no)
+        row.update(
+            ingest_date=moment.date(), ingest_timestamp=moment, job_id=f"j{no}", job_state="OK", cluster_name="c",
+            job_start_time=moment, duration_seconds=2.0, driver_log_excerpt=f"logs/{no}",
+            anomaly_flags=None if flags is None else json.dumps(flags),
+        )
+        return tuple(row[n] for n in FACT_SCHEMA.names)
+
+    def report(*flags):
+        facts = spark.createDataFrame([fact(i, f) for i, f in enumerate(flags)], FACT_SCHEMA)
+        return list(R.iter_lines(monitor.stored_outcomes(facts, datetime(2024, 1, 1), datetime(2024, 1, 2))))
+
+    from runlens.operators import report as R
+
+    finding = {"message": "m", "severity": "warning"}
+    lines = report(
+        {"has_issues": True, "findings": [{"message": "none"}, finding], "recommendations": ["do this"]}, None
+    )
+    assert "- j0 (latest run j0) on cluster c: m" in lines and "- j0: do this" in lines
+    assert not any("Monitor upcoming" in x for x in lines)
+    lines = report({"has_issues": True, "findings": [finding], "job_family": "f", "run_identifier": "r"})
+    assert "- f (latest run r) on cluster c: m" in lines
+    assert lines[lines.index("Suggested actions:") + 1] == X.REPORT_NO_ACTION
+    assert report(None)[4] == X.REPORT_CLEAN
