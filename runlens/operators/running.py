@@ -6,9 +6,9 @@ with many runs does not finish. The form here gives the same numbers:
 
 1. All runs are put in (family, order) with ``ranking.spread``; a family is cut into
    blocks of ``block_rows`` rows.
-2. A block is swept once: two heaps per quantile hold the rows seen so far, so a row
-   costs a few heap steps. The sweep is the only Python code, one pass over Arrow
-   batches of a partition, and holds one block at a time.
+2. A block is swept once. Its running quantiles are order statistics of its prefixes, found
+   for all rows together by one NumPy pass per bit of their ranks (``sweep.py``). It is the
+   only Python code, over Arrow batches of a partition, and holds few blocks at a time.
 3. The sweep of a later block must start from everything before it. Counts, sums and
    the last cluster come from one summary row per block. Of the earlier values it needs
    only those a quantile can move to while the block is read: at most ``block_rows``
@@ -33,21 +33,6 @@ from runlens.schema import BASELINE_SCHEMA
 _TARGETS_PER_TASK = 64
 
 
-def windowed_baselines(samples: DataFrame) -> DataFrame:
-    """The plain window form: for small batches, and the model the sweep is tested on."""
-    w = Window.partitionBy("job_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    counted = has_measure()
-    stats = {"cluster_name": F.last(F.when(counted, F.col("cluster_name")), ignorenulls=True).over(w)}
-    stats["run_count"] = F.count(F.when(counted, F.lit(1))).over(w)
-    stats |= {name: F.percentile(m, rank).over(w) for name, m, rank in SLICES}
-    stats |= {name: F.avg(m).over(w) for name, m in AVERAGES}
-    rows = samples.where(F.col("job_id") != "").select(
-        "uid", "job_id", F.lit("SPARK").alias("job_type"),
-        *(c.alias(name) for name, c in stats.items()),
-    )
-    return rows.where(F.col("run_count") > 0).select("uid", *BASELINE_SCHEMA.names)
-
-
 def running_baselines(samples: DataFrame, *, block_rows: int = 65_536) -> DataFrame:
     """A baseline row for each run that has an earlier sample in its family.
 

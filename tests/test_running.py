@@ -4,11 +4,15 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from runlens.operators.profile import MEASURES
+from runlens.functions.clock import ORDER
+from runlens.operators.profile import MEASURES, has_measure
 from runlens.operators.ranking import exact_quantiles, line_numbers
-from runlens.operators.running import running_baselines, windowed_baselines
+from runlens.operators.running import running_baselines
+from runlens.operators.sweep import AVERAGES, SLICES
+from runlens.schema import BASELINE_SCHEMA
 from runlens.storage import pin
 
 SCHEMA = (
@@ -82,6 +86,21 @@ def check(got, want):
                 assert got[uid][name] == value, (uid, name)
 
 
+def windowed_baselines(samples: DataFrame) -> DataFrame:
+    """The plain window form, a second model of the sweep."""
+    w = Window.partitionBy("job_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    counted = has_measure()
+    stats = {"cluster_name": F.last(F.when(counted, F.col("cluster_name")), ignorenulls=True).over(w)}
+    stats["run_count"] = F.count(F.when(counted, F.lit(1))).over(w)
+    stats |= {name: F.percentile(m, rank).over(w) for name, m, rank in SLICES}
+    stats |= {name: F.avg(m).over(w) for name, m in AVERAGES}
+    rows = samples.where(F.col("job_id") != "").select(
+        "uid", "job_id", F.lit("SPARK").alias("job_type"),
+        *(c.alias(name) for name, c in stats.items()),
+    )
+    return rows.where(F.col("run_count") > 0).select("uid", *BASELINE_SCHEMA.names)
+
+
 # One family holds most rows; block sizes make it span many blocks and partitions.
 @pytest.mark.parametrize("block_rows", [3, 16, 50, 65_536])
 @pytest.mark.parametrize("ties", [False, True])
@@ -100,8 +119,6 @@ def test_hot_family_is_cut_into_blocks(spark):
     """No block holds more rows than asked, and what it is told of earlier blocks is
     bounded by the block size, not by the family size."""
     from runlens.operators.running import block_stream
-    from runlens.operators.sweep import SLICES
-
     rows = make(1, {"hot": 3000, "a": 4})
     stream = block_stream(spark.createDataFrame(rows, SCHEMA), block_rows=100)
     per_block = stream.groupBy("job_id", "block").agg(
