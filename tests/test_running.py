@@ -86,7 +86,7 @@ def check(got, want):
                 assert got[uid][name] == value, (uid, name)
 
 
-def windowed_baselines(samples: DataFrame) -> DataFrame:
+def windowed_baselines(samples):
     """The plain window form, a second model of the sweep."""
     w = Window.partitionBy("job_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     counted = has_measure()
