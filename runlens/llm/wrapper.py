@@ -80,6 +80,8 @@ BOILER_NAMES = frozenset(
     "overlay comment comments disqus respond reply replies share sharing social related recommended newsletter "
     "subscribe signup login search breadcrumb breadcrumbs pagination pager widget toolbar skip copyright".split()
 )
+REPLY_NAMES = frozenset("comment comments reply replies advert advertisement sponsored related recommended".split())
+BESIDE = frozenset("has no with without".split())
 ROOT_NAMES = frozenset("article articlebody post entry story".split())
 
 TOKEN = re.compile(
@@ -99,17 +101,20 @@ def signature(tag: str, attributes: str) -> tuple[str, bool, bool]:
     classes = re.sub(r"[0-9]+", "", found.get("class", "").lower()).split()
     sign = tag + "".join(f".{c}" for c in sorted(set(classes))[:3])
     role = found.get("role", "").lower()
-    words = set(re.split(r"[^a-z]+", re.sub(r"[0-9]+", " ", names)))
-    article = tag in ("article", "main") or role in ("main", "article") or bool(
+    parts = [re.split(r"[^a-z]+", re.sub(r"[0-9]+", " ", n)) for n in names.split()]
+    # Names such as has-sidebar say what stands beside the element.
+    words = {w for p in parts if not BESIDE.intersection(p) for w in p}
+    article = tag in ("article", "main") or role in ("main", "article") or tag not in ("html", "body") and bool(
         words & ROOT_NAMES or found.get("itemprop", "").lower() == "articlebody"
     )
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(
         r"display\s*:\s*none", found.get("style", "")
     )
     listed = role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form")
-    plain = tag not in ("html", "body", "article", "main", "h1")
-    boiler = tag in BOILER_TAGS or bool(hidden) or listed or (plain and bool(words & BOILER_NAMES))
-    return sign.replace("/", "_"), boiler, article
+    named = words & (REPLY_NAMES if tag in ("article", "main", "h1") else BOILER_NAMES)
+    plain = tag not in ("html", "body")
+    boiler = tag in BOILER_TAGS or bool(hidden) or listed or (plain and bool(named))
+    return sign.replace("/", "_"), boiler, article and not boiler
 
 
 class Page:

@@ -158,6 +158,15 @@ def test_root_without_article_and_copies(spark):
     assert got[104].startswith("T 0\nb&0")
 
 
+def test_roles_by_name():
+    sign = wrapper.signature
+    assert sign("article", ' class="comment"')[1:] == (True, False)
+    assert sign("article", ' class="post has-sidebar"')[1:] == (False, True)
+    assert sign("div", ' class="content no-ads"')[1:] == (False, False)
+    assert sign("div", ' id="sidebar-2"')[1:] == (True, False)
+    assert sign("body", ' class="single-post nav-open"')[1:] == (False, False)
+
+
 def test_tree_matching_and_merge():
     a = ["x", [["a", []], ["b", [["c", []]]], ["d", []]]]
     b = ["x", [["b", [["e", []]]], ["f", []], ["d", []]]]
