@@ -165,8 +165,9 @@ def lists(nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """``v, node, score``: nodes under their rarest retained values that occur twice or more."""
     needed = [0] + [shared_at_least(n, percent) for n in range(1, k + 1)]
     values = nodes.select("node", F.size("sketch").alias("n"), F.explode("sketch").alias("v"))
-    df = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    # Left join side of few distinct keys: a value that a third of all nodes retain can be split.
+    # Counts are written before they are joined: a join of two plain shuffles can split the
+    # partition of a value that a third of all nodes retain, one with an aggregate cannot.
+    df = stash(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "counts")
     met = values.join(df, "v")
     own = met.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("own"))  # k at most
     room = F.col("n") - _table(needed, F.col("n")) + 1
@@ -182,7 +183,7 @@ def candidates(entries: DataFrame, short_list: int) -> tuple[DataFrame, DataFram
     heads = entries.groupBy("v").agg(
         F.count("*").alias("m"), F.max(F.struct("score", "node")).alias("head")
     ).where("m > 1")
-    listed = entries.join(heads, "v")
+    listed = stash(entries.join(stash(heads, "heads"), "v"), "listed")
     # Lists of a fixed length at most.
     bags = listed.where(F.col("m") <= short_list).groupBy("v").agg(F.sort_array(F.collect_list("node")).alias("bag"))
     pairs = bags.select(
@@ -274,10 +275,10 @@ def components(links: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = star(both, low, True).where("u != v").distinct()
+        low = stash(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
+        large = stash(star(both, low, True).where("u != v").distinct(), "large")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        small = star(down, down.groupBy("u").agg(F.min("v").alias("m")), False)
+        small = star(down, stash(down.groupBy("u").agg(F.min("v").alias("m")), "low"), False)
         edges = stash(small.where("u != v").distinct(), "edges")
         now = edges.agg(
             F.count("*").alias("n"),
@@ -343,7 +344,7 @@ def left_over(stars: DataFrame, rooted: DataFrame, block: int) -> DataFrame:
         .where("few > 0")
         .select("leader", F.ceil(F.col("all") / block).alias("gj"), F.ceil(F.col("few") / block).alias("gi"))
     )
-    dealt = named.join(sizes, "leader")
+    dealt = named.join(stash(sizes, "sizes"), "leader")
     number = F.xxhash64("node")
     whole = dealt.select(
         "leader", F.explode(F.sequence(F.lit(0), F.col("gi").cast("int") - 1)).alias("i"),
@@ -416,7 +417,7 @@ def classes(
         rooted = stash(components(links.union(more)), "classes")
     named = nodes.select("node", F.col("own.doc_id").alias("least")).join(rooted, "node", "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component"))
+    ids = stash(named.groupBy("root").agg(F.min("least").alias("component")), "ids")
     of_node = named.join(ids, "root").select("node", "component")
     return seen.join(of_node, "node", "left").select(
         "doc_id",
@@ -438,14 +439,14 @@ def keep(
     without an id have nothing to be chosen by and stay."""
     found = stash(classes(docs, id_col=id_col, text_col=text_col, **settings).where("doc_id IS NOT NULL"), "found")
     i, h = fresh(docs, "class_id"), fresh(docs, "class_text")
-    best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "h")).alias("best"))
-    judged = (
-        found.join(best, "component_id")
-        .groupBy(F.col("doc_id").alias(i), F.col("h").alias(h))
-        .agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "h") == F.col("best")).alias("first"))
-    )
+    # A row stays if its id is the class's; where rows of that id differ in text, the least hash.
+    heads = found.where("doc_id = component_id").groupBy("doc_id", "h").agg(F.count("*").alias("n"))
+    best = heads.groupBy("doc_id").agg(F.min("h").alias("h"), F.lit(True).alias("first"))
+    heads = heads.join(best, ["doc_id", "h"], "left").withColumn("first", F.coalesce("first", F.lit(False)))
+    others = found.where("doc_id != component_id").select("doc_id", "h").distinct()
+    judged = heads.unionByName(others.withColumns({"n": F.lit(1), "first": F.lit(False)}))
     # The rows that go, and those of which one stays, are few as a rule: only they are joined.
-    judged = stash(judged.where("NOT first OR n > 1"), "judged")
+    judged = stash(judged.where("NOT first OR n > 1").withColumnsRenamed({"doc_id": i, "h": h}), "judged")
     same = docs[id_col].cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(docs[text_col]) == F.col(h))
     gone = hinted(judged.select(i, h), broadcast_rows)
     again = hinted(judged.where("first").select(i, h), broadcast_rows)
