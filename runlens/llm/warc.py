@@ -74,6 +74,8 @@ def decide(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes
     firsts = (
         large.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     )
+    # Written first: a join of two plain shuffles can split a hot digest's partition.
+    firsts = stash(firsts, "digests")
     again = ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.join(firsts, "digest", "left").select(
         "page_id", "url", "payload", "digest", surt(F.col("url")).alias("key"),
