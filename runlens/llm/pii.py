@@ -6,8 +6,12 @@ when seeing the term tells nearly as much as seeing the entity: with documents a
 the information in the entity itself. ``n(e, t)`` counts documents where the term stands
 within ``radius`` characters of the entity; ``n(t)`` counts documents of the whole corpus.
 A term at ``generalise_at`` of ``IC`` or more is generalised, at ``remove_at`` removed, in
-every document that holds the entity. Evidence from fewer than ``min_contexts`` different
-surroundings is no evidence: copies of one passage count once.
+every document that holds the entity.
+
+``PMI`` is ``log(P(e|t) / P(e))``, and few documents say little about ``P(e|t)``. It is
+estimated from ``k`` independent observations, the documents with different surroundings of
+the pair (copies of one passage count once), beside one more that knows only ``P(e)``:
+``(k * n(e, t) / n(t) + P(e)) / (k + 1)``. No number of documents is required.
 
 All patterns run in one linear pass each: atomic repeats, and a start only where a run of
 characters begins or where the last match ended, give the same leftmost matches as the plain
@@ -30,7 +34,6 @@ from pyspark.sql import functions as F
 from runlens.llm.common import fresh, let, stash
 
 RADIUS = 80
-MIN_CONTEXTS = 5
 GENERALISE_AT, REMOVE_AT = 0.9, 0.99
 #: Candidate terms up to this number are broadcast; more are joined by a shuffle.
 BROADCAST_TERMS = 200_000
@@ -150,7 +153,6 @@ def disclosures(
     docs: DataFrame,
     near: DataFrame,
     *,
-    min_contexts: int = MIN_CONTEXTS,
     generalise_at: float = GENERALISE_AT,
     broadcast_terms: int = BROADCAST_TERMS,
 ) -> DataFrame:
@@ -160,10 +162,15 @@ def disclosures(
     """
     event = F.struct("doc_id", "h")
     n = F.lit(docs.count()).cast("double")
-    n_e, n_et = (F.col(c).cast("double") for c in ("n_e", "n_et"))
-    # Natural logarithm over natural logarithm: the share of the entity's information.
-    share = lambda n_t: F.log(n * F.least(n_et, n_t) / (n_e * n_t)) / F.log(n / n_e)
-    pairs = near.groupBy("entity", "term").agg(
+    n_e, n_et, n_contexts = (F.col(c).cast("double") for c in ("n_e", "n_et", "n_contexts"))
+    k, p_e = F.least(n_contexts, n_et), n_e / n
+
+    def share(n_t: Column) -> Column:
+        """The share of the entity's information; falls as ``n_t`` grows."""
+        p_et = (k * F.least(n_et, n_t) / n_t + p_e) / (k + 1)
+        return F.log(p_et / p_e) / -F.log(p_e)
+
+    pairs = near.where(F.col("term").isNotNull()).groupBy("entity", "term").agg(
         F.count_distinct("context").alias("n_contexts"), F.count_distinct(event).alias("n_et")
     )
     entities = near.select("entity", "doc_id", "h").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
@@ -171,8 +178,7 @@ def disclosures(
     # share from above, and rules out common words before the corpus is counted.
     around = near.groupBy("term").agg(F.count_distinct(event).alias("n_near"))
     known = stash(
-        pairs.where(F.col("n_contexts") >= min_contexts)
-        .join(entities, "entity")
+        pairs.join(entities, "entity")
         .join(around, "term")
         .where(n_e < n)
         .where(share(F.col("n_near").cast("double")) >= generalise_at),
@@ -199,7 +205,6 @@ def find(
     id_col: str = "doc_id",
     text_col: str = "text",
     radius: int = RADIUS,
-    min_contexts: int = MIN_CONTEXTS,
     generalise_at: float = GENERALISE_AT,
     remove_at: float = REMOVE_AT,
 ) -> DataFrame:
@@ -208,7 +213,7 @@ def find(
     bases = texts.withColumn("base", base_spans(F.col("t")))
     found = stash(bases.drop("t"), "pii-base")
     near = stash(contexts(bases, radius=radius), "pii-near")
-    flagged = disclosures(texts, near, min_contexts=min_contexts, generalise_at=generalise_at)
+    flagged = disclosures(texts, near, generalise_at=generalise_at)
     # Letters only, so the words need no quoting in a pattern.
     own = (
         near.join(flagged, ["entity", "term"])

@@ -215,3 +215,31 @@ def test_sanitise_merges_overlaps(spark):
     clean = pii.sanitise(docs).first().text
     assert clean.startswith("call +<card> or <email>. Write to <email> or <ip>, not 10.0.256.1; card <card> é, call <phone>")
     assert clean.endswith("now. <email>@d.org <ip>.<ip> <email>")
+
+
+def rare(n_docs, copies=()):
+    """One address in two documents beside Quillfeather, and among other documents."""
+    rows = [(i, f"some common words of document number {i} stand here") for i in range(n_docs)]
+    rows += [(5001, "Ask Quillfeather about it, ann@corp.example reads this"), *copies]
+    return rows
+
+
+def test_terms_of_rare_entities(spark):
+    second = (5002, "The words of Quillfeather here are for ann@corp.example only")
+    copy = (5003, rare(0)[0][1])
+
+    def terms(rows):
+        found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).where("size(terms) > 0").collect()
+        return {r.doc_id: {x.v for x in r.terms} for r in found}
+
+    found = terms(rare(600, [second]))
+    assert "Quillfeather" in found[5001] and "Quillfeather" in found[5002]
+    # A copy is no second observation; one is enough among more documents only.
+    assert terms(rare(600, [copy])) == {}
+    assert "Quillfeather" in terms(rare(3000))[5001]
+    assert not any("words" in v for v in found.values())
+
+
+def test_terms_are_found_in_a_given_table(spark):
+    found = pii.find(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    assert found.where("size(terms) > 0").count() > 0
