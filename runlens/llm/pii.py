@@ -6,7 +6,8 @@ when seeing the term tells nearly as much as seeing the entity: with documents a
 the information in the entity itself. ``n(e, t)`` counts documents where the term stands
 within ``radius`` characters of the entity; ``n(t)`` counts documents of the whole corpus.
 A term at ``generalise_at`` of ``IC`` or more is generalised, at ``remove_at`` removed, in
-every document that holds the entity.
+every document that holds the entity, at any distance from it. Terms are words of three or
+more letters, marks and digits, whatever stands around them.
 
 ``PMI`` is ``log(P(e|t) / P(e))``, and few documents say little about ``P(e|t)``. It is
 estimated from ``k`` independent observations, the documents with different surroundings of
@@ -31,12 +32,14 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import fresh, let, stash
+from runlens.llm.common import fresh, hinted, let, stash
 
 RADIUS = 80
 GENERALISE_AT, REMOVE_AT = 0.9, 0.99
 #: Candidate terms up to this number are broadcast; more are joined by a shuffle.
 BROADCAST_TERMS = 200_000
+#: The same for entities with disclosing terms.
+BROADCAST_ENTITIES = 100_000
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -49,8 +52,10 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _SPANS = "array<struct<s:int,e:int,v:string>>"
-TERM = r"(?<=\s)\p{L}{3,}(?=[\s.,;:!?])"
-NOT_LETTERS = r"[^\p{L}]+"
+_WORD = r"\p{L}\p{M}\p{N}"
+# A word that the window cuts has nothing before or after it.
+TERM = rf"(?<=[^{_WORD}])[{_WORD}]{{3,}}+(?=[^{_WORD}])"
+NOT_WORD = rf"[^{_WORD}]+"
 
 
 def locate(text: Column, pattern: Column) -> Column:
@@ -125,12 +130,17 @@ def _entity(kind: str, value: Column) -> Column:
 
 
 def contexts(docs: DataFrame, *, radius: int = RADIUS) -> DataFrame:
-    """``doc_id, h, entity, context, term``: terms around each entity. ``docs`` has ``base``."""
+    """``doc_id, h, entity, context, term``: terms around each entity; one row with a null
+    term where there are none. ``docs`` has ``base``."""
 
     def around(kind: str) -> Column:
         def of(x: Column) -> Column:
-            before = F.substr("t", F.greatest(x["s"] - radius, F.lit(0)) + 1, F.least(x["s"], F.lit(radius)))
-            after = F.substr("t", x["e"] + 1, F.lit(radius))
+            # One character more on each side, and a blank at both ends of the text, tell whole words.
+            ahead = F.greatest(x["s"] - radius - 1, F.lit(0))
+            before = F.concat(
+                F.when(x["s"] <= radius, F.lit(" ")).otherwise(F.lit("")), F.substr("t", ahead + 1, x["s"] - ahead)
+            )
+            after = F.substr(F.concat("t", F.lit(" ")), x["e"] + 1, F.lit(radius + 1))
             near = F.lower(F.concat(before, F.lit(" | "), after))
             return F.struct(_entity(kind, x["v"]).alias("entity"), near.alias("near"))
 
@@ -144,7 +154,7 @@ def contexts(docs: DataFrame, *, radius: int = RADIUS) -> DataFrame:
             "h",
             "entity",
             F.xxhash64("near").alias("context"),
-            F.explode(F.array_distinct(F.regexp_extract_all("near", F.lit(TERM), F.lit(0)))).alias("term"),
+            F.explode_outer(F.array_distinct(F.regexp_extract_all("near", F.lit(TERM), F.lit(0)))).alias("term"),
         )
     )
 
@@ -176,7 +186,7 @@ def disclosures(
     entities = near.select("entity", "doc_id", "h").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     # A term is in at least as many documents as have it near some entity. That bounds its
     # share from above, and rules out common words before the corpus is counted.
-    around = near.groupBy("term").agg(F.count_distinct(event).alias("n_near"))
+    around = near.where(F.col("term").isNotNull()).groupBy("term").agg(F.count_distinct(event).alias("n_near"))
     known = stash(
         pairs.join(entities, "entity")
         .join(around, "term")
@@ -185,7 +195,7 @@ def disclosures(
         "pii-pairs",
     )
     wanted = stash(known.select("term").distinct(), "pii-terms")
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("t"), NOT_LETTERS))).alias("term"))
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("t"), NOT_WORD))).alias("term"))
     if wanted.limit(broadcast_terms + 1).count() <= broadcast_terms:
         # Rows of few terms are left of the corpus; beyond that, counts are joined, not rows.
         counts = words.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
@@ -214,9 +224,14 @@ def find(
     found = stash(bases.drop("t"), "pii-base")
     near = stash(contexts(bases, radius=radius), "pii-near")
     flagged = disclosures(texts, near, generalise_at=generalise_at)
-    # Letters only, so the words need no quoting in a pattern.
+    # Every document that holds the entity, wherever the term stands in it.
+    told = stash(flagged.groupBy("entity").agg(F.collect_list(F.struct("term", "share")).alias("told")), "pii-told")
+    # Letters, marks and digits only, so the words need no quoting in a pattern.
     own = (
-        near.join(flagged, ["entity", "term"])
+        near.select("doc_id", "h", "entity")
+        .distinct()
+        .join(hinted(told, BROADCAST_ENTITIES), "entity")
+        .select("doc_id", "h", F.inline("told"))
         .groupBy("doc_id", "h", "term")
         .agg(F.max("share").alias("share"))
         .groupBy("doc_id", "h")
@@ -224,9 +239,9 @@ def find(
     )
     held = bases.where(_some()).dropDuplicates(["doc_id", "h"])
     pattern = F.concat(
-        F.lit(r"(?iu)(?<!\p{L})(?:"),
+        F.lit(rf"(?iu)(?<![{_WORD}])(?:"),
         F.array_join(F.transform("own", lambda x: x["term"]), "|"),
-        F.lit(r")(?!\p{L})"),
+        F.lit(rf")(?![{_WORD}])"),
     )
     strong = F.transform(F.filter("own", lambda x: x["share"] >= remove_at), lambda x: x["term"])
     every = F.concat(*(F.col(f"base.{k}") for k in KINDS))

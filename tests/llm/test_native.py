@@ -243,3 +243,17 @@ def test_terms_of_rare_entities(spark):
 def test_terms_are_found_in_a_given_table(spark):
     found = pii.find(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
     assert found.where("size(terms) > 0").count() > 0
+
+
+def test_terms_go_wherever_the_entity_stands(spark):
+    rows = [(i, f"some common words of document number {i} stand here") for i in range(10_000, 13_000)]
+    shapes = ["ask (Quillfeather) ann@corp.example", 'to "Quillfeather": ann@corp.example!', "Quillfeather ann@corp.example"]
+    rows += [(1000 + i, f"{t} {w}") for i, (t, w) in enumerate(zip(shapes, ("red", "green", "blue"), strict=True))]
+    rows += [(1010 + i, f"unit B52x7 at 10.1.2.3 {w}") for i, w in enumerate(("red", "green", "blue"))]
+    # Far from the entity, and with no word beside it.
+    rows += [(1020, "ann@corp.example " + ". " * 60 + "Quillfeather"), (1021, "10.1.2.3 is the host " + "word " * 40 + "b52x7.")]
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).where("size(terms) > 0").collect()
+    terms = {r.doc_id: [x.v for x in r.terms] for r in found}
+    for i in (1000, 1001, 1002, 1020):
+        assert terms[i] == ["Quillfeather"]
+    assert "B52x7" in terms[1010] and "b52x7" in terms[1021]
