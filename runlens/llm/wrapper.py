@@ -15,8 +15,8 @@ joined by a shuffle.
 
 Defined cases: a null or empty html gives an empty text; unclosed and cut markup is read as
 browsers do, a tag cut at the end is dropped; hosts with fewer than ``MIN_PAGES`` pages and
-pages without the root are read by roles alone; where the root's own text is constant, the
-pages are copies and nothing is taken from it; repeated rows are answered each; an empty
+pages without the root are read by roles alone; a page whose root holds mostly constant text
+is a copy and nothing is taken from it; repeated rows are answered each; an empty
 table gives no rows; only id, URL and html are read.
 """
 
@@ -419,12 +419,7 @@ def decide(wrapper: list, slots: list[dict], constants: list[dict], n: int, min_
                 break
             node, path = child, f"{path}/{child[0]}"
         best = [path] if path else []
-    inside = lambda x: any(below(x["path"], r) for r in best)
-    held = sum(s["chars"] for s in slots if inside(s))
-    # Where most of the roots' text is the same on the pages, they are copies of one article.
-    copied = 2 * sum(c["chars"] * c["times"] for c in constants if inside(c)) > held
-    kept = [[c["path"], c["hash"]] for c in constants if not (copied and inside(c))]
-    return {"roots": best, "constants": kept}
+    return {"roots": best, "constants": [[c["path"], c["hash"]] for c in constants]}
 
 
 @lru_cache(maxsize=5_000)
@@ -436,15 +431,19 @@ def _rules(text: str | None) -> tuple[list[str], frozenset]:
 def main_text(html: str | None, rules: str | None) -> str:
     roots, constants = _rules(rules)
     page = Page(html)
-    blocks = [b for b in page.blocks if not b[3]]
+    blocks, rooted = [b for b in page.blocks if not b[3]], False
     # Pages that were laid out in another way than the host's others have a root of their own.
     for own in (roots, list(page.roots)):
         inside = [b for b in blocks if any(below(b[0], r) for r in own)]
         if inside:
-            blocks = inside
+            blocks, rooted = inside, True
             break
     if constants:
-        blocks = [b for b in blocks if (b[0], _hash(b[1])) not in constants]
+        varying = [b for b in blocks if (b[0], _hash(b[1])) not in constants]
+        # Where most of the root's text is constant, the page is a copy of an article, however
+        # long the host's other pages are.
+        if not rooted or 2 * sum(len(b[1]) for b in varying) >= sum(len(b[1]) for b in blocks):
+            blocks = varying
     return "\n".join(b[1] for b in blocks)
 
 

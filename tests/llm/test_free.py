@@ -321,3 +321,13 @@ def test_components_of_long_chains(spark):
     assert {bytes(got[name(100 + i)]) for i in range(30)} == {name(100)}
     none = spark.createDataFrame([], "a binary, b binary")
     assert neardup.components(none).count() == 0
+
+
+def test_short_copies_beside_long_pages(spark):
+    copy = f"<article><h1>Short story</h1><p>{'told again ' * 45}</p></article>"
+    long = "<article><h1>Own {0}</h1><p>{1}</p></article>"
+    rows = [(n, f"http://h.org/{n}", page(copy, n)) for n in range(80)]
+    rows += [(n, f"http://h.org/{n}", page(long.format(n, f"own{n} text " * 900), n)) for n in range(80, 100)]
+    got, _ = texts(spark, rows)
+    assert all(got[n].startswith("Short story\ntold again") for n in range(80))
+    assert all(got[n].startswith(f"Own {n}\nown{n} text") for n in range(80, 100))
