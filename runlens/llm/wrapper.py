@@ -84,12 +84,14 @@ REPLY_NAMES = frozenset("comment comments reply replies advert advertisement spo
 BESIDE = frozenset("has no with without".split())
 ROOT_NAMES = frozenset("article articlebody post entry story".split())
 
+# Quotes delimit a value only right after "="; one that is never closed is read as a plain character.
+_VALUE = r"(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]++|[\"'][^\s>]*+)"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)(>|\Z)|<[!?/][^>]*+(?:>|\Z)"
-    r"|<[A-Za-z/!?].*\Z",
+    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)"
+    rf"((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?+)*+)(>|\Z)|<[!?/][^>]*+(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 
 
 @lru_cache(maxsize=20_000)

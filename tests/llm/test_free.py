@@ -331,3 +331,11 @@ def test_short_copies_beside_long_pages(spark):
     got, _ = texts(spark, rows)
     assert all(got[n].startswith("Short story\ntold again") for n in range(80))
     assert all(got[n].startswith(f"Own {n}\nown{n} text") for n in range(80, 100))
+
+
+def test_stray_quotes_end_with_their_tag():
+    read = lambda html: wrapper.main_text(html, None)
+    assert read('<article><p class="a"">Hello</p><p>more</p></article>') == "Hello\nmore"
+    assert read("<article><p title=it's>One</p><p>we don't stop</p></article>") == "One\nwe don't stop"
+    assert read('<article><p class="a>One</p><p>two</p></article>') == "One\ntwo"
+    assert read("<p title='a>b' id = \"c>d\" x=\"y>z\"w>text</p><p>cut<a href='x") == "text\ncut"
