@@ -257,3 +257,49 @@ def test_terms_go_wherever_the_entity_stands(spark):
     for i in (1000, 1001, 1002, 1020):
         assert terms[i] == ["Quillfeather"]
     assert "B52x7" in terms[1010] and "b52x7" in terms[1021]
+
+
+def test_wrapped_licences_and_versions(spark):
+    import textwrap
+
+    every = licenses.ALL_SENTENCES
+
+    def wrapped(*names, prefix=""):
+        return "\n\n".join(
+            textwrap.fill(every[n], 60, initial_indent=prefix, subsequent_indent=prefix) for n in names
+        )
+
+    gpl = ("gpl-hope", "gpl-see")
+    bsd = ("bsd-redistribute", "bsd-source", "bsd-binary")
+    texts = [
+        "MIT License\n\nCopyright (c) 2020 X\n" + wrapped("mit-grant", "mit-notice", "mit-warranty", "mit-liability"),
+        wrapped("gpl-free", *gpl, prefix=" * "),
+        wrapped("gpl2-free", *gpl, prefix="# "),
+        every["gpl-free"],
+        wrapped(*bsd, "bsd-names"),
+        wrapped(*bsd),
+        "Copyright 2020 X\nAll rights reserved\nLicensed under the Apache License,\nVersion 2.0\n(the \"License\");\nyou",
+        "We are not Released under the MIT\nLicense. Licensed under CC BY 4.0.\r\nmore",
+        wrapped(*gpl),
+        every["gpl-free"].replace("version 3", "version 2"),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in licenses.scan(docs).collect()}
+    assert got == {
+        0: ["MIT"],
+        1: ["GPL-3.0-or-later"],
+        2: ["GPL-2.0-or-later"],
+        3: ["GPL-3.0-or-later"],
+        4: ["BSD-3-Clause"],
+        5: ["BSD-2-Clause"],
+        6: ["Apache-2.0", "all-rights-reserved"],
+        7: ["CC-BY-4.0"],
+        8: ["GPL-3.0-or-later"],
+        9: ["GPL-2.0-or-later"],
+    }
+
+
+def test_every_version_sentence_has_a_mark():
+    import re
+
+    assert all(re.search(licenses.MARKS, text) for text in licenses.ALL_SENTENCES.values())
