@@ -124,9 +124,108 @@ SELECT page_id, url, payload_bytes, payload_digest,
 FROM f
 """
 
+
+
+REPEATED_PASSAGES = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+windows AS (
+  SELECT r, i, array_to_string(w[i : i + 34], ' ') AS t FROM d, unnest(range(1, len(w) - 33)) AS s(i)),
+again AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY t) > 1),
+words AS (
+  SELECT d.r, d.doc_id, p, d.w[p] AS word,
+         count(a.i) OVER (PARTITION BY d.r ORDER BY p ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) > 0 AS covered
+  FROM d, unnest(range(1, len(w) + 1)) AS s(p) LEFT JOIN again a ON a.r = d.r AND a.i = p),
+kept AS (
+  SELECT r, count(*) FILTER (covered) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT covered) AS text
+  FROM words GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+RANKED_SEARCH = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents),
+lengths AS (SELECT r, any_value(doc_id) AS doc_id, count(*) AS n FROM d GROUP BY r),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lengths),
+tf AS (SELECT r, term, count(*) AS tf FROM d GROUP BY r, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tf, totals GROUP BY term),
+items AS (
+  SELECT DISTINCT k, item_id, term FROM (
+    SELECT row_number() OVER () AS k, item_id, unnest(regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark) AS i),
+scores AS (
+  SELECT k, item_id, r, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score
+  FROM items JOIN tf USING (term) JOIN weights USING (term) JOIN lengths USING (r), totals
+  GROUP BY k, item_id, r, doc_id),
+ranked AS (
+  SELECT k, item_id, doc_id, score, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id)::INTEGER AS rank
+  FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
+def vector_codes(rounds: int = 4, entries: int = 256) -> str:
+    """One pair of steps per round; a distance and its entry are one number, so the least of
+    them is the nearest entry and the first one on ties."""
+
+    def nearest(k: int) -> str:
+        return rf"""
+a{k} AS MATERIALIZED (
+  SELECT vec_id, p, any_value(u) AS u, min(CAST(list_dot_product(u, u) - 2 * list_dot_product(u, c)
+         + list_dot_product(c, c) AS BIGINT) * {entries} + e) AS best
+  FROM parts JOIN b{k} USING (p) GROUP BY vec_id, p)"""
+
+    def moved(k: int) -> str:
+        return rf"""
+s{k} AS (
+  SELECT p, best % {entries} AS e, i, CAST(floor(sum(u[i]) / count(*)) AS DOUBLE) AS mean
+  FROM a{k}, range(1, 1 + CAST(len(u) AS BIGINT)) AS t(i) GROUP BY p, best % {entries}, i),
+b{k + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(m.c, b{k}.c) AS c
+  FROM b{k} LEFT JOIN (SELECT p, e, list(mean ORDER BY i) AS c FROM s{k} GROUP BY p, e) m USING (p, e))"""
+
+    steps = [x for k in range(rounds) for x in (nearest(k), moved(k))]
+    return rf"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS u FROM kept, range(4) AS t(p)),
+b0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, u AS c
+  FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries})),
+{",".join([*steps, nearest(rounds)])},
+coded AS (
+  SELECT vec_id, string_agg(format('{{:02x}}', best % {entries}), '' ORDER BY p) AS code,
+         CAST(sum(best // {entries}) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY vec_id),
+digest AS (
+  SELECT sha256(string_agg(CAST(CAST(c[i] AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256
+  FROM b{rounds}, range(1, 1 + CAST(len(c) AS BIGINT)) AS t(i))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), digest
+"""
+
+
 ORACLES = {
     "op1_url_filter": URL_FILTER,
     "op3_warc": WARC,
     "op4_licenses": license_scan(),
     "op5_quality": QUALITY_LEDGER,
+    "op11_repeated_passages": REPEATED_PASSAGES,
+    "op12_ranked_search": RANKED_SEARCH,
+    "op13_vector_codes": vector_codes(),
 }
