@@ -7,8 +7,10 @@ task numbers its own rows, and only one small row per (group, task) is summed up
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from runlens.storage import bounded, pin
 
@@ -91,6 +93,81 @@ def group_numbers(
     return placed.withColumn(name, number).drop("row_id", "first_id", "before", "total")
 
 
+# Stretches that rows are counted in: 2**30 units, then finer ones inside the last of them.
+_SHIFTS = (30, 20, 10, 0)
+# So many rows more than twice those asked for are sorted rather than counted once more.
+_SLACK = 65_536
+_NULL_FIRST = -(1 << 62)
+# One row per group, up to this number of groups, comes to the driver.
+_FEW_GROUPS = 10_000
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(right[f"cut_{k}"])
+    return same
+
+
+def first_numbers(
+    df: DataFrame, keys: list[str], moment: str, tie: str, n: int, name: str, *, broadcast_rows: int = 200_000
+) -> tuple[DataFrame, int, int]:
+    """The first ``n`` rows of each group, numbered by ``name``, and two bounds: no ``moment``
+    of theirs is above the one, and they are not more than the other.
+
+    Rows are in the order of ``moment``, a whole number, and ``tie``; a missing moment is
+    first. They are not all sorted: partial counts per group and stretch of ``moment`` tell
+    in which stretch the n-th row is, and that stretch is counted in finer ones while it
+    holds many more. Only rows up to its end are numbered. Pin ``df`` if it is costly.
+    """
+    rows = df.withColumn(moment, F.coalesce(moment, F.lit(_NULL_FIRST)))
+    group = keys or ["whole"]
+    if not keys:
+        rows = rows.withColumn("whole", F.lit(0))
+    cuts = None
+    for shift in _SHIFTS:
+        bucket = F.shiftright(moment, shift).alias("bucket")
+        if cuts is None:
+            counted = rows.withColumn("taken", F.lit(0).cast("bigint"))
+        else:
+            last = cuts.select(*(F.col(k).alias(f"cut_{k}") for k in group), F.col("bucket").alias("last"), "taken")
+            counted = rows.join(last, _same(rows, last, group)).where(
+                F.shiftright(moment, wider) == F.col("last")
+            )
+        counted = counted.groupBy(*group, bucket).agg(F.count("*").alias("inside"), F.max("taken").alias("taken"))
+        earlier = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counted.withColumn("taken", F.col("taken") + F.coalesce(F.sum("inside").over(earlier), F.lit(0)))
+        reached = placed.where(F.col("taken") < n).groupBy(*group)
+        cuts = reached.agg(
+            F.max("bucket").alias("bucket"),
+            F.max("taken").alias("taken"),
+            F.max(F.col("taken") + F.col("inside")).alias("upto"),
+        )
+        few = cuts.limit(_FEW_GROUPS + 1).collect()
+        if len(few) <= _FEW_GROUPS:
+            # From an Arrow table it is a local relation, which costs no job.
+            table = pa.Table.from_pylist([r.asDict() for r in few], to_arrow_schema(cuts.schema))
+            cuts = F.broadcast(df.sparkSession.createDataFrame(table, cuts.schema))
+            sums = (sum(r.upto for r in few), sum(min(r.upto, n) for r in few), max((r.bucket for r in few), default=0))
+        else:
+            cuts = pin(cuts)
+            sums = cuts.agg(F.sum("upto"), F.sum(F.least("upto", F.lit(n))), F.max("bucket")).first()
+            cuts = bounded(cuts, broadcast_rows)
+        held, asked, end = sums
+        if held <= 2 * asked + _SLACK:
+            break
+        wider = shift
+    last = cuts.select(*(F.col(k).alias(f"cut_{k}") for k in group), F.col("bucket").alias("last"))
+    near = rows.join(last, _same(rows, last, group)).where(F.shiftright(moment, shift) <= F.col("last"))
+    if held <= broadcast_rows:
+        number = F.row_number().over(Window.partitionBy(*group).orderBy(moment, tie))
+        numbered = near.withColumn(name, number.cast("bigint"))
+    else:
+        numbered = group_numbers(near.select(*rows.columns), group, [moment, tie], name, broadcast_rows=broadcast_rows)
+    numbered = numbered.where(F.col(name) <= n).withColumn(moment, F.nullif(moment, F.lit(_NULL_FIRST)))
+    return numbered.select(*df.columns, name), ((end + 1) << shift) - 1, held
+
+
 def line_numbers(df: DataFrame, order: list[str]) -> DataFrame:
     """Adds ``line_no``, from 1 in the given order, without a one-task window over the
     rows: only one count per partition is summed up."""

@@ -80,6 +80,22 @@ def select_event_logs(
     )
 
 
+def _whole_characters(file: pa.NativeFile, start: int, stop: int, end: int) -> bytes:
+    """The bytes from ``start`` to ``stop``, but a character that ``stop`` cuts is taken whole
+    and the rest of one that ``start`` cuts is left to the part before."""
+    data = file.read_at(max(0, min(stop + 3, end) - start), start)
+
+    def cut(at: int) -> int:
+        """How many bytes from ``at`` on continue a character; four bytes are the longest."""
+        n = 0
+        while n < 3 and at + n < len(data) and 0x80 <= data[at + n] < 0xC0:
+            n += 1
+        return n
+
+    first = cut(0) if start else 0
+    return data[first : max(first, stop - start + cut(stop - start))]
+
+
 def _read(batches: Iterator[pa.RecordBatch], cap: int | None, part_bytes: int) -> Iterator[pa.RecordBatch]:
     """Parts of the files, opened here and read by ranges."""
     for batch in batches:
@@ -89,7 +105,7 @@ def _read(batches: Iterator[pa.RecordBatch], cap: int | None, part_bytes: int) -
             end = r["length"] if cap is None else min(cap, r["length"])
             with store.open_input_file(path) as file:
                 for k in range(max(1, -(-end // part_bytes))):
-                    data = file.read_at(max(0, min(part_bytes, end - k * part_bytes)), k * part_bytes)
+                    data = _whole_characters(file, k * part_bytes, min((k + 1) * part_bytes, end), end)
                     yield pa.RecordBatch.from_pydict(
                         {
                             "application_id": pa.array([r["application_id"]], pa.string()),
@@ -112,7 +128,8 @@ def read_event_logs(
 ) -> DataFrame:
     """Event logs below a folder. Names are listed and matched without contents; a task then
     opens the matched files and reads them by ranges, in parts of ``part_bytes`` numbered by
-    ``file_part``, so a file may have any size. No location gives no rows."""
+    ``file_part``, so a file may have any size. Parts end between characters, so joined parts
+    are the file's text. No location gives no rows."""
     found = "path string, length bigint"
     files = spark.createDataFrame([], found)
     if location:

@@ -20,6 +20,7 @@ from runlens.fixed import (
 )
 from runlens.functions.clock import literal_for, utc
 from runlens.operators.ranking import group_numbers
+from runlens.storage import pin
 
 
 def _select(points, metric_types, resource, start, end) -> DataFrame:
@@ -79,6 +80,10 @@ def metric_series(points: DataFrame, *keys: str) -> DataFrame:
     """The points of each series with ``place``, their number in the series in time order.
 
     One meaning at every size: a series may hold a third of all points, so it is neither
-    collected into an array nor numbered in one task (``ranking.group_numbers``).
+    collected into an array nor numbered in one task (``ranking.group_numbers``). Points get
+    an ordinal and are written with it first, so that equal points are told apart in the same
+    way whenever they are read, and may be dealt to several tasks.
     """
-    return group_numbers(metric_points(points, *keys), list(keys), ["timestamp", "value"], "place")
+    told = metric_points(points, *keys).withColumn("ordinal", F.monotonically_increasing_id())
+    numbered = group_numbers(pin(told), list(keys), ["timestamp", "value", "ordinal"], "place")
+    return numbered.drop("ordinal")

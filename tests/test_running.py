@@ -130,6 +130,42 @@ def test_hot_family_is_cut_into_blocks(spark):
     assert top[1] <= len(SLICES) * 6 * 100
 
 
+@pytest.mark.parametrize("drift", [0, 1])
+def test_counts_grow_with_the_blocks(spark, monkeypatch, drift):
+    """What blocks are told of bucket counts: a fixed number of rows per block and level of the
+    tree, not one per block and bucket."""
+    from runlens.operators import running
+
+    asked = {}
+    for blocks in (16, 64, 256):
+        rows = spark.range(blocks * 8).select(
+            F.lit("hot").alias("job_id"),
+            F.col("id").alias("row_id"),
+            F.floor(F.col("id") / 8).cast("int").alias("block"),
+            *((F.hash("id", F.lit(m)) % 1000 + drift * F.col("id")).cast("double").alias(m) for m in MEASURES),
+        )
+        counts = []
+
+        def counted(df, counts=counts):
+            out = pin(df)
+            if "rank" in out.columns:
+                counts.append(out.count())
+            return out
+
+        monkeypatch.setattr(running, "pin", counted)
+        running._values_in_reach(rows, 8).count()
+        assert len(counts) == {16: 1, 64: 2, 256: 2}[blocks]
+        assert max(counts) <= 2 * len(SLICES) * blocks
+        asked[blocks] = sum(counts)
+    assert asked[64] <= 2 * 4 * asked[16] * 1.1 and asked[256] <= 4 * asked[64] * 1.1
+
+
+def test_small_families_move_once(spark):
+    samples = pin(spark.createDataFrame(make(1, {"a": 40, "b": 30}), SCHEMA))
+    text = running_baselines(samples, block_rows=100)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "hashpartitioning(job_id" in text and "Scan ExistingRDD" in text
+
+
 @pytest.mark.parametrize("hot_value", [None, 5.0])
 def test_exact_quantiles(spark, hot_value):
     rng = random.Random(3)

@@ -167,6 +167,49 @@ def test_log_line_cap(spark):
     ]
 
 
+@pytest.mark.parametrize("slack", [0, 65_536])
+def test_first_lines_are_found_by_counts(spark, monkeypatch, slack):
+    """One value has most entries, many at the same moment; moments, values and limits vary."""
+    from runlens.operators import ranking
+
+    monkeypatch.setattr(ranking, "_SLACK", slack)
+    if not slack:
+        monkeypatch.setattr(ranking, "_FEW_GROUPS", 1)
+    start = datetime(1969, 12, 31)
+    entries = spark.range(900).select(
+        F.col("id").alias("event_id"),
+        F.when(F.col("id") % 100 != 7, F.timestamp_add(
+            "MICROSECOND", F.when(F.col("id") % 2 == 0, 5_000_000_000).otherwise(F.pmod(F.hash("id"), F.lit(10**11))),
+            F.lit(start).cast("timestamp_ntz"),
+        )).alias("timestamp"),
+        F.lit("INFO").alias("severity"),
+        F.when(F.col("id") % 3 > 0, F.lit("hot")).when(F.col("id") % 6 > 0, F.lit("rare")).alias("cluster_name"),
+        F.lit("t").alias("text_payload"), F.lit(None).cast("string").alias("message"),
+    ).repartition(5)
+    rows = sorted((r.timestamp is not None, r.timestamp or start, r.event_id, r.cluster_name) for r in entries.collect())
+    for limit in (1, 30, 5000):
+        whole = logs.log_lines(entries, entry_id="event_id", limit=limit).collect()
+        assert sorted((r.line_no, r.event_id) for r in whole) == [(k + 1, r[2]) for k, r in enumerate(rows[:limit])]
+        per = logs.log_lines(entries, entry_id="event_id", limit=limit, per="cluster_name").collect()
+        want = []
+        for name in ("hot", "rare", None):
+            own = [r[2] for r in rows if r[3] == name]
+            want += [(name, k + 1, i) for k, i in enumerate(own[:limit])]
+        assert {(r.cluster_name, r.line_no, r.event_id) for r in per} == set(want) and len(per) == len(want)
+    assert logs.log_lines(entries.limit(0), entry_id="event_id", limit=3).count() == 0
+
+
+def test_limited_lines_read_entries_up_to_their_time(spark, tmp_path):
+    path = str(tmp_path / "entries")
+    spark.range(1000).select(
+        F.col("id").alias("event_id"),
+        F.timestamp_add("HOUR", F.col("id"), F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz")).alias("timestamp"),
+        F.lit("INFO").alias("severity"), F.lit("t").alias("text_payload"), F.lit("m").alias("message"),
+    ).write.parquet(path)
+    text = logs.log_lines(spark.read.parquet(path), entry_id="event_id", limit=5)._jdf.queryExecution().executedPlan()
+    assert "PushedFilters: [Or(IsNull(timestamp),LessThanOrEqual(timestamp,2024-01-01T04:" in text.toString()
+
+
 def test_point_value_order(spark):
     df = spark.createDataFrame(
         [(1.5, 2, 3), (None, 2, 3), (None, None, 3), (None, None, 0), (None, None, None), (0.0, 2, 3)],
@@ -192,6 +235,39 @@ def test_hot_series_is_numbered_whole(spark, n):
         assert mine == [(k + 1, *x) for k, x in enumerate(want)]
 
 
+def test_equal_points_are_numbered_in_several_tasks(spark):
+    rows = spark.range(200_000).select(
+        F.lit("hot").alias("s"),
+        F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz").alias("end_time"),
+        F.lit(1.0).alias("double_value"),
+        F.lit(None).cast("bigint").alias("int64_value"),
+        F.lit(None).cast("bigint").alias("distribution_count"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = series.metric_series(rows, "s").withColumn("task", F.spark_partition_id())
+        assert got.columns == ["s", "timestamp", "value", "place", "task"]
+        tasks = [r["count"] for r in got.groupBy("task").count().collect()]
+        assert len(tasks) > 1 and max(tasks) < 150_000
+        top = got.agg(F.count_distinct("place"), F.min("place"), F.max("place")).first()
+        assert tuple(top) == (200_000, 1, 200_000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("part_bytes", [1, 2, 3, 7, 64])
+def test_parts_end_between_characters(spark, tmp_path, part_bytes):
+    text = "aé日本\U0001f600 ñ\n\U0001f680\U0001f680z" * 5
+    torn = b"\xe6\x97" + "日".encode() + b"\x80\x80\x80\x80\x80x"
+    (tmp_path / "application_1_log").write_bytes(text.encode())
+    (tmp_path / "application_2_log").write_bytes(torn)
+    ids = spark.createDataFrame([("application_1",), ("application_2",)], "id string")
+    got = event_logs.read_event_logs(spark, str(tmp_path), ids, part_bytes=part_bytes).orderBy("file_part").collect()
+    joined = {i: "".join(r.content_snippet for r in got if r.application_id == i) for i in ("application_1", "application_2")}
+    assert joined["application_1"] == text
+    assert "日" in joined["application_2"] and joined["application_2"].endswith("x")
+
+
 @pytest.mark.parametrize("broadcast_rows", [100, 0])
 def test_lookup_join_gives_the_same_rows_either_way(spark, broadcast_rows):
     """Broadcast and shuffle agree; one key has a third of all rows."""
