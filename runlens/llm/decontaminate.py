@@ -135,20 +135,23 @@ def build(
     return spark.read.schema(INDEX_SCHEMA).parquet(path)
 
 
-class Phrases:
-    """The windows of a block of items, with the items that have them."""
-
-    def __init__(self, items: list[tuple[str | None, str | None]], width: int):
-        self.terms: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set] = {}
-        words, firsts = split_words([text for _, text in items])
-        listed = words.to_pylist()
-        for (item, _), a, b in zip(items, firsts, firsts[1:], strict=False):
-            codes = [self.terms.setdefault(w, len(self.terms)) for w in listed[a:b]]
-            for i in range(max(1, len(codes) - width + 1) if codes else 0):
-                windows.setdefault(tuple(codes[i : i + width]), set()).add(item)
-        self.windows = [np.array(w) for w in windows]
-        self.items = list(windows.values())
+def phrase_block(items: list[tuple[str | None, str | None]], width: int) -> dict:
+    """The windows of a block of items: its ``terms``, and by length the ``windows`` as a
+    matrix of term numbers, with the items that have each. Plain values, which tasks can read
+    without a copy of this package."""
+    terms: dict[bytes, int] = {}
+    windows: dict[tuple[int, ...], set] = {}
+    words, firsts = split_words([text for _, text in items])
+    listed = words.to_pylist()
+    for (item, _), a, b in zip(items, firsts, firsts[1:], strict=False):
+        codes = [terms.setdefault(w, len(terms)) for w in listed[a:b]]
+        for i in range(max(1, len(codes) - width + 1) if codes else 0):
+            windows.setdefault(tuple(codes[i : i + width]), set()).add(item)
+    out = []
+    for length in sorted({len(w) for w in windows}):
+        own = [w for w in windows if len(w) == length]
+        out.append((np.array(own, np.int32), [windows[w] for w in own]))
+    return {"terms": list(terms), "windows": out}
 
 
 def intersect(lists: list[np.ndarray]) -> np.ndarray:
@@ -192,18 +195,20 @@ class Segment:
         ok = starts + width <= self.firsts[doc + 1]
         return starts[ok], doc[ok]
 
-    def phrases(self, block: Phrases) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Window number, starts and documents of all exact matches."""
+    def phrases(self, block: dict) -> Iterator[tuple[int, set, np.ndarray, np.ndarray]]:
+        """Length, items, starts and documents of the windows that occur."""
         none = np.empty(0, np.int64)
-        lists = [self.places.get(t, none) for t in block.terms]
+        lists = [self.places.get(t, none) for t in block["terms"]]
         there = np.array([len(x) > 0 for x in lists])
-        for k, window in enumerate(block.windows):
-            if there[window].all():
-                starts = intersect([lists[c] for c in window])
+        for matrix, items in block["windows"]:
+            length = matrix.shape[1]
+            # One look at all windows: few have all their words in a segment.
+            for k in np.flatnonzero(there[matrix].all(axis=1)).tolist():
+                starts = intersect([lists[c] for c in matrix[k].tolist()])
                 if len(starts):
-                    starts, docs = self.inside(starts, len(window))
+                    starts, docs = self.inside(starts, length)
                     if len(starts):
-                        yield k, starts, docs
+                        yield length, items[k], starts, docs
 
 
 def _blocks(queries: DataFrame, id_col: str, text_col: str, block_chars: int, width: int) -> list:
@@ -213,7 +218,7 @@ def _blocks(queries: DataFrame, id_col: str, text_col: str, block_chars: int, wi
     context, out = queries.sparkSession.sparkContext, []
     for k in range(n):
         block = items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).collect()
-        out.append(context.broadcast(Phrases([(r.i, r.t) for r in block], width)))
+        out.append(context.broadcast(phrase_block([(r.i, r.t) for r in block], width)))
     return out
 
 
@@ -245,12 +250,11 @@ def contamination(
         items: list[set] = [set() for _ in counts]
         change = np.zeros(int(segment.firsts[-1]) + 1, np.int32)
         for block in blocks:
-            phrases = block.value
-            for k, starts, docs in segment.phrases(phrases):
+            for length, named, starts, docs in segment.phrases(block.value):
                 np.add.at(change, starts, 1)
-                np.add.at(change, starts + len(phrases.windows[k]), -1)
+                np.add.at(change, starts + length, -1)
                 for doc in np.unique(docs):
-                    items[doc] |= phrases.items[k]
+                    items[doc] |= named
         hit = np.concatenate(([0], np.cumsum(np.cumsum(change)[:-1] > 0)))
         return pa.table(
             {
@@ -295,10 +299,11 @@ def matches(
 
         for block in blocks:
             phrases = block.value
-            for k, starts, docs in segment.phrases(phrases):
-                add("phrase", phrases.items[k], starts, docs)
-            terms = list(phrases.terms)
-            for k, window in enumerate(phrases.windows if slop else ()):
+            for _, named, starts, docs in segment.phrases(phrases):
+                add("phrase", named, starts, docs)
+            terms = phrases["terms"]
+            every = [(w, i) for matrix, items in phrases["windows"] for w, i in zip(matrix, items, strict=True)]
+            for window, named in every if slop else ():
                 lists = [segment.places.get(terms[c]) for c in set(window.tolist())]
                 if all(x is not None for x in lists):
                     starts = near(lists, slop)
@@ -309,7 +314,7 @@ def matches(
                         for s, d in zip(starts, docs, strict=True)
                     ]
                     whole = np.array(whole, bool)
-                    add("near", phrases.items[k], starts[whole], docs[whole])
+                    add("near", named, starts[whole], docs[whole])
         columns = list(zip(*found, strict=True)) or [(), (), (), ()]
         return pa.table(
             [

@@ -342,7 +342,7 @@ def pack(
     ranks = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     # At most one row per length of a window.
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = docs.sparkSession.sparkContext.broadcast(make_plan(histogram, capacity))
+    plan = make_plan(histogram, capacity)
 
     kinds = {
         "doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(),
@@ -353,7 +353,7 @@ def pack(
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = place_pieces(plan.value, batch.to_pydict())
+            found = place_pieces(plan, batch.to_pydict())
             yield pa.RecordBatch.from_arrays([pa.array(found[c], t) for c, t in kinds.items()], names=list(kinds))
 
     out = ", ".join(f"{c} {'array<int>' if c == 'ids' else 'long'}" for c in kinds)

@@ -27,7 +27,6 @@ import json
 import re
 import sys
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -94,8 +93,25 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 
 
-@lru_cache(maxsize=20_000)
+# What was worked out before, in this process. Plain dicts travel to the tasks with their
+# functions, which need no copy of the package there.
+_SIGNATURES: dict[tuple[str, str], tuple[str, bool, bool]] = {}
+_RULES: dict[str | None, tuple[list[str], frozenset]] = {}
+
+
+def _cached(cache: dict, most: int, key, make):
+    if key not in cache:
+        if len(cache) >= most:
+            cache.clear()
+        cache[key] = make(key)
+    return cache[key]
+
+
 def signature(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    return _cached(_SIGNATURES, 20_000, (tag, attributes), lambda key: _signature(*key))
+
+
+def _signature(tag: str, attributes: str) -> tuple[str, bool, bool]:
     """The element's name in a skeleton; whether its role is boilerplate; whether it is an article."""
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
     names = f"{found.get('class', '')} {found.get('id', '')}".lower()
@@ -424,14 +440,13 @@ def decide(wrapper: list, slots: list[dict], constants: list[dict], n: int, min_
     return {"roots": best, "constants": [[c["path"], c["hash"]] for c in constants]}
 
 
-@lru_cache(maxsize=5_000)
-def _rules(text: str | None) -> tuple[list[str], frozenset]:
+def _read_rules(text: str | None) -> tuple[list[str], frozenset]:
     found = json.loads(text) if text else {"roots": [], "constants": []}
     return found["roots"], frozenset((p, h) for p, h in found["constants"])
 
 
 def main_text(html: str | None, rules: str | None) -> str:
-    roots, constants = _rules(rules)
+    roots, constants = _cached(_RULES, 5_000, rules, _read_rules)
     page = Page(html)
     blocks, rooted = [b for b in page.blocks if not b[3]], False
     # Pages that were laid out in another way than the host's others have a root of their own.

@@ -40,6 +40,32 @@ def test_near_duplicates(spark, sf_dir):
     assert got == dict(zip((i for i, _ in rows), R.classes(rows), strict=True))
 
 
+def test_executors_need_no_copy_of_the_package(sf_dir):
+    """The queries with Python code in tasks, started where tasks cannot import the package."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.abspath(os.path.join(os.path.dirname(__file__), "..", ".."))
+    code = f"""
+import sys
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate())
+sys.path.insert(0, {root!r})
+import corpus_pipeline
+from runlens.llm.queries import QUERIES
+for n in (2, 3, 6, 9, 10, 11, 12, 13):
+    name = next(q for q in QUERIES if q.startswith(f"op{{n}}_"))
+    QUERIES[name](spark, {sf_dir!r}).write.format("noop").mode("overwrite").save()
+corpus_pipeline.run(spark, {sf_dir!r}).write.format("noop").mode("overwrite").save()
+print("all done")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd="/tmp", env=env, capture_output=True, text=True)
+    assert "all done" in done.stdout, done.stderr[-3000:]
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as C
 
