@@ -1,6 +1,13 @@
 """From raw documents to packed training sequences, in stages that each keep their result.
 
-Every stage but the last returns the columns of ``documents``; ``run`` applies them in order.
+Every stage but the last returns the columns of ``documents``. ``run`` applies them in order
+and writes what each but the last returns as a table in the shared folder, so that a later
+stage reads its documents from there as often as it likes, and a lost executor costs no
+earlier stage.
+
+Defined cases: a document with a null or empty text fails the quality rules and goes; rows
+with equal ids and texts are one group of copies, of which one stays; a table without rows
+gives none; columns that the stages do not read come through the filters unchanged.
 """
 
 from __future__ import annotations
@@ -9,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.llm import decontaminate, neardup, packing, pii, quality
+from runlens.llm.common import stash
 from runlens.llm.queries import tokenizer_path
 
 
@@ -51,6 +59,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)
