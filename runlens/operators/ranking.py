@@ -7,12 +7,10 @@ task numbers its own rows, and only one small row per (group, task) is summed up
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from runlens.storage import bounded, pin
+from runlens.storage import bounded, local_frame, pin
 
 
 def spread(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -145,9 +143,7 @@ def first_numbers(
         )
         few = cuts.limit(_FEW_GROUPS + 1).collect()
         if len(few) <= _FEW_GROUPS:
-            # From an Arrow table it is a local relation, which costs no job.
-            table = pa.Table.from_pylist([r.asDict() for r in few], to_arrow_schema(cuts.schema))
-            cuts = F.broadcast(df.sparkSession.createDataFrame(table, cuts.schema))
+            cuts = F.broadcast(local_frame(df.sparkSession, few, cuts.schema))
             sums = (sum(r.upto for r in few), sum(min(r.upto, n) for r in few), max((r.bucket for r in few), default=0))
         else:
             cuts = pin(cuts)

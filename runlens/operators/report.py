@@ -1,8 +1,12 @@
-"""Report operators over outcome rows (``facts.outcomes``), which should be pinned: the
-report reads them several times.
+"""Report operators over outcome rows (``facts.outcomes``), which should be pinned.
 
 Every "first" is a minimum over the processing order, so each operator is a mergeable
 aggregate: a family with a third of all findings is reduced inside the scanning tasks.
+
+The whole report comes from one such aggregate. Each outcome gives tagged entries, for its
+state, its findings and its recommendations; grouped by tag and key they are one row per
+state, family and suggestion. Header, totals and bodies are made of these few rows. Only the
+highlights look at the outcomes a second time, for the first few in order.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from runlens import fixed as X
 from runlens.functions.clock import ORDER
 from runlens.functions.wording import fill, fixed
 from runlens.operators.ranking import line_numbers
+from runlens.storage import pin
 
 
 def _order() -> Column:
@@ -59,6 +64,10 @@ def worst_findings(outcomes: DataFrame) -> DataFrame:
         .groupBy("job_id")
         .agg(F.min(worst).alias("worst"), F.min("seen").alias("first_seen"))
     )
+    return _opened(grouped)
+
+
+def _opened(grouped: DataFrame) -> DataFrame:
     return grouped.select(
         "job_id",
         "first_seen",
@@ -83,30 +92,31 @@ def ranked_regressions(outcomes: DataFrame) -> DataFrame:
 def suggested_actions(outcomes: DataFrame) -> DataFrame:
     """Distinct (family, action) pairs: the worst findings' actions in ranked order, then
     all recommendations in processing order; the first place of a pair counts."""
-    empty_pos = F.lit(-1)
-    leading = worst_findings(outcomes).select(
+    following = (
+        outcomes.where("has_issues")
+        .select("job_id", _order().alias("seen"), F.posexplode("recommendations").alias("pos", "action"))
+        .select("job_id", "action", _later_place(F.col("seen"), F.col("pos")).alias("place"))
+    )
+    return _first_places(worst_findings(outcomes), following).orderBy("place")
+
+
+def _later_place(seen: Column, pos: Column) -> Column:
+    return F.struct(F.lit(1).alias("list"), F.lit(0).alias("rank"), seen.alias("seen"), pos.alias("pos"))
+
+
+def _first_places(worst: DataFrame, following: DataFrame) -> DataFrame:
+    leading = worst.select(
         "job_id",
         "action",
         F.struct(
-            F.lit(0).alias("list"), F.col("rank"), F.col("first_seen").alias("seen"),
-            empty_pos.alias("pos"),
+            F.lit(0).alias("list"), F.col("rank"), F.col("first_seen").alias("seen"), F.lit(-1).alias("pos")
         ).alias("place"),
     )
-    following = (
-        outcomes.where("has_issues")
-        .select("job_id", _order().alias("seen"), F.posexplode("recommendations").alias("pos", "action"))
-        .select(
-            "job_id",
-            "action",
-            F.struct(F.lit(1).alias("list"), F.lit(0).alias("rank"), "seen", "pos").alias("place"),
-        )
-    )
     return (
         leading.unionByName(following)
         .where(F.col("action").isNotNull() & (F.col("action") != ""))
         .groupBy("job_id", "action")
         .agg(F.min("place").alias("place"))
-        .orderBy("place")
     )
 
 
@@ -116,18 +126,56 @@ def highlights(outcomes: DataFrame, *, limit: int = X.HIGHLIGHTS, newest: bool =
     return outcomes.orderBy(*order).limit(limit)
 
 
-def _header(outcomes: DataFrame) -> DataFrame:
-    """Title, rule and state counts. States are a short list of names."""
-    states = state_counts(outcomes).agg(
-        F.sum("run_count").alias("runs"),
-        F.sort_array(F.collect_list(F.struct("first_seen", "job_state", "run_count"))).alias("s"),
+_STATE, _FAMILY, _SUGGESTION = 0, 1, 2
+
+
+def report_entries(outcomes: DataFrame) -> DataFrame:
+    """``tag, key, action, n, seen, worst, place, issue``: one row per state, per family with a
+    finding, and per family and recommendation, from one pass over the outcomes."""
+    seen = _order()
+    worst = F.transform(
+        "findings",
+        lambda f, i: F.struct(
+            severity_rank(f["severity"]).alias("rank"), seen.alias("seen"), i.alias("pos"), f.alias("finding"),
+            "cluster_name", "baseline_median", "baseline_runs",
+        ),
+    )
+    places = F.transform("recommendations", lambda a, i: F.struct(a.alias("action"), _later_place(seen, i).alias("place")))
+    kinds = outcomes.select(worst.alias("worst"), places["place"].alias("place"), places["action"].alias("action")).schema
+    nothing = {f.name: F.lit(None).cast(f.dataType.elementType) for f in kinds}
+
+    def entry(tag: int, key: str, **values: Column) -> Column:
+        whole = nothing | values
+        return F.struct(F.lit(tag).alias("tag"), F.col(key).alias("key"), *(whole[c].alias(c) for c in nothing))
+
+    def entries(of: Column) -> Column:
+        return F.when(F.col("has_issues"), of)
+
+    state = F.array(entry(_STATE, "job_state"))
+    families = entries(F.transform(worst, lambda w: entry(_FAMILY, "job_id", worst=w)))
+    suggested = entries(
+        F.transform(places, lambda p: entry(_SUGGESTION, "job_id", place=p["place"], action=p["action"]))
     )
-    listed = F.array_join(
-        F.transform("s", lambda s: fill(X.REPORT_STATE, a=s["job_state"], b=s["run_count"])), ", "
+    some = F.concat(state, *(F.coalesce(e, F.slice(state, 1, 0)) for e in (families, suggested)))
+    tagged = outcomes.select("has_issues", seen.alias("seen"), F.inline(some))
+    return tagged.groupBy("tag", "key", "action").agg(
+        F.count("*").alias("n"),
+        F.min("seen").alias("seen"),
+        F.min("worst").alias("worst"),
+        F.min("place").alias("place"),
+        F.bool_or("has_issues").alias("issue"),
     )
-    counts = fill(X.REPORT_COUNTS, n=F.col("runs"), list=listed)
+
+
+def _header(states: DataFrame) -> DataFrame:
+    """Title, rule and state counts, which are one line of the report."""
+    named = states.select("seen", "key", "n", fill(X.REPORT_STATE, a=F.col("key"), b=F.col("n")).alias("state"))
+    whole = named.agg(
+        F.sum("n").alias("runs"), F.expr("listagg(state, ', ') WITHIN GROUP (ORDER BY seen, key, n)").alias("list")
+    )
+    counts = fill(X.REPORT_COUNTS, n=F.col("runs"), list=F.coalesce("list", F.lit("")))
     lines = F.array(F.lit(X.REPORT_TITLE), F.lit(X.REPORT_RULE), counts)
-    return states.where(F.col("runs").isNotNull()).select(F.posexplode(lines).alias("pos", "line"))
+    return whole.where(F.col("runs").isNotNull()).select(F.posexplode(lines).alias("pos", "line"))
 
 
 def _section(frame: DataFrame, number: int, place: Column, pos, line: Column) -> DataFrame:
@@ -146,19 +194,29 @@ def report_lines(outcomes: DataFrame) -> DataFrame:
     """The status report as rows, ordered by (section, place, pos).
 
     A report names every family with a regression, so it can be long: it stays a
-    distributed frame, and ``write_report`` or ``iter_lines`` deliver it in order.
+    distributed frame, and ``write_report`` or ``iter_lines`` deliver it in order. The
+    entries it is made of are pinned.
     """
     nowhere = F.lit(None).cast(_PLACE)
-    header = _section(_header(outcomes), 0, nowhere, F.col("pos"), F.col("line"))
-
-    regressions = worst_findings(outcomes)
+    told = pin(report_entries(outcomes))
+    states = told.where(F.col("tag") == _STATE)
+    families = told.where(F.col("tag") == _FAMILY)
+    regressions = _opened(families.select(F.col("key").alias("job_id"), F.col("seen").alias("first_seen"), "worst"))
+    suggested = _first_places(
+        regressions,
+        told.where(F.col("tag") == _SUGGESTION).select(F.col("key").alias("job_id"), "action", "place"),
+    )
+    header = _section(_header(states), 0, nowhere, F.col("pos"), F.col("line"))
     # The bodies below depend on one row of totals.
-    any_run = outcomes.agg(F.count("*").alias("runs"))
+    any_run = states.agg(F.sum("n").alias("runs"))
+    nothing = F.lit(0).cast("bigint")
     counted = [
-        regressions.select(F.lit(1).alias("n"), F.lit(0).alias("a"), F.lit(False).alias("issue")),
-        suggested_actions(outcomes).select(F.lit(0).alias("n"), F.lit(1).alias("a"), F.lit(False).alias("issue")),
-        outcomes.select(F.lit(0).alias("n"), F.lit(0).alias("a"), F.col("has_issues").alias("issue")),
-    ]
+        told.select(
+            (F.col("tag") == _FAMILY).cast("bigint").alias("n"), nothing.alias("a"),
+            ((F.col("tag") == _STATE) & F.col("issue")).alias("issue"),
+        ),
+        suggested.select(nothing.alias("n"), F.lit(1).cast("bigint").alias("a"), F.lit(False).alias("issue")),
+    ]
     totals = reduce(DataFrame.unionByName, counted).agg(
         F.sum("n").alias("n"), F.sum("a").alias("actions"), F.bool_or("issue").alias("issues")
     )
@@ -201,7 +259,7 @@ def report_lines(outcomes: DataFrame) -> DataFrame:
         3, nowhere, F.col("pos"), F.col("line"),
     )
     actions = _section(
-        suggested_actions(outcomes),
+        suggested,
         4,
         F.col("place").cast(_PLACE),
         F.lit(0),

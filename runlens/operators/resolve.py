@@ -52,7 +52,7 @@ def resolve_baselines(
     """
     with_history = attach_history(profiled, baselines, broadcast_rows=broadcast_rows)
     both = lookup_join(
-        with_history, _packed(running, "uid", "running"), "uid", broadcast_rows=broadcast_rows
+        with_history, _packed(running, "uid", "running"), "uid", broadcast_rows=broadcast_rows, skewed=False
     )
     historical, local = F.col("historical"), F.col("running")
     return both.withColumns(

@@ -67,6 +67,18 @@ def test_report_reduces_before_shuffling(spark):
     assert text.count("Exchange hashpartitioning") == 1 and "partial_min" in text
 
 
+def test_report_is_made_of_one_aggregate(spark, tmp_path):
+    """One scan and one exchange for states, families and suggestions; the highlights take the
+    first few of a second scan; no list of all states is gathered."""
+    path = str(tmp_path / "outcomes")
+    Q._outcomes(spark, SF).write.parquet(path)
+    outcomes = spark.read.parquet(path)
+    entries = plan(R.report_entries(outcomes))
+    assert entries.count("FileScan parquet") == 1 and entries.count("Exchange") == 1 and "partial_min" in entries
+    lines = plan(R.report_lines(outcomes))
+    assert lines.count("FileScan parquet") == 1 and "TakeOrderedAndProject" in lines and "collect_list" not in lines
+
+
 @pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - {"running_baseline", "running_baseline_blocks", "fact_roundtrip", "stored_report"}))
 def test_no_python_in_other_plans(spark, name):
     text = plan(Q.QUERIES[name](spark, SF))

@@ -235,6 +235,35 @@ def test_hot_series_is_numbered_whole(spark, n):
         assert mine == [(k + 1, *x) for k, x in enumerate(want)]
 
 
+def test_hot_keys_are_parted_without_adaptive_execution(spark):
+    """One key has a third of all rows, a missing key another sixth."""
+    left = spark.range(12_000).select(
+        "id",
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 6 != 1, F.concat(F.lit("k"), F.col("id") % 900)).alias("k"),
+    )
+    right = pin(spark.range(900).select(F.concat(F.lit("k"), F.col("id")).alias("k"), F.col("id").alias("x")).unionByName(
+        spark.createDataFrame([("hot", 5000)], "k string, x long")
+    ))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = lookup_join(left, right, "k", broadcast_rows=10)
+        assert got.columns == left.join(right, "k", "left").columns
+        text = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in text
+        tasks = sorted(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect())
+        assert len(tasks) == 16 and tasks[-1] <= 2 * tasks[8]
+        rows = sorted((r.id, r.k, r.x) for r in got.collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+    def key(i):
+        return "hot" if i % 3 == 0 else None if i % 6 == 1 else f"k{i % 900}"
+
+    assert rows == [(i, key(i), 5000 if i % 3 == 0 else None if i % 6 == 1 else i % 900) for i in range(12_000)]
+
+
 def test_equal_points_are_numbered_in_several_tasks(spark):
     rows = spark.range(200_000).select(
         F.lit("hot").alias("s"),
