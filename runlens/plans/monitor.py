@@ -147,19 +147,27 @@ def stored_outcomes(facts: DataFrame, start: datetime, end: datetime, **order) -
     return pin(outcomes_of_facts(facts.where(days & F.col("ingest_timestamp").between(low, high)), **order))
 
 
+def tables(params: Params) -> tuple[str, str]:
+    """Catalog names of the run states and of the facts. Run states are next to the facts
+    unless the settings name a place of their own."""
+    runs_in = params.run_state_dataset or params.bq_dataset
+    return f"{runs_in}.{params.run_state_table}", f"{params.bq_dataset}.{params.bq_table}"
+
+
 def run_once(
     spark: SparkSession, params: Params, as_of: datetime, *, uid: str, report_to: str | None = None
 ) -> tuple[Memory, Iterator[str]]:
     """All three steps over catalog tables. With ``report_to`` the report is written there by
     tasks; the returned lines come one partition at a time."""
-    ingested = ingest(spark.table(params.run_state_source), params, as_of, uid=uid)
+    runs, facts = tables(params)
+    ingested = ingest(spark.table(runs), params, as_of, uid=uid)
     memory = build_memory(
         ingested,
-        spark.table(params.fact_table),
+        spark.table(facts),
         params,
         as_of,
         uid=uid,
-        target=params.fact_table,
+        target=facts,
     )
     if report_to is not None and memory.outcomes is not None:
         R.write_report(memory.outcomes, report_to)

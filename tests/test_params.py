@@ -1,8 +1,10 @@
+from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 
 import pytest
 
 from runlens.params import Params, load_params
+from runlens.plans.monitor import tables
 
 
 def test_overrides_without_base():
@@ -12,12 +14,14 @@ def test_overrides_without_base():
     assert (p.project_id, p.region, p.lookback_hours, p.dry_run) == ("demo-project", "us-central1", 6, True)
     assert p.run_state_dataset is None
     assert p.run_state_table == "cag_run_state"
-    assert p.run_state_dataset_name == p.bq_dataset
+    assert tables(p) == (f"{p.bq_dataset}.cag_run_state", f"{p.bq_dataset}.daily_facts")
+    assert tables(replace(p, run_state_dataset="other"))[0] == "other.cag_run_state"
 
 
 def test_defaults():
     p = Params("p", "r")
-    assert p.lookback == timedelta(hours=24) and p.baseline_window == timedelta(days=7)
+    end = datetime(2024, 1, 9)
+    assert p.window(end) == (datetime(2024, 1, 8), end) and p.history_window(end) == (datetime(2024, 1, 2), end)
     assert p.max_eventlog_bytes is None and p.eventlog_prefix == "" and not p.dry_run
 
 
