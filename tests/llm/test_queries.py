@@ -91,3 +91,18 @@ def test_pipeline(spark, sf_dir):
             assert t == kept["decontamination"][i]
     packed = C.STAGES[-1][1](spark, docs, sf_dir).collect()
     assert {r.doc_id for r in packed} == set(kept["personal data"])
+
+
+def test_pipeline_stores_its_stages(spark, sf_dir):
+    import corpus_pipeline as C
+
+    plan = C.run(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "documents.parquet" not in plan and all(x not in plan for x in ("n_repeat", "sketch"))
+
+
+def test_pipeline_of_an_empty_table(spark, sf_dir, tmp_path):
+    import corpus_pipeline as C
+
+    table(spark, sf_dir, "documents").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    table(spark, sf_dir, "benchmark").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert C.run(spark, str(tmp_path)).count() == 0
