@@ -2,21 +2,28 @@
 
 Each page's DOM is reduced to its skeleton: the tree of element signatures, with equal
 siblings merged. Skeletons of one host are aligned by simple tree matching and merged into
-the host's wrapper. Corpus statistics by host and path then tell template from content: a
-block whose text is the same on nearly all pages of the host is a constant node; slots whose
-text varies are content, unless their role is known (menus, headers, footers, sidebars,
-notices, adverts, forms, comments). The slot that holds most of the varying text is the
-host's content root, and a page gives the text of its blocks below that root.
-
-All statistics are partial aggregates over single rows, so a host with a third of all pages
-is as good as any other; only distinct skeletons meet in a task, in groups of bounded size
-that are merged in rounds. The wrappers are broadcast behind a check of their size, else
-joined by a shuffle.
+the host's wrapper. Every page is then aligned with its host's wrapper, and statistics are
+kept by wrapper node: a text that stands in the same node with nearly all contents is
+constant and becomes template; a node whose text is mostly links is a menu; all other slots
+vary and are content, in page order, unless their role is known (menus, headers, footers,
+sidebars, notices, adverts, forms, comments). Where marked articles hold most of a host's
+varying text, a page gives its article alone; inside one, names count as a role only if the
+whole name speaks of it (``share`` and ``share-buttons``, not ``share-price``).
+
+Pages with the same article are one content, so copies of an article give no evidence that
+its text is template; neither does a text seen with fewer than ``min_pages`` contents.
+
+Statistics are partial aggregates over single rows, so a host with a third of all pages
+is as good as any other. Nodes on less than ``NODE_SHARE`` of a host's pages cannot be
+template and stay out of its wrapper, which bounds it by 1 / ``NODE_SHARE`` average pages,
+whatever class names a site makes up; skeletons meet in groups of bounded size that are
+merged in rounds. All work on trees is iterative, so markup may be nested at any depth.
 
 Defined cases: a null or empty html gives an empty text; unclosed and cut markup is read as
-browsers do, a tag cut at the end is dropped; hosts with fewer than ``MIN_PAGES`` pages and
-pages without the root are read by roles alone; a page whose root holds mostly constant text
-is a copy and nothing is taken from it; repeated rows are answered each; an empty
+browsers do, a tag cut at the end is dropped; hosts without evidence and nodes outside the
+wrapper are read by roles alone; a page of which nothing but headings varies is a copy, and
+nothing is taken from it; near copies (not equal ones) that make up most of a host's
+contents do pass for template where they agree; repeated rows are answered each; an empty
 table gives no rows; only id, URL and html are read.
 """
 
@@ -26,8 +33,11 @@ import html as entities
 import json
 import re
 import sys
+import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import count
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -41,6 +51,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MIN_PAGES = 8
 CONSTANT_SHARE = 0.8
+NODE_SHARE = 0.01
 FAN_IN = 256
 BROADCAST_BYTES = 32 << 20
 
@@ -80,6 +91,14 @@ BOILER_NAMES = frozenset(
     "subscribe signup login search breadcrumb breadcrumbs pagination pager widget toolbar skip copyright".split()
 )
 REPLY_NAMES = frozenset("comment comments reply replies advert advertisement sponsored related recommended".split())
+#: Words beside which a role word still makes up the whole name, and role words that inside an
+#: article more often name a part of it.
+PLAIN_NAMES = frozenset(
+    "area article articles bar block body box button buttons col column container content form group icon icons inner "
+    "item items left link links list main media outer page panel post posts right row section site slot stories story "
+    "text unit wrap wrapper".split()
+)
+PART_NAMES = frozenset("header masthead topbar bottom overlay skip copyright toolbar".split())
 BESIDE = frozenset("has no with without".split())
 ROOT_NAMES = frozenset("article articlebody post entry story".split())
 
@@ -90,13 +109,16 @@ TOKEN = re.compile(
     rf"((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?+)*+)(>|\Z)|<[!?/][^>]*+(?:>|\Z)",
     re.S,
 )
+TREE_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]]')
+HEADING = re.compile("h[1-6](?![a-z0-9])")
 ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 
 
 # What was worked out before, in this process. Plain dicts travel to the tasks with their
 # functions, which need no copy of the package there.
-_SIGNATURES: dict[tuple[str, str], tuple[str, bool, bool]] = {}
-_RULES: dict[str | None, tuple[list[str], frozenset]] = {}
+_ROLES: dict[tuple[str, str], tuple[str, bool, bool, bool]] = {}
+_RULES: dict[str | None, tuple] = {}
+_TREES: dict[str, list] = {}
 
 
 def _cached(cache: dict, most: int, key, make):
@@ -108,20 +130,26 @@ def _cached(cache: dict, most: int, key, make):
 
 
 def signature(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    return _cached(_SIGNATURES, 20_000, (tag, attributes), lambda key: _signature(*key))
+    """The element's name in a skeleton; whether its role is boilerplate; whether it is an article."""
+    return roles(tag, attributes)[:3]
 
 
-def _signature(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """The element's name in a skeleton; whether its role is boilerplate; whether it is an article."""
+def roles(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """``signature``, and whether the element is boilerplate even inside an article."""
+    return _cached(_ROLES, 20_000, (tag, attributes), lambda key: _roles(*key))
+
+
+def _roles(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
     names = f"{found.get('class', '')} {found.get('id', '')}".lower()
-    # Digits number things and would tell pages of one template apart.
-    classes = re.sub(r"[0-9]+", "", found.get("class", "").lower()).split()
-    sign = tag + "".join(f".{c}" for c in sorted(set(classes))[:3])
+    # Parts of a name with digits number things, or are made up; they would tell pages of one template apart.
+    kept = ("-".join(x for x in c.split("-") if not re.search("[0-9]", x)) for c in found.get("class", "").lower().split())
+    sign = tag + "".join(f".{c}" for c in sorted(set(kept) - {""})[:3])
     role = found.get("role", "").lower()
-    parts = [re.split(r"[^a-z]+", re.sub(r"[0-9]+", " ", n)) for n in names.split()]
+    parts = [[w for w in re.split(r"[^a-z]+", n) if w] for n in names.split()]
     # Names such as has-sidebar say what stands beside the element.
-    words = {w for p in parts if not BESIDE.intersection(p) for w in p}
+    parts = [p for p in parts if not BESIDE.intersection(p)]
+    words = {w for p in parts for w in p}
     article = tag in ("article", "main") or role in ("main", "article") or tag not in ("html", "body") and bool(
         words & ROOT_NAMES or found.get("itemprop", "").lower() == "articlebody"
     )
@@ -129,25 +157,51 @@ def _signature(tag: str, attributes: str) -> tuple[str, bool, bool]:
         r"display\s*:\s*none", found.get("style", "")
     )
     listed = role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form")
-    named = words & (REPLY_NAMES if tag in ("article", "main", "h1") else BOILER_NAMES)
+    outside = REPLY_NAMES if tag in ("article", "main", "h1") else BOILER_NAMES
+    # The header of an entry is a part of it.
+    outside = outside - PART_NAMES if words & ROOT_NAMES else outside
+    inside = outside - PART_NAMES
     plain = tag not in ("html", "body")
-    boiler = tag in BOILER_TAGS or bool(hidden) or listed or (plain and bool(named))
-    return sign.replace("/", "_"), boiler, article and not boiler
+    always = tag in BOILER_TAGS or bool(hidden) or listed
+    boiler = always or plain and bool(words & outside)
+    whole = plain and any(inside.intersection(p) and inside.union(PLAIN_NAMES).issuperset(p) for p in parts)
+    return sign.replace("/", "_"), boiler, article and not boiler, always or whole
+
+
+class Block(NamedTuple):
+    node: int
+    text: str
+    links: int  # characters inside links
+    boiler: bool
+    rooted: bool  # inside an article
+    heading: bool
 
 
 class Page:
-    """Blocks ``(path, text, link_chars, boiler)`` in page order, and all element paths."""
+    """Blocks in page order, and the skeleton: ``nodes`` holds ``[signature, children]`` by number."""
 
     def __init__(self, html: str | None):
-        self.blocks: list[tuple[str, str, int, bool]] = []
-        self.paths: dict[str, None] = {}
-        self.roots: dict[str, None] = {}
+        self.blocks: list[Block] = []
+        self.nodes: list[list] = [["", []]]
+        self._numbers: dict[tuple[int, str], int] = {}
         if html:
             self._read(html)
 
+    @property
+    def tree(self) -> list:
+        return self.nodes[0]
+
+    def _child(self, node: int, sign: str) -> int:
+        number = self._numbers.setdefault((node, sign), len(self.nodes))
+        if number == len(self.nodes):
+            self.nodes.append([sign, []])
+            self.nodes[node][1].append(self.nodes[number])
+        return number
+
     def _read(self, html: str) -> None:
-        stack: list[tuple[str, str, bool, bool]] = []  # tag, path, boiler, inside an article
-        path, boiler, article, texts, links, in_link = "", False, False, [], 0, 0
+        stack: list[tuple[str, int, bool, bool]] = []  # tag, node, boiler, inside an article
+        opened: dict[str, int] = {}  # elements of the stack by tag
+        node, boiler, article, texts, links, in_link = 0, False, False, [], 0, 0
 
         def flush() -> None:
             nonlocal links
@@ -155,18 +209,21 @@ class Page:
                 text = "".join(texts)
                 text = " ".join((entities.unescape(text) if "&" in text else text).split())
                 if text:
-                    self.blocks.append((path, text, links, boiler))
+                    heading = bool(HEADING.match(self.nodes[node][0]))
+                    self.blocks.append(Block(node, text, links, boiler, article, heading))
                 texts.clear()
             links = 0
 
         def cut(depth: int) -> None:
             """Close all elements from this depth on."""
-            nonlocal path, boiler, article, in_link
+            nonlocal node, boiler, article, in_link
             if any(x[0] not in INLINE for x in stack[depth:]):
                 flush()
-            in_link -= sum(x[0] == "a" for x in stack[depth:])
+            for x in stack[depth:]:
+                opened[x[0]] -= 1
+            in_link = opened.get("a", 0)
             del stack[depth:]
-            _, path, boiler, article = stack[-1] if stack else ("", "", False, False)
+            _, node, boiler, article = stack[-1] if stack else ("", 0, False, False)
 
         at, token = 0, TOKEN.search
         while True:
@@ -185,7 +242,7 @@ class Page:
                 continue
             tag = tag.lower()
             if m[1]:
-                for k in range(len(stack) - 1, -1, -1):
+                for k in () if not opened.get(tag) else range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
                         cut(k)
                         break
@@ -204,7 +261,7 @@ class Page:
                 at = close.end() if close else len(html)
                 texts.append(" ")
                 continue
-            if tag in ENDS_P:
+            if tag in ENDS_P and opened.get("p"):
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == "p":
                         cut(k)
@@ -213,7 +270,7 @@ class Page:
                         break
             if tag in ENDS:
                 own, bounds = ENDS[tag]
-                for k in range(len(stack) - 1, -1, -1):
+                for k in () if not any(opened.get(x) for x in own) else range(len(stack) - 1, -1, -1):
                     if stack[k][0] in own:
                         cut(k)
                         if tag != "tr":
@@ -222,22 +279,18 @@ class Page:
                         break
             if tag not in INLINE:
                 flush()
-            sign, odd, main = signature(tag, m[3])
-            if tag == "header" and not article:
-                odd = True
+            sign, outside, main, inside = roles(tag, m[3])
+            odd = inside if article else outside or tag == "header"
             if tag in INLINE:
-                stack.append((tag, path, boiler or odd, article))
                 if odd and not boiler:
                     flush()
             else:
-                path = f"{path}/{sign}"
-                self.paths.setdefault(path)
-                if main and not boiler and not article:
-                    self.roots.setdefault(path)
+                node = self._child(node, sign)
                 article = article or main
-                stack.append((tag, path, boiler or odd, article))
             boiler = boiler or odd
-            in_link += tag == "a"
+            stack.append((tag, node, boiler, article))
+            opened[tag] = opened.get(tag, 0) + 1
+            in_link = opened.get("a", 0)
         flush()
 
 
@@ -255,38 +308,149 @@ def tree(paths: list[str]) -> list:
     return root
 
 
+def dump(root: list) -> str:
+    """The tree as JSON. The encoder of the library would not go as deep as markup does."""
+    out, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        else:
+            out.append(f"[{json.dumps(x[0])}, [")
+            todo.append("]]")
+            for k, child in enumerate(reversed(x[1])):
+                if k:
+                    todo.append(", ")
+                todo.append(child)
+    return "".join(out)
+
+
+def load(text: str) -> list:
+    """The tree of ``dump``."""
+    root: list = []
+    todo = [root]
+    for token in TREE_TOKEN.findall(text):
+        if token == "[":
+            todo.append([])
+        elif token == "]":
+            done = todo.pop()
+            todo[-1].append(done)
+        else:
+            todo[-1].append(json.loads(token))
+    return root[0]
+
+
+def preorder(root: list) -> list[list]:
+    found, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        found.append(x)
+        todo += reversed(x[1])
+    return found
+
+
+def _heaviest(pairs: list[tuple[int, int, int]]) -> tuple[int, list[tuple[int, int]]]:
+    """Of ``(i, j, weight)`` the heaviest sequence in which both ``i`` and ``j`` rise."""
+    if len(pairs) == 1:
+        return pairs[0][2], [pairs[0][:2]]
+    places = {j: k for k, j in enumerate(sorted({j for _, j, _ in pairs}), 1)}
+    best: list[tuple[int, tuple | None]] = [(0, None)] * (len(places) + 1)  # greatest sums of prefixes of j
+    # Of one i the greater j come first, so that none follows another.
+    for i, j, weight in sorted(pairs, key=lambda p: (p[0], -p[1])):
+        k, chain = places[j] - 1, (0, None)
+        while k:
+            chain, k = max(chain, best[k], key=lambda c: c[0]), k & (k - 1)
+        chain, k = (chain[0] + weight, (i, j, chain[1])), places[j]
+        while k < len(best):
+            best[k], k = max(best[k], chain, key=lambda c: c[0]), k + (k & -k)
+    total, link = max(best, key=lambda c: c[0])
+    found = []
+    while link:
+        found.append(link[:2])
+        link = link[2]
+    return total, found[::-1]
+
+
+def alignment(a: list, b: list) -> dict[tuple[int, int], tuple[int, list[tuple[int, int]]]]:
+    """Simple tree matching of two trees with equal roots: by the ``id`` of two nodes that may be matched,
+    the size of their largest matching and the pairs of children in it. Children whose
+    signatures differ weigh nothing, so only equal ones are looked at."""
+    found: dict = {}
+    todo = [(a, b, None)]
+    while todo:
+        x, y, pairs = todo.pop()
+        if pairs is None:
+            places: dict[str, list[int]] = {}
+            for j, child in enumerate(y[1]):
+                places.setdefault(child[0], []).append(j)
+            pairs = [(i, j) for i, child in enumerate(x[1]) for j in places.get(child[0], ())]
+            todo.append((x, y, pairs))
+            todo += [(x[1][i], y[1][j], None) for i, j in pairs]
+        elif pairs:
+            size, chosen = _heaviest([(i, j, found[id(x[1][i]), id(y[1][j])][0]) for i, j in pairs])
+            found[id(x), id(y)] = size + 1, chosen
+        else:
+            found[id(x), id(y)] = 1, []
+    return found
+
+
 def matching(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching: size of the largest matching, and the pairs of children in it."""
-    if a[0] != b[0]:
-        return 0, []
-    n, m = len(a[1]), len(b[1])
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    weight = [[matching(x, y)[0] for y in b[1]] for x in a[1]]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + weight[i - 1][j - 1])
-    pairs, i, j = [], n, m
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
-    return best[n][m] + 1, pairs[::-1]
+    return alignment(a, b)[id(a), id(b)] if a[0] == b[0] else (0, [])
 
 
 def merge(a: list, b: list) -> list:
     """``a`` with the nodes of ``b`` that it does not align with, at their places."""
-    pairs = matching(a, b)[1]
-    children, i, j = [], 0, 0
-    for x, y in [*pairs, (len(a[1]), len(b[1]))]:
-        children += a[1][i:x] + b[1][j:y]
-        if x < len(a[1]):
-            children.append(merge(a[1][x], b[1][y]))
-        i, j = x + 1, y + 1
-    return [a[0], children]
+    aligned = alignment(a, b)
+    root: list = [a[0], []]
+    todo = [(a, b, root)]
+    while todo:
+        x, y, out = todo.pop()
+        i = j = 0
+        for k, m in [*aligned[id(x), id(y)][1], (len(x[1]), len(y[1]))]:
+            out[1] += x[1][i:k] + y[1][j:m]
+            if k < len(x[1]):
+                child = [x[1][k][0], []]
+                out[1].append(child)
+                todo.append((x[1][k], y[1][m], child))
+            i, j = k + 1, m + 1
+    return root
+
+
+def places(page: list, wrapper: list) -> dict[int, int]:
+    """By the ``id`` of a page's node, the number of the wrapper node that it is aligned with."""
+    numbers = dict(zip(map(id, preorder(wrapper)), count()))
+    aligned = alignment(page, wrapper)
+    found, todo = {}, [(page, wrapper)]
+    while todo:
+        x, y = todo.pop()
+        found[id(x)] = numbers[id(y)]
+        todo += [(x[1][i], y[1][j]) for i, j in aligned[id(x), id(y)][1]]
+    return found
+
+
+def marks(root: list) -> dict[int, int]:
+    """By the ``id`` of a node, a checksum of the signatures on its path."""
+    found, todo = {}, [(root, 0)]
+    while todo:
+        x, above = todo.pop()
+        found[id(x)] = mark = zlib.crc32(f"/{x[0]}".encode(), above)
+        todo += [(c, mark) for c in x[1]]
+    return found
+
+
+def pruned(root: list, kept: set[int]) -> list:
+    """The tree without nodes whose path is not among ``kept``, and what is below them."""
+    mark = marks(root)
+    out: list = [root[0], []]
+    todo = [(root, out)]
+    while todo:
+        x, y = todo.pop()
+        for c in x[1]:
+            if mark[id(c)] in kept:
+                y[1].append([c[0], []])
+                todo.append((c, y[1][-1]))
+    return out
 
 
 def _hash(text: str) -> int:
@@ -294,58 +458,86 @@ def _hash(text: str) -> int:
 
 
 SURVEY = (
-    "host string, skeleton string, slots array<struct<path:string,chars:long,links:long,boiler:boolean,root:boolean>>,"
-    " blocks array<struct<path:string,hash:long,chars:long>>"
+    "host string, skeleton string, paths array<long>, content long,"
+    " blocks array<struct<node:int,hash:long,chars:long,links:long,rooted:boolean>>"
 )
 
 
 def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Skeleton, slots and distinct blocks of each page."""
-    slot = pa.struct(
-        [("path", pa.string()), ("chars", pa.int64()), ("links", pa.int64()), ("boiler", pa.bool_()), ("root", pa.bool_())]
+    """Skeleton, paths, blocks outside known roles and a checksum of the content of each page."""
+    block = pa.struct(
+        [("node", pa.int32()), ("hash", pa.int64()), ("chars", pa.int64()), ("links", pa.int64()), ("rooted", pa.bool_())]
     )
-    block = pa.struct([("path", pa.string()), ("hash", pa.int64()), ("chars", pa.int64())])
     for batch in batches:
-        skeletons, slots, blocks = [], [], []
+        skeletons, paths, contents, blocks = [], [], [], []
         for html in batch.column("html").to_pylist():
             page = Page(html)
-            sums: dict[str, list] = {r: [0, 0, False] for r in page.roots}
-            for path, text, links, boiler in page.blocks:
-                s = sums.setdefault(path, [0, 0, boiler])
-                s[0], s[1] = s[0] + len(text), s[1] + links
-            skeletons.append(json.dumps(tree(list(page.paths))))
-            slots.append(
-                [
-                    {"path": p, "chars": c, "links": k, "boiler": b, "root": p in page.roots}
-                    for p, (c, k, b) in sums.items()
-                ]
-            )
+            order = dict(zip(map(id, preorder(page.tree)), count()))
+            found = {
+                (order[id(page.nodes[b.node])], _hash(b.text)): b for b in page.blocks if not b.boiler
+            }
+            article = {h for (_, h), b in found.items() if b.rooted} or {h for _, h in found}
+            skeletons.append(dump(page.tree))
+            paths.append(sorted(set(marks(page.tree).values())))
+            contents.append(_hash(" ".join(map(str, sorted(article)))) if article else None)
             blocks.append(
                 [
-                    {"path": p, "hash": h, "chars": n}
-                    for p, h, n in {(b[0], _hash(b[1]), len(b[1])) for b in page.blocks if not b[3]}
+                    {"node": n, "hash": h, "chars": len(b.text), "links": b.links, "rooted": b.rooted}
+                    for (n, h), b in found.items()
                 ]
             )
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("host"),
                 pa.array(skeletons, pa.string()),
-                pa.array(slots, pa.list_(slot)),
+                pa.array(paths, pa.list_(pa.int64())),
+                pa.array(contents, pa.int64()),
                 pa.array(blocks, pa.list_(block)),
             ],
-            names=["host", "skeleton", "slots", "blocks"],
+            names=["host", "skeleton", "paths", "content", "blocks"],
         )
 
 
+def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Skeletons with their host's frequent nodes only."""
+    for batch in batches:
+        texts = [
+            dump(pruned(load(s), set(kept)))
+            for s, kept in zip(batch.column("skeleton").to_pylist(), batch.column("kept").to_pylist(), strict=True)
+        ]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(texts, pa.string())], names=["host", "skeleton"])
+
+
+ALIGNED = "host string, content long, node int, hash long, chars long, links long, rooted boolean"
+
+
+def aligned_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of each page that stand in a node of the host's wrapper, by that node."""
+    names = ["host", "content", "node", "hash", "chars", "links", "rooted"]
+    kinds = [pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.bool_()]
+    for batch in batches:
+        columns: list[list] = [[] for _ in names]
+        for row in batch.to_pylist():
+            page = _cached(_TREES, 1_000, row["skeleton"], load)
+            found = places(page, _cached(_TREES, 1_000, row["wrapper"], load))
+            nodes = preorder(page)
+            for b in row["blocks"]:
+                at = found.get(id(nodes[b["node"]]), -1)
+                values = (row["host"], row["content"], at, b["hash"], b["chars"], b["links"], b["rooted"])
+                for column, value in zip(columns, values, strict=True):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
 def wrappers(skeletons: DataFrame, *, fan_in: int = FAN_IN) -> DataFrame:
     """``host, skeleton``: one merged tree per host, from distinct skeletons, in rounds."""
 
     def merged(rows: pa.Table) -> pa.Table:
-        trees = [json.loads(s) for s in sorted(rows.column("skeleton").to_pylist())]
+        trees = [load(s) for s in sorted(rows.column("skeleton").to_pylist())]
         whole = trees[0]
         for other in trees[1:]:
             whole = merge(whole, other)
-        return pa.table({"host": rows.column("host").slice(0, 1), "skeleton": pa.array([json.dumps(whole)])})
+        return pa.table({"host": rows.column("host").slice(0, 1), "skeleton": pa.array([dump(whole)])})
 
     rows = skeletons.select("host", "skeleton").distinct()
     while True:
@@ -360,42 +552,66 @@ def wrappers(skeletons: DataFrame, *, fan_in: int = FAN_IN) -> DataFrame:
 
 
 def induce(
-    pages: DataFrame, *, min_pages: int = MIN_PAGES, constant_share: float = CONSTANT_SHARE, fan_in: int = FAN_IN
+    pages: DataFrame,
+    *,
+    min_pages: int = MIN_PAGES,
+    constant_share: float = CONSTANT_SHARE,
+    node_share: float = NODE_SHARE,
+    fan_in: int = FAN_IN,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """``host, wrapper, rules``: per host the merged tree, and as JSON the content roots and
-    the constant blocks. ``pages`` has ``host`` and ``html``."""
+    """``host, wrapper, rules``: per host the merged tree, and as JSON what its nodes hold.
+    ``pages`` has ``host`` and ``html``."""
     seen = stash(pages.select("host", "html").mapInArrow(survey, SURVEY), "survey")
-    sizes = seen.groupBy("host").agg(F.count("*").alias("n"))
-    slots = (
-        seen.select("host", F.inline("slots"))
+    sizes = seen.groupBy("host").agg(F.count("*").alias("pages"))
+    frequent = (
+        seen.select("host", F.explode("paths").alias("path"))
         .groupBy("host", "path")
-        .agg(
-            F.sum("chars").alias("chars"),
-            F.sum("links").alias("links"),
-            F.count("*").alias("n"),
-            F.max("boiler").alias("boiler"),
-            F.max("root").alias("root"),
-        )
+        .count()
+        .join(sizes, "host")
+        .where(F.col("count") >= F.lit(node_share) * F.col("pages"))
         .groupBy("host")
-        .agg(F.collect_list(F.struct("path", "chars", "links", "n", "boiler", "root")).alias("slots"))
+        .agg(F.collect_list("path").alias("kept"))
+    )
+    short = (
+        seen.select("host", "skeleton").distinct().join(frequent, "host")
+        .mapInArrow(shortened, "host string, skeleton string")
+    )
+    trees = stash(wrappers(short, fan_in=fan_in).withColumnRenamed("skeleton", "wrapper"), "trees")
+    blocks = stash(
+        seen.select("host", "content", "skeleton", "blocks")
+        .join(small(trees, "wrapper", broadcast_bytes), "host")
+        .mapInArrow(aligned_blocks, ALIGNED),
+        "aligned",
     )
-    # A text on most pages of a host: fewer per host than blocks on a page.
+    # A text counts once with each content that it accompanies, and so does a node.
+    held = blocks.where("node >= 0").select("host", "node", "content").distinct().groupBy("host", "node").agg(
+        F.count("*").alias("n")
+    )
     constants = (
-        seen.select("host", F.inline("blocks"))
-        .groupBy("host", "path", "hash")
-        .agg(F.count("*").alias("times"), F.max("chars").alias("chars"))
-        .join(sizes, "host")
-        .where((F.col("n") >= min_pages) & (F.col("times") >= constant_share * F.col("n")))
-        .groupBy("host")
-        .agg(F.collect_list(F.struct("path", "hash", "times", "chars")).alias("constants"))
+        blocks.where("node >= 0").select("host", "node", "hash", "content").distinct()
+        .groupBy("host", "node", "hash").agg(F.count("*").alias("times"))
+        .where(F.col("times") >= min_pages)
+        .join(held, ["host", "node"])
+        .where(F.col("times") >= F.lit(constant_share) * F.col("n"))
+        .select("host", "node", "hash")
+    )
+    constants = stash(constants, "constants")
+    nodes = (
+        blocks.join(constants, ["host", "node", "hash"], "left_anti")
+        .groupBy("host", "node", "rooted")
+        .agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"))
     )
-    trees = wrappers(seen, fan_in=fan_in)
+    nodes = stash(nodes.join(held, ["host", "node"], "left"), "nodes")
+    # At most one entry per wrapper node and side of its articles, and few constants per node.
+    of_nodes = nodes.groupBy("host").agg(F.collect_list(F.struct("node", "rooted", "chars", "links", "n")).alias("nodes"))
+    of_texts = constants.groupBy("host").agg(F.collect_list(F.struct("node", "hash")).alias("constants"))
 
     def rules_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rules = [
-                json.dumps(decide(json.loads(r["wrapper"]), r["slots"] or [], r["constants"] or [], r["n"], min_pages))
-                for r in batch.to_pylist()
+                json.dumps(decide(r["nodes"] or [], r["constants"] or [], min_pages))
+                for r in batch.select(["nodes", "constants"]).to_pylist()
             ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("host"), batch.column("wrapper"), pa.array(rules, pa.string())],
@@ -403,65 +619,55 @@ def induce(
             )
 
     return (
-        sizes.join(trees.select("host", F.col("skeleton").alias("wrapper")), "host")
-        .join(slots, "host", "left")
-        .join(constants, "host", "left")
-        .select("host", "wrapper", "slots", "constants", "n")
+        trees.join(of_nodes, "host", "left")
+        .join(of_texts, "host", "left")
+        .select("host", "wrapper", "nodes", "constants")
         .mapInArrow(rules_of, "host string, wrapper string, rules string")
     )
 
 
-def below(path: str, root: str) -> bool:
-    return path == root or path.startswith(root + "/")
+def small(df: DataFrame, column: str, most: int) -> DataFrame:
+    """``df``, to be broadcast if its texts hold no more than ``most`` bytes."""
+    size = df.agg(F.sum(F.octet_length(column) + F.octet_length("host") + 32)).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
 
 
-def decide(wrapper: list, slots: list[dict], constants: list[dict], n: int, min_pages: int) -> dict:
-    """Content roots and constant blocks of one host."""
-    if n < min_pages:
-        return {"roots": [], "constants": []}
-    content = [s for s in slots if not s["boiler"] and 2 * s["links"] <= s["chars"]]
-    total = sum(s["chars"] for s in content)
-    marked = [s["path"] for s in slots if s["root"]]
-    best: list[str] = []
-    # The article elements, if they hold most of what varies; else the narrowest node that does.
-    if total and 2 * sum(s["chars"] for s in content if any(below(s["path"], r) for r in marked)) >= total:
-        best = marked
-    elif total:
-        node, path = wrapper, ""
-        while True:
-            held = [
-                (sum(s["chars"] for s in content if below(s["path"], f"{path}/{c[0]}")), c) for c in node[1]
-            ]
-            mass, child = max(held, key=lambda x: x[0], default=(0, None))
-            if child is None or 10 * mass < 9 * total:
-                break
-            node, path = child, f"{path}/{child[0]}"
-        best = [path] if path else []
-    return {"roots": best, "constants": [[c["path"], c["hash"]] for c in constants]}
+def decide(nodes: list[dict], constants: list[dict], min_pages: int) -> dict:
+    """Whether articles are told by their marks on this host, its menus and its constant texts."""
+    menus = [x for x in nodes if not x["rooted"] and 2 * x["links"] > x["chars"] and (x["n"] or 0) >= min_pages]
+    gone = {x["node"] for x in menus}
+    varying = [x for x in nodes if x["rooted"] or x["node"] not in gone]
+    total, marked = sum(x["chars"] for x in varying), sum(x["chars"] for x in varying if x["rooted"])
+    return {
+        "marked": 2 * marked >= total,
+        "menus": sorted(gone),
+        "constants": [[c["node"], c["hash"]] for c in constants],
+    }
 
 
-def _read_rules(text: str | None) -> tuple[list[str], frozenset]:
-    found = json.loads(text) if text else {"roots": [], "constants": []}
-    return found["roots"], frozenset((p, h) for p, h in found["constants"])
+def _read_rules(text: str | None) -> tuple[bool, frozenset, frozenset]:
+    found = json.loads(text) if text else {"marked": True, "menus": [], "constants": []}
+    return found["marked"], frozenset(found["menus"]), frozenset((n, h) for n, h in found["constants"])
 
 
-def main_text(html: str | None, rules: str | None) -> str:
-    roots, constants = _cached(_RULES, 5_000, rules, _read_rules)
+def main_text(html: str | None, rules: str | None, wrapper: str | None = None) -> str:
+    marked, menus, constants = _cached(_RULES, 1_000, rules, _read_rules)
     page = Page(html)
-    blocks, rooted = [b for b in page.blocks if not b[3]], False
-    # Pages that were laid out in another way than the host's others have a root of their own.
-    for own in (roots, list(page.roots)):
-        inside = [b for b in blocks if any(below(b[0], r) for r in own)]
-        if inside:
-            blocks, rooted = inside, True
-            break
-    if constants:
-        varying = [b for b in blocks if (b[0], _hash(b[1])) not in constants]
-        # Where most of the root's text is constant, the page is a copy of an article, however
-        # long the host's other pages are.
-        if not rooted or 2 * sum(len(b[1]) for b in varying) >= sum(len(b[1]) for b in blocks):
+    blocks = [b for b in page.blocks if not b.boiler]
+    if marked and any(b.rooted for b in blocks):
+        blocks = [b for b in blocks if b.rooted]
+    if wrapper and (menus or constants):
+        found = places(page.tree, _cached(_TREES, 1_000, wrapper, load))
+        at = [found.get(id(page.nodes[b.node]), -1) for b in blocks]
+        varying = [
+            b
+            for b, n in zip(blocks, at, strict=True)
+            if (b.rooted or n not in menus) and (n, _hash(b.text)) not in constants
+        ]
+        # A page of which no more than headings varies is a copy of an article.
+        if not all(b.heading for b in varying) or all(b.heading for b in blocks):
             blocks = varying
-    return "\n".join(b[1] for b in blocks)
+    return "\n".join(b.text for b in blocks)
 
 
 def extract(
@@ -481,16 +687,15 @@ def extract(
         F.coalesce(host(F.col(url_col)), F.lit("")).alias("host"),
         F.col(html_col).alias("html"),
     )
-    learnt = stash(induce(rows, min_pages=min_pages, constant_share=constant_share).select("host", "rules"), "rules")
-    size = learnt.agg(F.sum(F.octet_length("rules") + F.octet_length("host") + 32)).first()[0] or 0
-    rules = F.broadcast(learnt) if size <= broadcast_bytes else learnt
+    learnt = stash(
+        induce(rows, min_pages=min_pages, constant_share=constant_share, broadcast_bytes=broadcast_bytes), "rules"
+    )
+    rules = small(learnt.withColumn("both", F.concat("wrapper", "rules")), "both", broadcast_bytes).drop("both")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [
-                main_text(h, r)
-                for h, r in zip(batch.column("html").to_pylist(), batch.column("rules").to_pylist(), strict=True)
-            ]
+            columns = (batch.column(c).to_pylist() for c in ("html", "rules", "wrapper"))
+            texts = [main_text(h, r, w) for h, r, w in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())],
                 names=["page_id", "url", "text"],
@@ -499,6 +704,6 @@ def extract(
     kind = dict(rows.dtypes)["page_id"]
     return (
         rows.join(rules, "host", "left")
-        .select("page_id", "url", "html", "rules")
+        .select("page_id", "url", "html", "rules", "wrapper")
         .mapInArrow(read, f"page_id {kind}, url string, text string")
     )

@@ -339,3 +339,67 @@ def test_stray_quotes_end_with_their_tag():
     assert read("<article><p title=it's>One</p><p>we don't stop</p></article>") == "One\nwe don't stop"
     assert read('<article><p class="a>One</p><p>two</p></article>') == "One\ntwo"
     assert read("<p title='a>b' id = \"c>d\" x=\"y>z\"w>text</p><p>cut<a href='x") == "text\ncut"
+
+
+def test_names_inside_an_article():
+    blocks = [("share-price", "Shares rose"), ("bottom-line", "In short"), ("", "Plain"), ("notice", "Updated today")]
+    blocks += [("ad-slot", "Buy now"), ("article-header", "Byline"), ("comments-list", "Reader says")]
+    body = "".join(f"<div class='{c}'>{t}</div>" for c, t in blocks) + "<section id=search-results>Found</section>"
+    assert wrapper.main_text(f"<article>{body}</article>", None) == "Shares rose\nIn short\nPlain\nByline\nFound"
+
+
+def test_heading_outside_the_text_and_menus(spark):
+    body = "<div class=links><a href=/{0}>more{0}</a> <a href=/x>x</a></div><h1>Title {0}</h1><div class=x><p>Own text {0}</p><p>More {0}</p></div><div>Always here</div>"
+    got, _ = texts(spark, [(n, f"http://h.org/{n}", page(body.format(n), n)) for n in range(12)])
+    assert all(got[n] == f"Title {n}\nOwn text {n}\nMore {n}" for n in range(12))
+
+
+@pytest.mark.parametrize("words", [2, 400])
+def test_template_beside_articles_of_any_length(spark, words):
+    body = "<article><h1>T{0}</h1><p>{1}</p><p>{2}</p></article>"
+    rows = [(n, f"http://h.org/{n}", body.format(n, f"own{n} " * words, "our terms hold " * 50)) for n in range(10)]
+    got, _ = texts(spark, rows)
+    assert all(got[n] == f"T{n}\n" + (f"own{n} " * words).strip() for n in range(10))
+
+
+def test_class_names_made_up_for_each_page(spark):
+    name = lambda n: "".join(chr(97 + (n * p) % 26) for p in (3, 5, 7, 11))
+    body = "<div class=css-{1}><p>Text {0}</p></div><div class=foot><p>Same line</p></div>"
+    rows = [(n, f"http://h.org/{n}", body.format(n, name(n))) for n in range(150)]
+    got, _ = texts(spark, rows)
+    assert all(got[n] == f"Text {n}" for n in range(150))
+    hosts = spark.createDataFrame([("h", r[2]) for r in rows], "host string, html string")
+    (learnt,) = wrapper.induce(hosts, node_share=0.2).collect()
+    # Names on few pages stay out of the wrapper.
+    assert [c[0] for c in wrapper.load(learnt.wrapper)[1]] == ["div.foot"]
+
+
+def test_markup_of_any_depth(spark):
+    deep = "<html><body>" + "<div>" * 20_000 + "<p>t{0}</p>{1}" + "</div>" * 20_000
+    rows = [(n, "http://h.org/", deep.format(n, "<p>u</p><i>v</i>" * n)) for n in range(3)]
+    got, _ = texts(spark, rows)
+    assert got[0] == "t0" and got[2] == "t2\nu\nv\nu\nv"
+
+
+def test_matching_equals_the_recurrence():
+    import random
+
+    def size(a, b):
+        if a[0] != b[0]:
+            return 0
+        best = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+        for i, x in enumerate(a[1], 1):
+            for j, y in enumerate(b[1], 1):
+                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + size(x, y))
+        return best[-1][-1] + 1
+
+    def grow(depth):
+        return [rnd.choice("abc"), [grow(depth - 1) for _ in range(rnd.randrange(5))] if depth else []]
+
+    rnd = random.Random(5)
+    for _ in range(300):
+        a, b = ["r", grow(3)[1]], ["r", grow(3)[1]]
+        assert wrapper.matching(a, b)[0] == size(a, b)
+        assert wrapper.load(wrapper.dump(a)) == a
+        merged = wrapper.merge(a, b)
+        assert len(wrapper.preorder(merged)) == len(wrapper.preorder(a)) + len(wrapper.preorder(b)) - size(a, b)
