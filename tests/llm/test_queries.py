@@ -1,5 +1,7 @@
 """The registered queries against their SQL and against brute force on the smallest tables."""
 
+from html.parser import HTMLParser
+
 import pytest
 import rows as R
 from compare import connect, rows_of_duck, rows_of_spark
@@ -106,3 +108,36 @@ def test_pipeline_of_an_empty_table(spark, sf_dir, tmp_path):
     table(spark, sf_dir, "documents").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     table(spark, sf_dir, "benchmark").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+class _Article(HTMLParser):
+    """Text of the article of the tables' pages, whose only blocks are headings and paragraphs."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.inside, self.blocks = False, []
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = self.inside or tag == "article"
+        if tag in ("h1", "p"):
+            self.blocks.append("")
+        elif tag == "br" and self.blocks:
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.inside = self.inside and tag != "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_main_text(spark, sf_dir):
+    pages = {r.page_id: r for r in table(spark, sf_dir, "pages").collect()}
+    got = {r.page_id: r for r in QUERIES["op6_main_text"](spark, sf_dir).collect()}
+    assert got.keys() == pages.keys()
+    for i, r in pages.items():
+        want = "\n".join(filter(None, (" ".join(b.split()) for b in _Article(r.html or "").blocks)))
+        assert tuple(got[i]) == (i, r.url, want, len(want))
