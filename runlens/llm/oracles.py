@@ -220,11 +220,40 @@ FROM coded JOIN kept USING (vec_id), digest
 """
 
 
+# The checksum's table follows from its polynomial: eight halvings of each byte.
+SHARDS = """
+WITH RECURSIVE halved(k, r, c) AS (
+  SELECT k, 0, k FROM range(256) AS t(k)
+  UNION ALL
+  SELECT k, r + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM halved WHERE r < 8),
+codes AS (SELECT list(c ORDER BY k) AS codes FROM halved WHERE r = 8),
+bytes AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, hex(encode(coalesce(text, ''))) AS digits
+  FROM documents),
+summed AS (
+  SELECT doc_id, size, xor(4294967295, list_reduce(
+    list_transform(range(1, len(digits), 2), lambda i: CAST('0x' || substr(digits, i, 2) AS BIGINT)),
+    lambda crc, byte: xor(crc >> 8, codes[xor(crc, byte) % 256 + 1]),
+    4294967295)) AS text_crc32
+  FROM bytes, codes),
+placed AS (
+  SELECT *, CAST(sum(size) OVER (ORDER BY doc_id, size, text_crc32 ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run,
+    CAST(sum(size) OVER () AS BIGINT) AS all_bytes
+  FROM summed),
+sharded AS (
+  SELECT *, CAST(least(15, (2 * run - size) * 16 // (2 * all_bytes)) AS INTEGER) AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY run) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM sharded
+"""
+
+
 ORACLES = {
     "op1_url_filter": URL_FILTER,
     "op3_warc": WARC,
     "op4_licenses": license_scan(),
     "op5_quality": QUALITY_LEDGER,
+    "op8_shards": SHARDS,
     "op11_repeated_passages": REPEATED_PASSAGES,
     "op12_ranked_search": RANKED_SEARCH,
     "op13_vector_codes": vector_codes(),
