@@ -81,35 +81,36 @@ def _quoted(text: str) -> str:
 
 
 def license_scan() -> str:
-    """Each rule is one step that notes whether its sequence stands in the rest, and takes it."""
-    known = ", ".join(
-        f"({_quoted(i)}, {_quoted(licenses.normal_form(s))})" for i, s in licenses.SENTENCES.items()
+    """The rules are folded over what is left of the identifiers. Boundaries are doubled, as the
+    expressions of this engine cannot look around and each sentence takes its own two."""
+    known = ", ".join(f"({_quoted(form)}, {_quoted(i)})" for form, i in licenses.KNOWN.items())
+    rules = ", ".join(
+        f"{{'rest': {_quoted(licenses.sequence_text(seq))}, 'found': [{_quoted(name)}]}}" for name, seq in licenses.ALL_RULES
     )
-    steps = ["step0 AS (SELECT doc_id, n, ids, rest, []::VARCHAR[] AS found FROM sequences)"]
-    for k, (name, seq) in enumerate(licenses.RULES):
-        text = _quoted(licenses.sequence_text(seq))
-        steps.append(
-            f"step{k + 1} AS (SELECT doc_id, n, ids, replace(rest, {text}, '|') AS rest, CASE WHEN contains(rest, {text})"
-            f" AND NOT list_contains(found, {_quoted(name)}) THEN list_append(found, {_quoted(name)}) ELSE found END AS found"
-            f" FROM step{k})"
-        )
+    sentence = f"L ({licenses.pattern(licenses.KNOWN, '(?: L)* ')}) L"
     return rf"""
-WITH known(id, normal) AS (VALUES {known}),
-pieces AS (
-  SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.;:!?])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)) AS p
+WITH known(form, id) AS (VALUES {known}),
+marked AS (
+  SELECT doc_id, replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10), 'L') AS t
   FROM documents),
-sentences AS (
-  SELECT doc_id, i, trim(regexp_replace(translate(p[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) AS normal
-  FROM pieces, unnest(range(1, len(p) + 1)) AS t(i)),
-hits AS (
-  SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY i) AS ids, string_agg('<' || id || '>', '' ORDER BY i) AS rest
-  FROM sentences JOIN known USING (normal) GROUP BY doc_id),
+words AS (
+  SELECT doc_id, regexp_replace('L ' || replace(regexp_replace(t, '([.;:!?])[\x20\x09-\x0D]+', '\1L', 'g'), 'L', ' L L ') || ' L',
+    '[^a-z0-9L]+', ' ', 'g') AS w
+  FROM marked),
+found AS (SELECT doc_id, regexp_extract_all(w, {_quoted(sentence)}, 1) AS f FROM words),
+ids AS (
+  SELECT doc_id, i, id
+  FROM (SELECT doc_id, i, replace(f[i], ' L', '') AS form FROM found, unnest(range(1, len(f) + 1)) AS t(i))
+  JOIN known USING (form)),
 sequences AS (
-  SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n, coalesce(ids, '') AS ids, coalesce(rest, '') AS rest
-  FROM documents d LEFT JOIN hits h ON h.doc_id = d.doc_id),
-{", ".join(steps)}
-SELECT doc_id, n AS n_sentences, ids AS sentences, array_to_string(found, ',') AS licences
-FROM step{len(licenses.RULES)}
+  SELECT d.doc_id, count(i) AS n, coalesce(string_agg(id, ',' ORDER BY i), '') AS ids,
+    coalesce(string_agg('<' || id || '>', '' ORDER BY i), '') AS rest
+  FROM documents d LEFT JOIN ids ON ids.doc_id = d.doc_id GROUP BY d.doc_id)
+SELECT doc_id, n AS n_sentences, ids AS sentences, array_to_string(list_reduce([{rules}],
+  lambda s, r: {{'rest': replace(s.rest, r.rest, '|'), 'found': CASE WHEN contains(s.rest, r.rest)
+    AND NOT list_contains(s.found, r.found[1]) THEN list_append(s.found, r.found[1]) ELSE s.found END}},
+  {{'rest': rest, 'found': []::VARCHAR[]}}).found, ',') AS licences
+FROM sequences
 """
 
 

@@ -294,7 +294,7 @@ def test_wrapped_licences_and_versions(spark):
         5: ["BSD-2-Clause"],
         6: ["Apache-2.0", "all-rights-reserved"],
         7: ["CC-BY-4.0"],
-        8: ["GPL-3.0-or-later"],
+        8: ["GPL"],  # these sentences name no version
         9: ["GPL-2.0-or-later"],
     }
 
@@ -303,3 +303,56 @@ def test_every_version_sentence_has_a_mark():
     import re
 
     assert all(re.search(licenses.MARKS, text) for text in licenses.ALL_SENTENCES.values())
+
+
+LICENCES = {
+    "SPDX-License-Identifier: MIT": "MIT",
+    "// SPDX-License-Identifier: GPL-2.0-only\ncode": "GPL-2.0",
+    "SPDX-License-Identifier: MIT OR Apache-2.0": "",
+    "This project is licensed under the MIT License.": "MIT",
+    "This project is licensed under the MIT License and more.": "",
+    "This work is licensed under a Creative Commons\nAttribution-NonCommercial-ShareAlike 4.0 International License.": "CC-BY-NC-SA-4.0",
+    "Licensed under CC BY-ND 3.0; use it.": "CC-BY-ND-3.0",
+    "Licensed under the Mozilla Public License,\n\n v. 2.0!": "MPL-2.0",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General\n"
+    "# Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your\n"
+    "# option) any later version.\n# This library is distributed in the hope that it will be useful,\n"
+    "# but WITHOUT ANY WARRANTY; without even the implied warranty.  See the GNU\n# Lesser General Public License for more details.": "LGPL-2.1-or-later",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+    "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "AGPL-3.0-or-later",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License "
+    "as published by the Free Software Foundation; either version 1, or (at your option) any later version.": "GPL-1.0-or-later",
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; See the GNU General Public License for more details.": "GPL",
+    "This is free and unencumbered software released into the\npublic domain.": "Unlicense",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose\nwith or without fee is hereby granted, "
+    "provided that the above copyright notice and this permission notice appear in all copies.": "ISC",
+    "Licensed under the GNU General Public License, version 3 or later.\nReleased under the Unlicense.": "Unlicense,GPL-3.0-or-later",  # in the order of the rules
+    "": "",
+}
+
+
+def test_further_licences_in_spark_and_sql(spark):
+    import duckdb
+
+    from runlens.llm.oracles import ORACLES
+
+    texts = [*LICENCES, " \n ".join(LICENCES), *licenses.ALL_SENTENCES.values(), "\n\n".join(licenses.ALL_SENTENCES.values()), None]
+    rows = list(enumerate(texts))
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r.doc_id: (len(r.sentences), ",".join(r.sentences), ",".join(r.licences)) for r in found}
+    assert [got[i][2] for i in range(len(LICENCES))] == list(LICENCES.values())
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    cursor = db.execute(ORACLES["op4_licenses"])
+    names = [c[0] for c in cursor.description]
+    assert {r["doc_id"]: (r["n_sentences"], r["sentences"], r["licences"]) for r in (dict(zip(names, x, strict=True)) for x in cursor.fetchall())} == got
+
+
+def test_every_form_is_found_alone(spark):
+    from pyspark.sql import functions as F
+
+    forms = list(licenses.KNOWN)
+    rows = spark.createDataFrame(list(enumerate(f"License:\n{f}" for f in forms)), "doc_id long, text string")
+    got = {r.doc_id: r.sentences for r in licenses.scan(rows).select("doc_id", F.col("sentences")).collect()}
+    assert all(got[i] == [licenses.KNOWN[f]] for i, f in enumerate(forms))
