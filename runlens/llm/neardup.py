@@ -12,10 +12,15 @@
 4. The union sketch of a pair estimates its similarity; what cannot reach the threshold goes.
    The full shingle sets decide on the rest.
 5. Links are turned into classes by alternating large-star and small-star rounds.
-6. Members of a long list that are in another class than its leader are compared with all
-   members of the leader's lists, in blocks of ``BLOCK`` nodes and on the full sets. So no
-   link is lost in long lists either; this step grows with (nodes left over) x (nodes of the
-   list) / ``BLOCK``, and returns at most one link for each node that it joins.
+6. Long lists with members in another class than their leader are settled by the full sets:
+   of two that are alike, the smaller has one of its rarest seventh of shingles (about) among
+   the rarest quarter of the other's. Those shingles give new lists, short and long, treated
+   as in 3 to 5. Texts of one template below the threshold share none of them and never
+   meet, so this grows with the shingles of these members.
+7. Members of a long list of such shingles that still are in another class than its leader
+   are compared with all members of the leader's lists, in blocks of ``BLOCK`` nodes and on
+   the full sets. So no link is lost; this step alone grows with (nodes left over) x (nodes of
+   the list) / ``BLOCK``, and returns at most one link for each node that it joins.
 
 Defined cases: a null or empty text, or one without words, has no shingles, is its own class
 and linked with nothing; a text of fewer words than a shingle has one shingle, the whole
@@ -327,9 +332,9 @@ def block_links(rest: list[tuple], whole: list[tuple], percent: int) -> list[tup
     return found
 
 
-def left_over(stars: DataFrame, rooted: DataFrame, block: int) -> DataFrame:
-    """``leader, i, j, rest, node, root``: what has to meet, in pairs of blocks. ``stars`` has
-    ``leader, node``; ``rooted`` gives the root of the nodes that have links."""
+def unsettled(stars: DataFrame, rooted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``leader, node, root, rest`` of all members of long lists, where ``rest`` tells those in
+    another class than their leader, and ``leader, all, few`` of the leaders that have such."""
     roots = rooted.select("node", "root")
     members = stars.union(stars.select("leader", F.col("leader").alias("node")).distinct())
     named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -338,11 +343,62 @@ def left_over(stars: DataFrame, rooted: DataFrame, block: int) -> DataFrame:
         named.join(heads, "leader", "left").withColumn("rest", F.col("root") != F.coalesce("head", "leader")).drop("head"),
         "members",
     )
-    sizes = (
-        named.groupBy("leader")
-        .agg(F.count("*").alias("all"), F.count_if("rest").alias("few"))
-        .where("few > 0")
-        .select("leader", F.ceil(F.col("all") / block).alias("gj"), F.ceil(F.col("few") / block).alias("gi"))
+    sizes = named.groupBy("leader").agg(F.count("*").alias("all"), F.count_if("rest").alias("few")).where("few > 0")
+    return named, stash(sizes, "sizes")
+
+
+def rare_lists(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``v, node, score``: the nodes under the rarest shingles of their full sets, as far as two that
+    are alike must share one. Rare is what few of these nodes hold; one that a single node holds is in
+    no list. Of two alike sets the smaller shares at least ``2 * percent / (100 + percent)`` of its
+    shingles, the other ``percent`` of its own, so shingles that no node has among its rarest by the
+    first measure are left out."""
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [_signed(np.frombuffer(v, np.uint64)) for v in batch.column("values").to_pylist()]
+            bounds = np.concatenate(([0], np.cumsum([len(v) for v in own]))).astype(np.int32)
+            flat = np.concatenate([*own, np.empty(0, np.int64)])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("node"),
+                    pa.array([len(v) for v in own], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)),
+                ],
+                names=["node", "n", "values"],
+            )
+
+    values = (
+        sets.join(nodes, "node", "left_semi")
+        .select("node", "values")
+        .mapInArrow(unpacked, "node binary, n long, values array<long>")
+        .select("node", "n", F.explode("values").alias("v"))
+    )
+    df = stash(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "rare")
+    own = values.join(df, "v").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("own"))
+    single = F.col("n") - F.size("own")
+    apart = [F.expr(f"n - ((n * {a} + {b} - 1) div {b}) + 1") for a, b in ((percent, 100), (2 * percent, 100 + percent))]
+    probed, indexed = (F.greatest(F.lit(0), (x - single)).cast("int") for x in apart)
+    listed = stash(
+        own.select("node", indexed.alias("few"), F.slice("own", F.lit(1), probed).alias("own"))
+        .select(
+            "node",
+            "few",
+            F.aggregate("own", F.lit(0.0), lambda s, x: s + F.log2(x["df"].cast("double"))).alias("score"),
+            F.posexplode("own").alias("at", "x"),
+        )
+        .select("node", "score", F.col("x.v").alias("v"), (F.col("at") < F.col("few")).alias("first")),
+        "lists",
+    )
+    return listed.join(listed.where("first").select("v").distinct(), "v", "left_semi").select("v", "node", "score")
+
+
+def left_over(stars: DataFrame, rooted: DataFrame, block: int) -> DataFrame:
+    """``leader, i, j, rest, node, root``: what has to meet, in pairs of blocks. ``stars`` has
+    ``leader, node``; ``rooted`` gives the root of the nodes that have links."""
+    named, open_lists = unsettled(stars, rooted)
+    sizes = open_lists.select(
+        "leader", F.ceil(F.col("all") / block).alias("gj"), F.ceil(F.col("few") / block).alias("gi")
     )
     dealt = named.join(stash(sizes, "sizes"), "leader")
     number = F.xxhash64("node")
@@ -411,10 +467,19 @@ def classes(
 
     links = stash(verified(pairs, sets, percent), "links")
     first = stash(components(links), "classes")
-    more = stash(resolved(left_over(stars, first, block), sets, percent), "links")
     rooted = first
-    if not more.isEmpty():
-        rooted = stash(components(links.union(more)), "classes")
+    members, open_lists = unsettled(stars, first)
+    again = members.join(open_lists, "leader", "left_semi").select("node").distinct()
+    if not open_lists.isEmpty():
+        short, stars = candidates(stash(rare_lists(again, sets, percent), "lists"), short_list)
+        stars = stash(stars, "stars")
+        ordered = stars.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
+        pairs = stash(plausible(short.union(ordered).distinct(), nodes, k, percent), "pairs")
+        links = stash(links.union(verified(pairs, sets, percent)), "links")
+        rooted = stash(components(links), "classes")
+        more = stash(resolved(left_over(stars, rooted, block), sets, percent), "links")
+        if not more.isEmpty():
+            rooted = stash(components(links.union(more)), "classes")
     named = nodes.select("node", F.col("own.doc_id").alias("least")).join(rooted, "node", "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
     ids = stash(named.groupBy("root").agg(F.min("least").alias("component")), "ids")

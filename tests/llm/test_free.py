@@ -403,3 +403,18 @@ def test_matching_equals_the_recurrence():
         assert wrapper.load(wrapper.dump(a)) == a
         merged = wrapper.merge(a, b)
         assert len(wrapper.preorder(merged)) == len(wrapper.preorder(a)) + len(wrapper.preorder(b)) - size(a, b)
+
+
+@pytest.mark.parametrize("shared", [140, 165])
+def test_texts_of_one_template_do_not_meet(spark, shared):
+    """Below-threshold texts of one template give no lists of rare shingles, however many there are."""
+    head = " ".join(f"t{i}" for i in range(shared + 4))
+    rows = [(n, head + " " + " ".join(f"o{n}x{i}" for i in range(200 - shared))) for n in range(60)]
+    copies = [(1000 + n, rows[n][1] + " more") for n in range(0, 60, 7)]
+    got = neardup.classes(R.documents(spark, rows + copies), short_list=4)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: i % 1000 for i, _ in rows + copies}
+    values = lambda t: neardup.shingle_sets([t])[0]
+    frame = spark.createDataFrame(
+        [(bytearray(neardup.node_of(values(t))), bytearray(values(t).tobytes())) for _, t in rows], "node binary, values binary"
+    )
+    assert neardup.rare_lists(frame.select("node"), frame, 75).count() == 0
