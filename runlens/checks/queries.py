@@ -408,7 +408,7 @@ SELECT run_no, CASE WHEN m IS NULL OR json_type(m) = 'NULL' THEN 'empty' WHEN js
   json_extract_string(m, '$.app.app_id') AS app_id FROM t""")
 def json_coerce(spark, sf):
     rows = _parsed(spark, sf).select(
-        "run_no", V.as_object(F.col("spark_event_metrics"), F.col("v")).alias("o")
+        "run_no", V.as_object(F.col("v")).alias("o")
     )
     o = F.col("o")
     return rows.select(

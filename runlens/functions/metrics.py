@@ -12,6 +12,38 @@ from runlens.functions import variant as V
 from runlens.functions.wording import fixed
 
 
+def _values(*names: str) -> str:
+    return f"struct<{', '.join(f'{n}: variant' for n in names)}>"
+
+
+_STAGE_TEXTS = ("stage_id", "stageId", "name", "stage_name")
+_STAGE_COUNTS = ("num_tasks", "numTasks")
+_STAGE_TIMES = ("max_task_duration_ms", "maxTaskDurationMs", "p95_task_duration_ms", "p95TaskDurationMs")
+
+#: What this module reads of documents too large to be parsed whole (``variant.sections``).
+METRIC_SECTIONS = {
+    "app": _values(
+        "app_vcore_seconds", "app_memory_gb_seconds", "executor_peak",
+        "app_name", "name", "app_id", "application_id", "app_duration_ms", "duration_ms",
+    ),
+    "jobs": "array<" + _values(
+        "job_id", "job_name", "name", "num_tasks", "job_duration_ms",
+        "max_over_median_ratio", "p95_task_duration_ms", "max_task_duration_ms",
+    ) + ">",
+    "stages": f"array<{_values(*_STAGE_TEXTS, *_STAGE_COUNTS, *_STAGE_TIMES)}>",
+    "metadata": "map<string, variant>",
+}
+_WORKERS = _values("numInstances", "machineTypeUri")
+_CONFIG = f"struct<workerConfig: {_WORKERS}, secondaryWorkerConfig: {_WORKERS}, autoscalingConfig: variant>"
+CLUSTER_SECTIONS = {"config": _CONFIG}
+#: The same of stored cluster metrics, which hold a cluster document.
+STORED_CLUSTER_SECTIONS = {
+    "cluster_config_details": f"struct<config: {_CONFIG}>",
+    "dataproc_cluster_uuid": "variant",
+    "cluster_profile": "variant",
+}
+
+
 def cost_summary(v: Column) -> Column:
     """App cost fields, as the values stand in the document."""
     return F.struct(
@@ -72,11 +104,8 @@ def stage_rows(v: Column) -> Column:
     A zero or empty first spelling falls through to the second one.
     """
 
-    spec = (
-        "stage_id:string,stageId:string,name:string,stage_name:string,"
-        "num_tasks:bigint,numTasks:bigint,max_task_duration_ms:double,maxTaskDurationMs:double,"
-        "p95_task_duration_ms:double,p95TaskDurationMs:double"
-    )
+    kinds = ((_STAGE_TEXTS, "string"), (_STAGE_COUNTS, "bigint"), (_STAGE_TIMES, "double"))
+    spec = ",".join(f"{n}:{kind}" for names, kind in kinds for n in names)
     opened = F.transform(
         V.objects(v, "$.stages"),
         lambda x: F.struct(x.alias("raw"), V.fields(x, spec).alias("typed")),
@@ -214,10 +243,11 @@ def event_snippet(app: Column, job: Column, max_chars: int | None = None) -> Col
     return F.nullif(whole, F.lit(""))
 
 
-def enriched_metrics(raw: Column, v: Column, run_id: Column, family: Column) -> Column:
+def enriched_metrics(raw: Column, v: Column, part: Column, run_id: Column, family: Column) -> Column:
     """Metric JSON text with ``metadata.run_identifier`` and ``metadata.job_family``
     added where absent. Documents without metadata, the common case, get it spliced
-    into their text; only documents that have the section are rebuilt."""
+    into their text; only documents that have the section are rebuilt. Where ``part`` says
+    that ``v`` has some sections only, a text with the section stays as it is."""
     body = F.regexp_replace(
         F.when(V.unreadable(raw, v), F.to_json(F.struct(raw.alias("unparsed"))))
         .when(v.isNull() | F.is_variant_null(v), F.lit("{}"))
@@ -245,4 +275,4 @@ def enriched_metrics(raw: Column, v: Column, run_id: Column, family: Column) ->
         F.map_concat(others, F.create_map(F.lit("metadata"), F.to_variant_object(merged)))
     )
     section = V.field(v, "$.metadata")
-    return F.when(section.isNull(), spliced).when(existing.isNotNull(), rebuilt).otherwise(raw)
+    return F.when(section.isNull(), spliced).when(existing.isNotNull() & ~part, rebuilt).otherwise(raw)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,19 +18,58 @@ def accept_repeated_keys(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
+def _odd(text: Column) -> Column:
+    return text.contains("NaN") | text.contains("Infinity")
+
+
 def parse(text: Column) -> Column:
     """JSON text to VARIANT; NULL, blank and malformed text give NULL. ``NaN`` and
     ``Infinity`` are read as null, which counts as missing like them."""
     plain = F.try_parse_json(text)
-    mended = F.when(
-        text.rlike("NaN|Infinity"), F.try_parse_json(F.regexp_replace(text, _NO_NUMBER, "null"))
-    )
+    mended = F.when(_odd(text), F.try_parse_json(F.regexp_replace(text, _NO_NUMBER, "null")))
     return F.coalesce(plain, mended)
 
 
+# A value takes less than four times its text, so a document of up to this many bytes
+# is within the parser's limit of 128 MiB.
+LARGE = 32 << 20
+
+
+def too_large(text: Column, v: Column) -> Column:
+    """``parse`` gave nothing for a text that may be over its limit."""
+    return F.coalesce(v.isNull() & (F.octet_length(text) > LARGE), F.lit(False))
+
+
+def sections(text: Column, v: Column, wanted: Mapping[str, str]) -> Column:
+    """The wanted sections of an object too large for ``parse``, NULL for all other texts.
+
+    ``wanted`` names a type for each section, with VARIANT for single values. The text is
+    streamed, and what the types do not name is skipped unread. A section that does not have
+    its type is read whole, if it is within the limit by itself. A malformed text, and one
+    without any wanted section, gives NULL.
+    """
+    plain = F.when(_odd(text), F.regexp_replace(text, _NO_NUMBER, "null")).otherwise(text)
+    strict = {"allowSingleQuotes": "false"}
+
+    def whole(name: str) -> Column:
+        there = F.array_contains(F.json_object_keys(plain), name)
+        return F.when(there, F.from_json(plain, f"{name} variant", strict)[name])
+
+    def found(typed: Column) -> Column:
+        kept = (F.coalesce(F.try_parse_json(F.to_json(typed[n])), whole(n)).alias(n) for n in wanted)
+        return F.to_json(F.struct(*kept))
+
+    typed = F.from_json(plain, ", ".join(f"{n} {shape}" for n, shape in wanted.items()), strict)
+    # Bound to a name of its own, the typed reading is done once for all sections.
+    result = F.get(F.transform(F.array(typed), found), F.lit(0))
+    return F.when(
+        too_large(text, v) & F.json_object_keys(plain).isNotNull(),
+        F.try_parse_json(F.nullif(result, F.lit("{}"))),
+    )
+
+
 def unreadable(text: Column, v: Column) -> Column:
-    """There is text, but no document could be read from it: malformed, or over the
-    parser's limit of 128 MiB."""
+    """There is text, but neither a document nor a section could be read from it."""
     return F.coalesce(v.isNull() & text.rlike(r"\S"), F.lit(False))
 
 
@@ -102,16 +143,22 @@ def first_object(items: Column) -> Column:
     )
 
 
-def as_object(raw: Column, v: Column, *, keep_text: bool = False) -> Column:
+def as_object(v: Column) -> Column:
     """The coerced document: objects stay, JSON null, NULL and unreadable text become
-    ``{}``, other values are wrapped as ``{"value": x}``. With ``keep_text`` unreadable
-    text is kept as ``{"unparsed": text}``."""
-    whole = F.when(is_object(v), v).when(
+    ``{}``, other values are wrapped as ``{"value": x}``."""
+    return F.when(is_object(v), v).when(
         v.isNull() | F.is_variant_null(v), F.parse_json(F.lit("{}"))
     ).otherwise(F.to_variant_object(F.struct(v.alias("value"))))
-    if not keep_text:
-        return whole
-    return F.when(unreadable(raw, v), F.to_variant_object(F.struct(raw.alias("unparsed")))).otherwise(whole)
+
+
+def object_text(raw: Column, v: Column, part: Column) -> Column:
+    """``as_object`` as JSON text. Unreadable text is kept as ``{"unparsed": text}``, and
+    where ``part`` says that ``v`` has some sections only, the whole text is kept."""
+    return (
+        F.when(unreadable(raw, v), F.to_json(F.struct(raw.alias("unparsed"))))
+        .when(part, raw)
+        .otherwise(F.to_json(as_object(v)))
+    )
 
 
 def unnest(df, items: Column, name: str, *keep: str, pos: str | None = None):

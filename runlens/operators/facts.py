@@ -31,16 +31,16 @@ def fact_rows(found: DataFrame, params: Params, as_of: datetime) -> DataFrame:
     staged = found.withColumns(
         {
             "cost_summary": F.struct(*(_without_nulls(cost[n]).alias(n) for n in names)),
-            "cluster_object": V.as_object(
-                F.col("cluster_config_details"), F.col("cluster_doc"), keep_text=True
+            "cluster_object": V.object_text(
+                F.col("cluster_config_details"), F.col("cluster_doc"), F.col("cluster_part")
             ),
         }
     )
     app_id = non_empty(F.col("application_id"))
-    cluster_metrics = F.struct(
-        F.col("cluster_object").alias("cluster_config_details"),
-        F.col("dataproc_cluster_uuid"),
-        F.col("cluster_profile"),
+    # The profile always has fields, so the rest is never an empty object.
+    rest = F.to_json(F.struct(F.col("dataproc_cluster_uuid"), F.col("cluster_profile")))
+    cluster_metrics = F.concat(
+        F.lit('{"cluster_config_details":'), F.col("cluster_object"), F.lit(","), F.substring(rest, 2, 2**31 - 1)
     )
     rows = {
         "ingest_date": F.lit(stamp.date().isoformat()),
@@ -55,10 +55,11 @@ def fact_rows(found: DataFrame, params: Params, as_of: datetime) -> DataFrame:
         "job_end_time": F.col("job_end_time"),
         "duration_seconds": F.col("duration_seconds"),
         "yarn_application_ids": F.array_compact(F.array(app_id)),
-        "cluster_metrics": F.to_json(cluster_metrics),
+        "cluster_metrics": cluster_metrics,
         "job_metrics": M.enriched_metrics(
             F.col("spark_event_metrics"),
             F.col("metrics_doc"),
+            F.col("metrics_part"),
             F.col("run_identifier"),
             F.col("job_id"),
         ),

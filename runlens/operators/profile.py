@@ -20,14 +20,23 @@ def profile_runs(runs: DataFrame, *, uid: str, limits: Thresholds = Thresholds()
     ids = [F.col(c) for c in ("spark_jobid", "spark_taskid", "application_id")]
     start = clock.utc(runs, "application_start_time")
     end = clock.utc(runs, "application_end_time")
-    parsed = runs.select(
+    whole = runs.select(
         "*",
-        V.parse(F.col("spark_event_metrics")).alias("metrics_doc"),
-        V.parse(F.col("cluster_config_details")).alias("cluster_doc"),
+        V.parse(F.col("spark_event_metrics")).alias("metrics_whole"),
+        V.parse(F.col("cluster_config_details")).alias("cluster_whole"),
         start.alias("job_start_time"),
         end.alias("job_end_time"),
         F.col(uid).cast("string").alias("uid"),
     )
+    metrics = F.col("spark_event_metrics"), F.col("metrics_whole")
+    cluster = F.col("cluster_config_details"), F.col("cluster_whole")
+    parsed = whole.select(
+        *(c for c in whole.columns if c not in ("metrics_whole", "cluster_whole")),
+        F.coalesce(metrics[1], V.sections(*metrics, M.METRIC_SECTIONS)).alias("metrics_doc"),
+        F.coalesce(cluster[1], V.sections(*cluster, M.CLUSTER_SECTIONS)).alias("cluster_doc"),
+        V.too_large(*metrics).alias("metrics_part"),
+        V.too_large(*cluster).alias("cluster_part"),
+    )
     v = F.col("metrics_doc")
     # Each step names what later steps use more than once, so that it is computed once.
     opened = parsed.select(

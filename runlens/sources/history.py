@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.fixed import RECENT_FACTS
 from runlens.functions import clock
+from runlens.functions import metrics as M
 from runlens.functions import variant as V
 from runlens.schema import FACT_SCHEMA
 
@@ -33,10 +34,10 @@ def scan_history(facts: DataFrame, start: datetime, end: datetime) -> DataFrame:
         days & F.col("ingest_timestamp").between(low, high) & F.col("duration_seconds").isNotNull()
     )
     v = F.col("doc")
-    return window.select(
-        "job_id", "job_type", "cluster_name", "duration_seconds",
-        V.parse(F.col("job_metrics")).alias("doc"),
-    ).select(
+    names = ("job_id", "job_type", "cluster_name", "duration_seconds")
+    whole = window.select(*names, "job_metrics", V.parse(F.col("job_metrics")).alias("whole"))
+    part = V.sections(F.col("job_metrics"), F.col("whole"), M.METRIC_SECTIONS)
+    return whole.select(*names, F.coalesce("whole", part).alias("doc")).select(
         "job_id",
         "job_type",
         "cluster_name",
@@ -56,15 +57,17 @@ def recent_facts(
 
 
 def decode_facts(facts: DataFrame) -> DataFrame:
-    """The three JSON columns as VARIANT; NULL and malformed text read as ``{}``."""
+    """The three JSON columns as VARIANT; NULL and malformed text read as ``{}``. Metrics too
+    large for the parser have the sections that the library reads."""
     V.accept_repeated_keys(facts.sparkSession)
     empty = F.parse_json(F.lit("{}"))
-    return facts.withColumns(
-        {
-            c: F.coalesce(V.parse(F.col(c)), empty)
-            for c in ("cluster_metrics", "job_metrics", "anomaly_flags")
-        }
-    )
+    wanted = {"cluster_metrics": M.STORED_CLUSTER_SECTIONS, "job_metrics": M.METRIC_SECTIONS}
+
+    def decoded(c: str) -> Column:
+        v = V.parse(F.col(c))
+        return F.coalesce(v, V.sections(F.col(c), v, wanted[c]), empty) if c in wanted else F.coalesce(v, empty)
+
+    return facts.withColumns({c: decoded(c) for c in (*wanted, "anomaly_flags")})
 
 
 def check_fact_table(spark: SparkSession, table: str) -> None:
