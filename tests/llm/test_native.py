@@ -305,6 +305,24 @@ def test_every_version_sentence_has_a_mark():
     assert all(re.search(licenses.MARKS, text) for text in licenses.ALL_SENTENCES.values())
 
 
+def test_every_known_sentence_is_looked_at(spark):
+    import re
+
+    for between in (" ", "\n * "):
+        passed = [k for k in licenses.KNOWN if not re.search(licenses.MARKS, k.replace(" ", between).upper())]
+        assert not passed
+    texts = {
+        "Released under the MIT.": ["MIT"],
+        "Intro. Distributed under the GPLv3 or later. More": ["GPL-3.0-or-later"],
+        "Copy it.\nReleased under\nCC0 1.0.": ["CC0-1.0"],
+        "by X. All rights\nreserved.": ["all-rights-reserved"],
+        " * Released\n *   under Creative Commons Attribution 4.0 International": ["CC-BY-4.0"],
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in licenses.scan(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
 LICENCES = {
     "SPDX-License-Identifier: MIT": "MIT",
     "// SPDX-License-Identifier: GPL-2.0-only\ncode": "GPL-2.0",
