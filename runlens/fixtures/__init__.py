@@ -9,7 +9,7 @@ from string import Template
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens.fixtures.texts import TEXTS
+from runlens.fixtures.texts import JOB, STAGE, TEXTS
 from runlens.params import Params
 from runlens.sources.history import read_facts
 from runlens.storage import shared_folder
@@ -21,16 +21,35 @@ PARAMS = Params(
 )
 BASE_TABLES = ("orders", "lineitem", "customer", "events", "documents", "nation")
 
+
+def _joined(line_json: str) -> str:
+    """The JSON of an order's lines, which came together as numbers, in their order."""
+    told = f"transform(l.held, x -> struct(x.l_linenumber, x.l_partkey, x.l_suppkey, {line_json} AS line))"
+    return f"array_join(transform(sort_array(filter({told}, y -> y.line IS NOT NULL)), y -> y.line), ',')"
+
+
+# The lines of an order travel as numbers and become text in the task that writes them.
 _SPARK = {
-    "joined_jobs": "listagg(j, ',') WITHIN GROUP (ORDER BY l_linenumber, l_partkey, l_suppkey, j)",
-    "joined_stages": "listagg(s, ',') WITHIN GROUP (ORDER BY l_linenumber, l_partkey, l_suppkey, s)",
+    "order_lines": """SELECT l_orderkey, collect_list(struct(l_linenumber, l_partkey, l_suppkey, l_quantity)) AS held
+ FROM (SELECT /*+ REPARTITION(l_orderkey) */ l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity
+   FROM $lineitem WHERE l_orderkey IS NOT NULL) t GROUP BY l_orderkey""",
+    "jobs": _joined(Template(JOB).substitute(line="x.")),
+    "stages": _joined(Template(STAGE).substitute(line="x.")),
+    "orders_with_lines": "o LEFT JOIN $customer ON c_custkey = o_custkey LEFT JOIN l ON l_orderkey = o_orderkey",
     "run_seconds": "timestampdiff(MICROSECOND, application_start_time, application_end_time) / 1e6D",
     "app_ids": "CASE WHEN application_id IS NULL OR application_id = '' THEN array()"
     " ELSE array(application_id) END",
 }
 _DUCK = {
-    "joined_jobs": "string_agg(j, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, j)",
-    "joined_stages": "string_agg(s, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, s)",
+    "order_lines": f"""SELECT l_orderkey,
+  string_agg(j, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, j) AS jobs, string_agg(s, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, s) AS stages
+ FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+   {Template(JOB).substitute(line="")} AS j,
+   {Template(STAGE).substitute(line="")} AS s
+   FROM $lineitem) t GROUP BY l_orderkey""",
+    "jobs": "l.jobs",
+    "stages": "l.stages",
+    "orders_with_lines": "o LEFT JOIN l ON l_orderkey = o_orderkey LEFT JOIN $customer ON c_custkey = o_custkey",
     "run_seconds": "(epoch_us(application_end_time) - epoch_us(application_start_time)) / 1e6",
     "app_ids": "CASE WHEN application_id IS NULL OR application_id = '' THEN []"
     " ELSE [application_id] END",
@@ -40,6 +59,11 @@ _NEEDS = {"daily_facts": ("run_state",)}
 _written: dict[tuple[str, str, str], str] = {}
 
 
+def _filled(name: str, engine: dict[str, str], tables: dict[str, str]) -> str:
+    # The engine's parts name tables too.
+    return Template(Template(TEXTS[name]).safe_substitute(engine)).substitute(tables)
+
+
 def duck_with(*names: str) -> str:
     """CTE text of fixtures for a DuckDB query, each after what it needs."""
     order: list[str] = []
@@ -47,7 +71,7 @@ def duck_with(*names: str) -> str:
         order += [n for n in (*_NEEDS.get(name, ()), name) if n not in order]
     tables = {t: t for t in BASE_TABLES} | {"run_state": "run_state"}
     return "WITH " + ",\n".join(
-        f"{n} AS ({Template(TEXTS[n]).substitute(_DUCK | tables)})" for n in order
+        f"{n} AS ({_filled(n, _DUCK, tables)})" for n in order
     )
 
 
@@ -65,9 +89,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             # Clustered by date, so that a date predicate skips files and row groups. A real
             # fact table is partitioned by date, but days of this data are a few rows each.
             derived = derived.repartitionByRange("ingest_date").sortWithinPartitions("ingest_date")
-        elif name == "run_state":
-            # Several files, as a real table has: one for each core to read.
-            derived = derived.repartition(spark.sparkContext.defaultParallelism, "run_no")
         derived.write.mode("overwrite").parquet(path)
         _written[key] = path
     if name == "daily_facts":
@@ -81,4 +102,4 @@ def _derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(views[table])
     for needed in _NEEDS.get(name, ()):
         load(spark, sf_dir, needed).createOrReplaceTempView(views[needed])
-    return spark.sql(Template(TEXTS[name]).substitute(_SPARK | views))
+    return spark.sql(_filled(name, _SPARK, views))

@@ -2,24 +2,23 @@
 
 TEXTS: dict[str, str] = {}
 
+# JSON of an order line as a job and as a stage; ``$line`` is what its columns belong to.
+JOB = """'{"job_id":' || CAST(${line}l_linenumber - 1 AS STRING) || ',"job_name":"part' || CAST(${line}l_partkey AS STRING)
+   || '","num_tasks":' || CAST(CAST(${line}l_quantity AS BIGINT) AS STRING)
+   || ',"p95_task_duration_ms":' || CAST(1000 + ${line}l_partkey % 900 AS STRING)
+   || ',"max_task_duration_ms":' || CAST(2000 + ${line}l_suppkey % 900 AS STRING)
+   || ',"max_over_median_ratio":' || CASE WHEN ${line}l_partkey % 23 = 0 THEN '"n/a"'
+        WHEN ${line}l_partkey % 19 = 0 THEN '5.' || CAST(${line}l_partkey % 10 AS STRING)
+        WHEN ${line}l_partkey % 11 = 0 THEN '3.' || CAST(${line}l_partkey % 10 AS STRING)
+        ELSE '1.' || CAST(${line}l_partkey % 10 AS STRING) END || '}'"""
+STAGE = """'{"stage_id":' || CAST(${line}l_linenumber - 1 AS STRING) || ',"name":"st' || CAST(${line}l_suppkey AS STRING)
+   || '","num_tasks":' || CAST(CAST(${line}l_quantity AS BIGINT) AS STRING)
+   || ',"max_task_duration_ms":' || CAST(2000 + ${line}l_suppkey % 900 AS STRING)
+   || ',"p95_task_duration_ms":' || CAST((1000 + ${line}l_partkey % 900) * (${line}l_linenumber % 3) AS STRING) || '}'"""
+
 TEXTS["run_state"] = """
 WITH l AS (
- SELECT l_orderkey,
-  $joined_jobs AS jobs, $joined_stages AS stages
- FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-   '{"job_id":' || CAST(l_linenumber - 1 AS STRING) || ',"job_name":"part' || CAST(l_partkey AS STRING)
-   || '","num_tasks":' || CAST(CAST(l_quantity AS BIGINT) AS STRING)
-   || ',"p95_task_duration_ms":' || CAST(1000 + l_partkey % 900 AS STRING)
-   || ',"max_task_duration_ms":' || CAST(2000 + l_suppkey % 900 AS STRING)
-   || ',"max_over_median_ratio":' || CASE WHEN l_partkey % 23 = 0 THEN '"n/a"'
-        WHEN l_partkey % 19 = 0 THEN '5.' || CAST(l_partkey % 10 AS STRING)
-        WHEN l_partkey % 11 = 0 THEN '3.' || CAST(l_partkey % 10 AS STRING)
-        ELSE '1.' || CAST(l_partkey % 10 AS STRING) END || '}' AS j,
-   '{"stage_id":' || CAST(l_linenumber - 1 AS STRING) || ',"name":"st' || CAST(l_suppkey AS STRING)
-   || '","num_tasks":' || CAST(CAST(l_quantity AS BIGINT) AS STRING)
-   || ',"max_task_duration_ms":' || CAST(2000 + l_suppkey % 900 AS STRING)
-   || ',"p95_task_duration_ms":' || CAST((1000 + l_partkey % 900) * (l_linenumber % 3) AS STRING) || '}' AS s
-   FROM $lineitem) t GROUP BY l_orderkey),
+ $order_lines),
  o AS (SELECT *, (100 + (o_custkey % 50) * 10) * CASE WHEN o_orderkey % 10 = 7 THEN 25
                  WHEN o_orderkey % 10 = 3 THEN 16 ELSE 10 END AS dur_ds FROM $orders)
 SELECT o_orderkey AS run_no,
@@ -49,8 +48,8 @@ SELECT o_orderkey AS run_no,
          || '","app_vcore_seconds":' || CAST(dur_ds * CASE WHEN o_orderkey % 19 = 0 THEN 8 ELSE 4 END AS STRING)
          || ',"app_memory_gb_seconds":"' || CAST(dur_ds * 16 AS STRING)
          || '","executor_peak":' || CAST(o_orderkey % 11 AS STRING)
-         || '},"jobs":[' || coalesce(l.jobs, '') || '],"stages":[' || coalesce(l.stages, '') || ']}' END AS spark_event_metrics
-FROM o LEFT JOIN l ON l_orderkey = o_orderkey LEFT JOIN $customer ON c_custkey = o_custkey
+         || '},"jobs":[' || coalesce($jobs, '') || '],"stages":[' || coalesce($stages, '') || ']}' END AS spark_event_metrics
+FROM $orders_with_lines
 """
 
 TEXTS["log_entries"] = """

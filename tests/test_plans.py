@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlens.checks import queries as Q
-from runlens.fixtures import AS_OF, PARAMS, load
+from runlens.fixtures import AS_OF, PARAMS, BASE_TABLES, _derive, duck_with, load
 from runlens.operators import report as R
 from runlens.operators.baseline import historical_baseline
 from runlens.operators.facts import fact_rows
@@ -27,6 +27,29 @@ def test_window_predicate_reaches_the_scan(spark):
     assert "Exchange" not in text
 
 
+def test_order_lines_move_as_numbers_and_give_the_same_text(spark, tmp_path):
+    import duckdb
+
+    for table in BASE_TABLES:
+        rows = spark.read.parquet(f"{SF}/{table}.parquet")
+        if table == "lineitem":
+            some = rows.where("l_orderkey % 5 = 0")
+            odd = some.withColumn("l_quantity", F.expr("CASE WHEN l_orderkey % 2 = 0 THEN l_quantity + 9 END"))
+            lost = some.withColumn("l_orderkey", F.lit(None).cast("bigint"))
+            rows = rows.union(some).union(odd).union(lost)
+        rows.write.parquet(str(tmp_path / f"{table}.parquet"))
+    derived = _derive(spark, str(tmp_path), "run_state")
+    text = plan(derived)
+    assert '"job_id":' in text and '"job_id":' not in text[text.index("Exchange") :]
+    db = duckdb.connect()
+    for table in BASE_TABLES:
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    columns = "run_no, spark_event_metrics, cluster_config_details, dataproc_jobid"
+    wanted = db.sql(f"{duck_with('run_state')} SELECT {columns} FROM run_state").fetchall()
+    got = [tuple(r) for r in derived.select(*columns.split(", ")).collect()]
+    assert sorted(got, key=repr) == sorted(wanted, key=repr)
+
+
 def test_history_prunes_partitions_and_columns(spark, tmp_path):
     path = str(tmp_path / "facts")
     load(spark, SF, "daily_facts").where("ingest_date >= '1999-12-20'").write.partitionBy("ingest_date").parquet(path)
