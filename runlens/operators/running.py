@@ -163,9 +163,12 @@ def _values_in_reach(big: DataFrame, block_rows: int) -> DataFrame:
         F.filter("held", lambda e: e["source"] < F.col("block")), lambda e: e["value"]
     )
     numbers = F.concat(
-        F.array(F.col("slice").cast("double"), F.col("below").cast("double")), earlier
+        F.array(F.col("slice").cast("double"), F.col("below").cast("double")), F.col("earlier")
     )
-    return fetched.select(
+    # Many buckets that an early block asks for hold later values only. One at least has
+    # earlier values, and each tells ``below``.
+    told = fetched.withColumn("earlier", earlier).where(F.size("earlier") > 0)
+    return told.select(
         *_note(BUCKET, F.col("slice"), F.lit(None).cast("string"), numbers)
     )
 

@@ -81,20 +81,20 @@ class _Block:
         self.counts, self.sums = _NO_COUNTS, _NO_SUMS
         # Per quantile: how many smaller values are not held, and the values in reach.
         self.hidden: dict[int, float] = {}
-        self.held: dict[int, list[float]] = {}
+        self.held: dict[int, list[np.ndarray]] = {}
         self.uids: list[str] = []
         self.clusters: list[str] = []
         self.parts: list[np.ndarray] = []
 
-    def note(self, kind: int, numbers: list[float], cluster: str | None) -> None:
+    def note(self, kind: int, numbers: np.ndarray, cluster: str | None) -> None:
         n = len(MEASURES)
         if kind == SUMMARY:
             self.samples, self.cluster = int(numbers[0]), cluster
-            self.counts, self.sums = numbers[1 : n + 1], numbers[n + 1 :]
+            self.counts, self.sums = numbers[1 : n + 1].tolist(), numbers[n + 1 :].tolist()
         else:
             i = int(numbers[0])
-            self.hidden[i] = min(self.hidden.get(i, float("inf")), numbers[1])
-            self.held.setdefault(i, []).extend(numbers[2:])
+            self.hidden[i] = min(self.hidden.get(i, float("inf")), float(numbers[1]))
+            self.held.setdefault(i, []).append(numbers[2:])
 
 
 def _sums(blocks: list[_Block]) -> np.ndarray:
@@ -112,12 +112,12 @@ def _quantile(i: int, blocks: list[_Block], of: np.ndarray, own: np.ndarray, see
     _, measure, rank = SLICES[i]
     m = MEASURES.index(measure)
     held = [b.held.get(i, ()) for b in blocks]
-    sizes = np.fromiter(map(len, held), np.int64, len(held))
+    sizes = np.fromiter((sum(map(len, h)) for h in held), np.int64, len(held))
     upto = np.cumsum(sizes)
     # Each block's values in reach stand before its own.
     values = own[~np.isnan(own)]
     if upto[-1]:
-        values = np.insert(values, np.repeat(first, sizes), np.concatenate([np.array(h, float) for h in held]))
+        values = np.insert(values, np.repeat(first, sizes), np.concatenate([a for h in held for a in h]))
     low, high = (first + upto - sizes)[of], seen + upto[of]
     count = np.array([b.counts[m] for b in blocks], np.int64)[of] + seen - first[of]
     hidden = np.array([b.hidden.get(i, 0) for b in blocks]).astype(np.int64)[of]
@@ -189,6 +189,8 @@ def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         jobs, numbers = col["job_id"].to_pylist(), col["block"].to_pylist()
         uids, clusters = col["uid"].to_pylist(), col["cluster_name"].to_pylist()
         values = np.column_stack([col[m].to_numpy(zero_copy_only=False).astype(float) for m in MEASURES])
+        notes = col["numbers"]
+        told, ends = notes.values.to_numpy(zero_copy_only=False).astype(float), notes.offsets.to_numpy()
         at = 0
         while at < len(jobs):
             key = (jobs[at], numbers[at])
@@ -199,7 +201,7 @@ def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 current = key
                 blocks.append(_Block(jobs[at]))
             if kinds[at] != RUN:
-                blocks[-1].note(int(kinds[at]), col["numbers"][at].as_py(), clusters[at])
+                blocks[-1].note(int(kinds[at]), told[ends[at] : ends[at + 1]], clusters[at])
                 at += 1
                 continue
             end = at + 1

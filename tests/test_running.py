@@ -130,6 +130,15 @@ def test_hot_family_is_cut_into_blocks(spark):
     assert top[1] <= len(SLICES) * 6 * 100
 
 
+def test_blocks_are_told_of_no_bucket_without_earlier_values(spark):
+    """Early blocks ask for buckets all over the family, most of which hold later values only."""
+    from runlens.operators.running import block_stream
+
+    rows = make(2, {"hot": 2000})
+    told = block_stream(spark.createDataFrame(rows, SCHEMA), block_rows=16).where("kind = 1")
+    assert told.count() > 0 and told.where(F.size("numbers") <= 2).count() == 0
+
+
 @pytest.mark.parametrize("drift", [0, 1])
 def test_counts_grow_with_the_blocks(spark, monkeypatch, drift):
     """What blocks are told of bucket counts: a fixed number of rows per block and level of the
